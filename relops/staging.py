@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relops.session import scratch_path
 
@@ -68,27 +69,32 @@ def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_index")
     )
 
 
-@F.pandas_udf("long")
-def _sum_before_in_task(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+RUN = T.StructType([T.StructField("size", T.LongType()), T.StructField("before", T.LongType())])
+
+
+@F.pandas_udf(RUN)
+def running_size(sizes: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Size of each row and the sum of those before it in the same task."""
+
     carried = 0
     for batch in sizes:
         upto = batch.cumsum() + carried
-        yield upto - batch
+        yield pd.DataFrame({"size": batch, "before": upto - batch})
         if len(batch):
             carried = int(upto.iloc[-1])
 
 
-def with_sum_before(df: DataFrame, size: str, order: Sequence[str], name: str = "size_before") -> DataFrame:
-    """Exact running sum of ``size`` over all earlier rows in ``order``.
+def with_sum_before(df: DataFrame, run: Column, order: Sequence[str], name: str = "size_before") -> DataFrame:
+    """Exact running sum over all earlier rows in ``order`` (which must be unique).
 
-    First pass: each sorted task sums its own rows (only the size column leaves the JVM). Second pass: add the
-    total of the earlier files.
+    First pass: each sorted task sums its own rows; ``run`` is an iterator UDF giving (size, before), such as
+    ``running_size(column)``, so only that column leaves the JVM. Second pass: add the total of the earlier files.
     """
 
-    staged = stage_in_order(df, order, in_task={"_in_task": _sum_before_in_task(F.col(size))})
-    offsets = chunk_offsets(staged, F.max(F.col("_in_task") + F.col(size)))
+    staged = stage_in_order(df, order, in_task={"_run": run})
+    offsets = chunk_offsets(staged, F.max(F.col("_run.before") + F.col("_run.size")))
     return (
         staged.join(F.broadcast(offsets), CHUNK)
-        .withColumn(name, F.col("_offset") + F.col("_in_task"))
-        .drop(CHUNK, ROW, "_offset", "_in_task")
+        .withColumn(name, F.col("_offset") + F.col("_run.before"))
+        .drop(CHUNK, ROW, "_offset", "_run")
     )
