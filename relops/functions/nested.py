@@ -159,9 +159,13 @@ def chunk_list(values: Column, size: int = 8) -> Column:
 
     if size < 1:
         raise ValueError("chunk size must be at least 1")
-    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(size)))
-    slices = F.transform(starts, lambda i: F.slice(values, i, F.lit(size)))
-    return F.when(values.isNotNull(), F.coalesce(slices, F.slice(F.array(values), 1, 0)))
+
+    def chunks(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(size)))
+        return F.coalesce(F.transform(starts, lambda i: F.slice(v, i, F.lit(size))), F.slice(F.array(v), 1, 0))
+
+    # Bound as a lambda argument, the array is computed once and not again for every chunk.
+    return F.when(values.isNotNull(), F.transform(F.array(values), chunks)[0])
 
 
 def attachment_ids(parts: Column) -> Column:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relops.functions.names import SHARD_FORMAT
+from relops.functions.names import SHARD_FORMAT, SHARD_SUFFIX, shard_base, shard_date
 
 
 class NoShard(IndexError):
@@ -45,3 +45,15 @@ def latest_table(
     if row is None:
         raise NoShard(f"no shard of {base} up to {end_date}")
     return f"{base}{row['shard_date']:%Y%m%d}"
+
+
+def latest_tables(names: DataFrame, end_date: dt.date | None = None, column: str = "table_id") -> DataFrame:
+    """For every sharded base in a listing the id of its newest table, by a combining aggregation."""
+
+    sharded = names.filter(F.col(column).rlike(SHARD_SUFFIX)).select(
+        shard_base(F.col(column)).alias("base"), shard_date(F.col(column)).alias("shard_date")
+    )
+    if end_date is not None:
+        sharded = sharded.filter(F.col("shard_date") <= F.lit(end_date).cast("date"))
+    newest = sharded.groupBy("base").agg(F.max("shard_date").alias("shard_date"))
+    return newest.select("base", F.concat("base", F.date_format("shard_date", SHARD_FORMAT)).alias("table_id"))
