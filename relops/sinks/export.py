@@ -18,6 +18,11 @@ PART_BYTES = 30 * 1024**3
 PART_BYTES_GZ = int(3.9 * 1024**3)
 MANIFEST_BYTES = 1024**3
 _SYNC_BYTES = 64 * 1024
+# The writers' own defaults stop at milliseconds.
+_TEXT_FORMATS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def export_table(df: DataFrame, path: str, file_type: str) -> None:
@@ -26,7 +31,7 @@ def export_table(df: DataFrame, path: str, file_type: str) -> None:
     formats = {"csv": "csv", "csv.gz": "csv", "jsonl": "json", "jsonl.gz": "json"}
     if file_type not in formats:
         raise ValueError(f"file type {file_type} is not supported")
-    writer = df.write.option("compression", "gzip" if file_type.endswith(".gz") else "none")
+    writer = df.write.option("compression", "gzip" if file_type.endswith(".gz") else "none").options(**_TEXT_FORMATS)
     if formats[file_type] == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     else:

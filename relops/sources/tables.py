@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relops.columns import col
-from relops.functions.names import SHARD_FORMAT
 from relops.operators.shards import shards_of
 
 EXPIRES_AT = "relops.expires_at"
@@ -115,7 +114,8 @@ def table_inventory(spark: SparkSession, schema: str, prefix: str = "", *, stati
     listing = spark.createDataFrame(
         rows, "table_id string, table_type string, n_rows bigint, n_bytes bigint, created string, expires_at string"
     )
-    created = F.try_to_timestamp(F.col("created"), F.lit("EEE MMM dd HH:mm:ss zzz yyyy"))
+    # Written like "Mon Jan 01 12:00:00 UTC 2024"; the reader takes no weekday.
+    created = F.try_to_timestamp(F.regexp_replace("created", "^[A-Za-z]+ ", ""), F.lit("MMM d HH:mm:ss zzz yyyy"))
     return listing.withColumn("created", created).withColumn("expires_at", F.col("expires_at").cast("timestamp"))
 
 
@@ -146,24 +146,3 @@ def scan_shards(
         raise TableMissing(f"no shards of {base}")
     shards = [spark.table(f"{base}{d:%Y%m%d}").withColumn(name, F.lit(d)) for d in dates]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shards)
-
-
-__all__ = [
-    "EXPIRES_AT",
-    "PARTITION_FIELD",
-    "PARTITION_FORMATS",
-    "PARTITION_KIND",
-    "REQUIRE_FILTER",
-    "PartitionFilterRequired",
-    "SHARD_FORMAT",
-    "TableMissing",
-    "list_schemas",
-    "partition_column",
-    "partition_value",
-    "read_table",
-    "scan_shards",
-    "table_exists",
-    "table_inventory",
-    "table_names",
-    "table_properties",
-]
