@@ -67,6 +67,17 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def splittable_match(pairs: Iterable[tuple[Column, Column]]) -> Column:
+    """Equality of keys that are never null, as a join AQE can split.
+
+    AQE splits a hot key only where both join inputs come straight from a shuffle. Written with ``=`` the planner
+    would reuse the partitioning of an aggregate on the same keys and leave that side without one; ``<=>`` gives
+    the same matches and makes it shuffle the (aggregated, smaller) side once more.
+    """
+
+    return all_of(left.eqNullSafe(right) for left, right in pairs)
+
+
 def split_null_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
     """Rows whose keys are all set, and the others (None when the schema rules them out).
 

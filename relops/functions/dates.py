@@ -12,58 +12,56 @@ from pyspark.sql import functions as F
 DATE_FORMATS = ("yyyy-MM-dd", "yyyyMMdd")
 TIMESTAMP_FORMATS = ("yyyy-MM-dd HH:mm:ss.SSSSSS z",)
 
-# Wall-clock layouts tried after the ISO forms that a plain cast reads.
-WALL_CLOCK_FORMATS = (
+# Layouts tried after the ISO forms that a plain cast reads; a zone offset may follow each.
+OTHER_LAYOUTS = (
+    "yyyy-M-d H:mm",
+    "yyyy-M-d'T'H:mm",
     "yyyyMMdd",
     "yyyyMMdd'T'HHmmss",
     "yyyyMMddHHmmss",
     "yyyy/M/d",
-    "yyyy/M/d H:mm:ss",
+    "yyyy/M/d H:mm[:ss]",
     "M/d/yyyy",
-    "M/d/yyyy H:mm:ss",
+    "M/d/yyyy H:mm[:ss]",
+    "M/d/yyyy h:mm[:ss] a",
     "d MMM yyyy",
-    "d MMM yyyy H:mm:ss",
+    "d MMM yyyy H:mm[:ss]",
+    "d MMMM yyyy",
+    "d MMMM yyyy H:mm[:ss]",
     "MMM d, yyyy",
-    "MMM d, yyyy H:mm:ss",
+    "MMM d, yyyy H:mm[:ss]",
     "MMMM d, yyyy",
-    "MMMM d, yyyy H:mm:ss",
+    "MMMM d, yyyy H:mm[:ss]",
 )
+_OFFSETS = "[XXX][XX][X]"
 
-_ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss"
+_ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 _WEEKDAY = r"^(?i)(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
-_OFFSET = r"([+-])([0-9]{1,2}):?([0-9]{2})?$"
-_CLOCK_THEN_OFFSET = r"[0-9]:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?\s*[A-Za-z]*\s*[+-][0-9]{1,2}(?::?[0-9]{2})?$"
-_NAMED_OFFSET = r"[A-Za-z]{3,5}[+-][0-9]{1,2}(?::?[0-9]{2})?$"
-_ZONE_TAIL = r"\s*(?:(?<=[0-9])[Zz]|[A-Z]{3,5})?\s*(?:(?<=[0-9A-Za-z\s])[+-][0-9]{1,2}(?::?[0-9]{2})?)?$"
+_CLOCK = r"(:[0-9]{2}(?:[.,][0-9]+)?)\s*"
 
 
 def iso_text(ts: Column, zone: str) -> Column:
     """ISO text of a timestamp, microseconds only when there are any, then ``zone``."""
 
-    micros = F.date_format(ts, "SSSSSS")
-    fraction = F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros))
-    return F.concat(F.date_format(ts, _ISO_SECONDS), fraction, F.lit(zone))
+    return F.concat(F.replace(F.date_format(ts, _ISO_MICROS), F.lit(".000000"), F.lit("")), F.lit(zone))
 
 
-def _offset_minutes(text: Column) -> Column:
-    """Minutes east of UTC. ``UTC+1`` is read the POSIX way, so a zone name in front turns the sign."""
+def parse_datetime(text: Column, layouts: Sequence[str] = OTHER_LAYOUTS) -> Column:
+    """UTC timestamp of a date-time text; no zone means UTC; null when no layout fits.
 
-    sign = F.when(F.regexp_extract(text, _OFFSET, 1) == "-", -1).otherwise(1)
-    sign = F.when(text.rlike(_NAMED_OFFSET), -sign).otherwise(sign)
-    hours = F.regexp_extract(text, _OFFSET, 2).try_cast("int")
-    minutes = F.coalesce(F.regexp_extract(text, _OFFSET, 3).try_cast("int"), F.lit(0))
-    return F.when(text.rlike(_CLOCK_THEN_OFFSET), sign * (hours * 60 + minutes)).otherwise(F.lit(0))
-
-
-def parse_datetime(text: Column, formats: Sequence[str] = WALL_CLOCK_FORMATS) -> Column:
-    """UTC timestamp of a date-time text; no zone means UTC; null when no layout fits."""
+    After a zone name the offset counts the POSIX way, so ``UTC+1`` is an hour behind and its sign is turned.
+    A zone name alone says nothing more than UTC.
+    """
 
     clean = F.regexp_replace(F.trim(text), _WEEKDAY, "")
-    offset = _offset_minutes(clean)
-    wall_text = F.when(clean.rlike(r"[0-9]:[0-9]{2}"), F.regexp_replace(clean, _ZONE_TAIL, "")).otherwise(clean)
-    iso = F.regexp_replace(wall_text, r"(?<=[0-9]),(?=[0-9]+$)", ".").try_cast("timestamp")
-    wall = F.coalesce(iso, *[F.try_to_timestamp(wall_text, F.lit(f)) for f in formats])
-    return F.timestamp_micros(F.unix_micros(wall) - offset.cast("bigint") * F.lit(60_000_000).cast("bigint"))
+    clean = F.regexp_replace(clean, _CLOCK + r"[A-Za-z]{3,5}[+](?=[0-9])", "$1-")
+    clean = F.regexp_replace(clean, _CLOCK + r"[A-Za-z]{3,5}-(?=[0-9])", "$1+")
+    clean = F.regexp_replace(clean, _CLOCK + r"(?:[A-Za-z]{3,5}$|(?=[+-]))", "$1")
+    return F.coalesce(
+        clean.try_cast("timestamp"),
+        F.replace(clean, F.lit(","), F.lit(".")).try_cast("timestamp"),
+        *[F.try_to_timestamp(clean, F.lit(layout + _OFFSETS)) for layout in layouts],
+    )
 
 
 def normalise_datetime(text: Column, strict: bool = True) -> Column:
@@ -72,10 +70,8 @@ def normalise_datetime(text: Column, strict: bool = True) -> Column:
     iso = iso_text(parse_datetime(text), "+00:00")
     if not strict:
         return iso
-    return (
-        F.when(text.isNull() | iso.isNotNull(), iso)
-        .otherwise(F.raise_error(F.concat(F.lit("not a date-time: "), text)))
-    )
+    unreadable = F.raise_error(F.concat(F.lit("not a date-time: "), text)).cast("string")
+    return F.coalesce(iso, F.when(text.isNotNull(), unreadable))
 
 
 def to_release_timestamp(text: Column) -> Column:

@@ -19,7 +19,10 @@ def java_replacement(replacement: str) -> str:
 
 
 def replace_in(text: Column, pattern: str, replacement: str) -> Column:
-    return F.regexp_replace(text, pattern, java_replacement(replacement))
+    r"""All matches replaced; ``\w``, ``\d``, ``\s`` and ``\b`` cover all of Unicode."""
+
+    classes = "(?U)" if re.search(r"\\[wWdDsSbB]", pattern) else ""
+    return F.regexp_replace(text, classes + pattern, java_replacement(replacement))
 
 
 def replace_text(df: DataFrame, column: str, pattern: str, replacement: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relops.columns import as_list, col, quote, require_columns, split_null_keys, union_all
+from relops.columns import as_list, col, quote, require_columns, split_null_keys, splittable_match, union_all
 from relops.functions.nested import sort_lists
 
 
@@ -124,7 +124,9 @@ def transfer_diff(
         .when(col(checksum) == F.col("target_checksum"), "skip")
         .otherwise("changed")
     )
-    compared = keyed.join(present, col(key) == F.col("_key"), "left").withColumn("status", status).drop("_key")
+    present = present.filter(F.col("_key").isNotNull())
+    compared = keyed.join(present, splittable_match([(col(key), F.col("_key"))]), "left")
+    compared = compared.withColumn("status", status).drop("_key")
     if keyless is not None:
         blank = F.lit(None).cast(target.schema[checksum].dataType)
         keyless = keyless.withColumn("target_checksum", blank).withColumn("status", F.lit("new"))

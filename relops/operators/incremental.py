@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relops.columns import (
@@ -16,6 +16,7 @@ from relops.columns import (
     require_columns,
     require_same_columns,
     split_null_keys,
+    splittable_match,
     union_all,
 )
 
@@ -31,18 +32,30 @@ def merge_changefiles(changes: DataFrame, key: str | Sequence[str], seq: str) ->
     keys = as_list(key)
     require_columns(changes, [*keys, seq], "change files")
     last = changes.groupBy(*map(quote, keys)).agg(F.max(col(seq)).alias("_last"))
-    last = last.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_last")
+    last = last.select(*_renamed(keys), "_last")
     same_key = all_of(col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys))
     return changes.join(last, same_key & (col(seq) == F.col("_last")), "left_semi")
 
 
-def upsert(main: DataFrame, updates: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+def _equal(pairs: Iterable[tuple[Column, Column]]) -> Column:
+    return all_of(left == right for left, right in pairs)
+
+
+def _renamed(keys: Sequence[str]) -> list[Column]:
+    return [col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+
+
+def upsert(
+    main: DataFrame, updates: DataFrame, keys: str | Sequence[str], *, co_located: bool = False
+) -> DataFrame:
     """MERGE semantics: matched rows take every top-level column of their update, other updates are inserted.
 
     Null keys never match. One update may hit many main rows; two updates for one main row fail the job.
 
-    The main table is the left side of a left join, which broadcasts when the update set is small (no shuffle of
-    main) and otherwise lets AQE split a hot key. Inserts are found from main's key columns alone.
+    The main table is the left side of a left join: a small update set is broadcast and main is not shuffled, beyond
+    Spark's broadcast threshold AQE can split a hot main key. A full outer join allows neither. Inserts are found
+    from main's key columns alone. ``co_located`` says that main is bucketed by the keys: it is then joined where it
+    lies, without a shuffle and without splitting.
     """
 
     keys = as_list(keys)
@@ -56,12 +69,13 @@ def upsert(main: DataFrame, updates: DataFrame, keys: str | Sequence[str]) -> Da
     per_key = (
         upd_keyed.groupBy(*names)
         .agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*map(col, updates.columns))).alias("_new"))
-        .select(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", "_new")
+        .select(*_renamed(keys), "_n", "_new")
     )
-    same_key = all_of(col(k) == F.col(f"_k{i}") for i, k in enumerate(keys))
+    copies = [F.col(f"_k{i}") for i in range(len(keys))]
+    matches = _equal if co_located else splittable_match
     ambiguous = F.raise_error(F.lit(f"upsert: several updates for one row of the main table, keys {keys}"))
     merged = (
-        main_keyed.join(per_key, same_key, "left")
+        main_keyed.join(per_key, matches(zip(map(col, keys), copies)), "left")
         .filter(F.when(F.col("_n") > 1, ambiguous.cast("boolean")).otherwise(F.lit(True)))
         .select(
             *[
@@ -71,12 +85,10 @@ def upsert(main: DataFrame, updates: DataFrame, keys: str | Sequence[str]) -> Da
         )
     )
 
-    hit = (
-        main_keyed.select(*names)
-        .join(upd_keyed.select(*names).distinct(), keys, "left_semi")
-        .distinct()
-    )
-    inserts = upd_keyed.join(hit, keys, "left_anti").select(*map(col, main.columns))
+    wanted = upd_keyed.select(*_renamed(keys)).distinct()
+    present = main_keyed.select(*names).join(wanted, matches(zip(map(col, keys), copies)), "left_semi")
+    hit = present.select(*_renamed(keys)).distinct()
+    inserts = upd_keyed.join(hit, matches(zip(map(col, keys), copies)), "left_anti")
     return union_all([merged, main_null, inserts, upd_null])
 
 
@@ -88,11 +100,12 @@ def delete_by_keys(
     *,
     main_prefix: str = "",
     delete_prefix: str = "",
+    co_located: bool = False,
 ) -> DataFrame:
     """Main rows without a partner in ``deletes``; every key pair must match, prefixes added to each side first.
 
     A left anti join against the distinct delete keys, so repeated deletes cost nothing and AQE can split a hot
-    main key. Null keys match nothing and stay.
+    main key. Null keys match nothing and stay. ``co_located`` is as for :func:`upsert`.
     """
 
     main_keys = as_list(main_keys)
@@ -118,5 +131,6 @@ def delete_by_keys(
     targets = del_keyed.select(
         *[key(d, delete_prefix).alias(f"_d{i}") for i, d in enumerate(delete_keys)]
     ).distinct()
-    match = all_of(key(m, main_prefix) == F.col(f"_d{i}") for i, m in enumerate(main_keys))
+    matches = _equal if co_located else splittable_match
+    match = matches((key(m, main_prefix), F.col(f"_d{i}")) for i, m in enumerate(main_keys))
     return union_all([main_keyed.join(targets, match, "left_anti"), main_null])

@@ -133,7 +133,7 @@ def manifest_check(keys: DataFrame, column: str) -> DataFrame:
 def transfer_manifest(keys: DataFrame, column: str, path: str) -> None:
     """CSV of object keys without a header. Every key must be valid UTF-8 and the total at most 1 GiB.
 
-    A transfer service takes one file, so after the size check (at most 1 GiB) one task writes it.
+    A transfer service takes one file, so once the check has shown at most 1 GiB one task writes it.
     """
 
     check = manifest_check(keys, column).first()
@@ -141,4 +141,4 @@ def transfer_manifest(keys: DataFrame, column: str, path: str) -> None:
         raise ValueError(f"{check['n_invalid']} keys are not valid UTF-8")
     if check["n_bytes"] > MANIFEST_BYTES:
         raise ValueError(f"manifest has {check['n_bytes']} bytes, at most {MANIFEST_BYTES} are allowed")
-    manifest_lines(keys, column).coalesce(1).write.option("lineSep", "\r\n").text(path)
+    manifest_lines(keys, column).repartition(1).write.option("lineSep", "\r\n").text(path)

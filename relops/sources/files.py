@@ -14,6 +14,7 @@ from relops.columns import ColumnMismatch, col
 from relops.functions.nested import field_paths
 
 Paths = str | Sequence[str]
+BROADCAST_FILES = 50_000
 
 
 def _paths(paths: Paths) -> list[str]:
@@ -58,6 +59,9 @@ def scan_csv(
     )
     # Leading rows sit in a file's first split, where line ids run on from the file's first one.
     firsts = lines.filter(F.col("_block") == 0).groupBy("_file").agg(F.min("_line").alias("_first"))
+    # One row per file: broadcast unless there are very many files.
+    if len(lines.inputFiles()) <= BROADCAST_FILES:
+        firsts = F.broadcast(firsts)
     body = lines.join(firsts, "_file", "left").filter(
         (F.col("_block") > 0) | (F.col("_line") >= F.col("_first") + skip_rows)
     )

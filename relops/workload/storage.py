@@ -272,7 +272,7 @@ def save_bucketed(spark: SparkSession, sf: str) -> DataFrame:
     name = f"{scratch_schema(spark)}.lineitem"
     tables.save_bucketed(table(spark, sf, "lineitem"), name, "l_orderkey", 8)
     pending = table(spark, sf, "orders").filter(F.col("o_orderstatus") == "P")
-    return delete_by_keys(spark.table(name), pending, "l_orderkey", "o_orderkey")
+    return delete_by_keys(spark.table(name), pending, "l_orderkey", "o_orderkey", co_located=True)
 
 
 @query("SELECT o_custkey AS customer, count(*) AS n_orders, max(o_totalprice) AS top_price FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
