@@ -57,11 +57,13 @@ def parse_datetime(text: Column, layouts: Sequence[str] = OTHER_LAYOUTS) -> Colu
     clean = F.regexp_replace(clean, _CLOCK + r"[A-Za-z]{3,5}[+](?=[0-9])", "$1-")
     clean = F.regexp_replace(clean, _CLOCK + r"[A-Za-z]{3,5}-(?=[0-9])", "$1+")
     clean = F.regexp_replace(clean, _CLOCK + r"(?:[A-Za-z]{3,5}$|(?=[+-]))", "$1")
-    return F.coalesce(
-        clean.try_cast("timestamp"),
-        F.replace(clean, F.lit(","), F.lit(".")).try_cast("timestamp"),
-        *[F.try_to_timestamp(clean, F.lit(layout + _OFFSETS)) for layout in layouts],
-    )
+
+    def other(c: Column) -> Column:
+        tried = [F.try_to_timestamp(c, F.lit(layout + _OFFSETS)) for layout in layouts]
+        return F.coalesce(F.replace(c, F.lit(","), F.lit(".")).try_cast("timestamp"), *tried)
+
+    # ISO text stays in generated code; the rare rest binds its text once as a lambda argument.
+    return F.coalesce(clean.try_cast("timestamp"), F.transform(F.array(clean), other)[0])
 
 
 def normalise_datetime(text: Column, strict: bool = True) -> Column:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Fixed value: bytes one query may scan by default.
 DEFAULT_BUDGET = 2 * 2**40
 
+# Leaves that hold values of the query itself and read nothing.
+CONSTANT_LEAVES = ("OneRowRelation", "LocalRelation", "Range")
+
 
 class BudgetExceeded(RuntimeError):
     """A query would scan more than it may."""
@@ -26,6 +29,8 @@ def scan_bytes(df: DataFrame) -> int:
         link = leaf.logicalLink()
         if link.isEmpty():
             continue
+        if link.get().nodeName() in CONSTANT_LEAVES:
+            continue
         size = int(str(link.get().stats().sizeInBytes()))
         if leaf.getClass().getSimpleName() == "FileSourceScanExec":
             width = leaf.relation().dataSchema().defaultSize()

@@ -8,6 +8,7 @@ import logging
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
@@ -135,7 +136,7 @@ def load_table(df: DataFrame, name: str, disposition: str = WRITE_EMPTY, **optio
     try:
         save_table(df, name, disposition, **options)
         return True
-    except (PySparkException, ValueError) as error:
+    except (PySparkException, Py4JJavaError, ValueError) as error:
         log.error("load of %s failed: %s", name, error)
         return False
 
