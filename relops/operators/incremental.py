@@ -51,47 +51,85 @@ def upsert(
     """MERGE semantics: matched rows take every top-level column of their update, other updates are inserted.
 
     Null keys never match. One update may hit many main rows; two updates for one main row fail the job.
+    See :func:`apply_changes` for how it is run.
+    """
+
+    return apply_changes(main, updates, None, keys, co_located=co_located)
+
+
+def apply_changes(
+    main: DataFrame,
+    updates: DataFrame,
+    deletes: DataFrame | None,
+    keys: str | Sequence[str],
+    delete_keys: str | Sequence[str] | None = None,
+    *,
+    co_located: bool = False,
+) -> DataFrame:
+    """An upsert followed by a delete of the same keys, in one join over the main table.
+
+    The main table is the left side of a left join against one row per changed key: a small change set is broadcast
+    and main is not shuffled, beyond Spark's broadcast threshold AQE can split a hot main key. A full outer join
+    allows neither. Inserts are found from main's key columns alone. ``co_located`` says that main is bucketed by
+    the keys: it is then joined where it lies, without a shuffle and without splitting.
 
-    The main table is the left side of a left join: a small update set is broadcast and main is not shuffled, beyond
-    Spark's broadcast threshold AQE can split a hot main key. A full outer join allows neither. Inserts are found
-    from main's key columns alone. ``co_located`` says that main is bucketed by the keys: it is then joined where it
-    lies, without a shuffle and without splitting.
+    ``updates`` is read several times: stage it first when it is a long computation.
     """
 
     keys = as_list(keys)
     require_same_columns(main, updates, "upsert")
     require_columns(main, keys, "main table")
     names = [quote(k) for k in keys]
+    copies = [F.col(f"_k{i}") for i in range(len(keys))]
+    matches = _equal if co_located else splittable_match
 
     main_keyed, main_null = split_null_keys(main, keys)
     upd_keyed, upd_null = split_null_keys(updates, keys)
 
-    per_key = (
-        upd_keyed.groupBy(*names)
-        .agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*map(col, updates.columns))).alias("_new"))
-        .select(*_renamed(keys), "_n", "_new")
+    changed = upd_keyed.select(*_renamed(keys), F.struct(*map(col, updates.columns)).alias("_row"))
+    gone = None
+    if deletes is not None:
+        delete_keys = keys if delete_keys is None else as_list(delete_keys)
+        _check_delete_keys(main, deletes, keys, delete_keys)
+        gone, _ = split_null_keys(deletes, delete_keys)
+        gone = gone.select(*_renamed(delete_keys)).distinct()
+        changed = changed.unionByName(gone.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
+    else:
+        changed = changed.withColumn("_gone", F.lit(None).cast("boolean"))
+    per_key = changed.groupBy(*copies).agg(
+        F.count("_row").alias("_n"),
+        F.first("_row", ignorenulls=True).alias("_new"),
+        F.coalesce(F.max("_gone"), F.lit(False)).alias("_gone"),
     )
-    copies = [F.col(f"_k{i}") for i in range(len(keys))]
-    matches = _equal if co_located else splittable_match
     ambiguous = F.raise_error(F.lit(f"upsert: several updates for one row of the main table, keys {keys}"))
+    kept = F.when(F.col("_n") > 1, ambiguous.cast("boolean")).otherwise(~F.coalesce("_gone", F.lit(False)))
     merged = (
         main_keyed.join(per_key, matches(zip(map(col, keys), copies)), "left")
-        .filter(F.when(F.col("_n") > 1, ambiguous.cast("boolean")).otherwise(F.lit(True)))
-        .select(
-            *[
-                F.when(F.col("_n").isNotNull(), F.col(f"_new.{quote(c)}")).otherwise(col(c)).alias(c)
-                for c in main.columns
-            ]
-        )
+        .filter(kept)
+        .select(*[F.when(F.col("_n") > 0, F.col(f"_new.{quote(c)}")).otherwise(col(c)).alias(c) for c in main.columns])
     )
 
     wanted = upd_keyed.select(*_renamed(keys)).distinct()
     present = main_keyed.select(*names).join(wanted, matches(zip(map(col, keys), copies)), "left_semi")
-    hit = present.select(*_renamed(keys)).distinct()
-    inserts = upd_keyed.join(hit, matches(zip(map(col, keys), copies)), "left_anti")
+    taken = present.select(*_renamed(keys))
+    taken = (taken if gone is None else taken.unionByName(gone)).distinct()
+    inserts = upd_keyed.join(taken, matches(zip(map(col, keys), copies)), "left_anti")
     return union_all([merged, main_null, inserts, upd_null])
 
 
+def _check_delete_keys(main: DataFrame, deletes: DataFrame, main_keys: list[str], delete_keys: list[str]) -> None:
+    require_columns(main, main_keys, "main table")
+    require_columns(deletes, delete_keys, "delete table")
+    if len(main_keys) != len(delete_keys):
+        raise ColumnMismatch(f"{len(main_keys)} main keys against {len(delete_keys)} delete keys")
+    for m, d in zip(main_keys, delete_keys):
+        if main.schema[m].dataType != deletes.schema[d].dataType:
+            raise ColumnMismatch(
+                f"type of {m} is {main.schema[m].dataType.simpleString()}, "
+                f"of {d} {deletes.schema[d].dataType.simpleString()}"
+            )
+
+
 def delete_by_keys(
     main: DataFrame,
     deletes: DataFrame,
@@ -110,17 +148,7 @@ def delete_by_keys(
 
     main_keys = as_list(main_keys)
     delete_keys = main_keys if delete_keys is None else as_list(delete_keys)
-    require_columns(main, main_keys, "main table")
-    require_columns(deletes, delete_keys, "delete table")
-    if len(main_keys) != len(delete_keys):
-        raise ColumnMismatch(f"{len(main_keys)} main keys against {len(delete_keys)} delete keys")
-    for m, d in zip(main_keys, delete_keys):
-        if main.schema[m].dataType != deletes.schema[d].dataType:
-            raise ColumnMismatch(
-                f"type of {m} is {main.schema[m].dataType.simpleString()}, "
-                f"of {d} {deletes.schema[d].dataType.simpleString()}"
-            )
-
+    _check_delete_keys(main, deletes, main_keys, delete_keys)
     prefixed = bool(main_prefix or delete_prefix)
 
     def key(name: str, prefix: str):

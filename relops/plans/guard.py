@@ -5,40 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relops.sizing import scan_bytes
+
 # Fixed value: bytes one query may scan by default.
 DEFAULT_BUDGET = 2 * 2**40
 
-# Leaves that hold values of the query itself and read nothing.
-CONSTANT_LEAVES = ("OneRowRelation", "LocalRelation", "Range")
-
 
 class BudgetExceeded(RuntimeError):
     """A query would scan more than it may."""
 
 
-def scan_bytes(df: DataFrame) -> int:
-    """Bytes the query's scans are estimated to read: each leaf of the optimized plan, after column pruning.
-
-    A file leaf counts its files left after partition pruning, scaled to the share of the columns it reads.
-    """
-
-    total = 0
-    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        link = leaf.logicalLink()
-        if link.isEmpty():
-            continue
-        if link.get().nodeName() in CONSTANT_LEAVES:
-            continue
-        size = int(str(link.get().stats().sizeInBytes()))
-        if leaf.getClass().getSimpleName() == "FileSourceScanExec":
-            width = leaf.relation().dataSchema().defaultSize()
-            size = size * leaf.requiredSchema().defaultSize() // max(width, 1)
-        total += size
-    return total
-
-
 def estimate_bytes(spark: SparkSession, sql: str, args: dict | None = None) -> int:
     """Bytes a query would scan; nothing is run."""
 

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relops.operators.incremental import delete_by_keys, merge_changefiles, upsert
+from relops.operators.incremental import apply_changes, merge_changefiles
 from relops.operators.registry import Release, add_release
 from relops.sinks.tables import (
     WRITE_EMPTY,
@@ -58,8 +58,7 @@ def changefile_result(
     """Main table after a set of change files: last file per key, upsert, then deletes."""
 
     last = merge_changefiles(changes, keys, seq).drop(seq)
-    merged = upsert(main, last.select(*main.columns), keys)
-    return merged if deletes is None else delete_by_keys(merged, deletes, keys, delete_keys)
+    return apply_changes(main, last.select(*main.columns), deletes, keys, delete_keys)
 
 
 def apply_changefile_release(
@@ -86,9 +85,7 @@ def apply_changefile_release(
     bounds = changes.agg(F.min(seq).alias("first"), F.max(seq).alias("last")).first()
     last = stage(merge_changefiles(changes, keys, seq).drop(seq), "changes")
     main = read_table(spark, target.table)
-    merged = upsert(main, last.select(*main.columns), keys)
-    if deletes is not None:
-        merged = delete_by_keys(merged, deletes, keys)
+    merged = apply_changes(main, last.select(*main.columns), deletes, keys)
     save_table(merged, target.table, WRITE_TRUNCATE)
     _register(
         spark,

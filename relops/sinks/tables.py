@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relops.columns import as_list, col, quote, union_all
+from relops.sizing import range_partitions
 from relops.sources.records import records_to_df
 from relops.sources.schemas import conform
 from relops.sources.tables import (
@@ -65,7 +66,8 @@ def _replace(writer: DataFrameWriter, spark: SparkSession, name: str) -> None:
     """Write the files first, then swap the catalog entry.
 
     The old table stays readable until the new one is complete, the query may read the table it replaces, and a
-    failed job loses nothing. The old files stay for readers that opened them; retention removes them.
+    failed job loses nothing. The old files stay for readers that opened them, until
+    ``retention.drop_old_files``.
     """
 
     fresh = f"{name}__{uuid.uuid4().hex[:8]}"
@@ -82,7 +84,7 @@ def cluster(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
     rest = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name not in fields]
     spread = [F.xxhash64(*map(col, rest))] if rest else []
-    return df.repartitionByRange(*map(col, fields), *spread).sortWithinPartitions(*map(col, fields))
+    return df.repartitionByRange(range_partitions(df), *map(col, fields), *spread).sortWithinPartitions(*map(col, fields))
 
 
 def create_empty_table(
@@ -263,10 +265,3 @@ def load_tables(spark: SparkSession, tables: Sequence[TableSpec], snapshot_date:
         save_table(records_to_df(spark, spec.records, spec.schema), name, WRITE_EMPTY)
         names.append(name)
     return names
-
-
-def drop_tables(spark: SparkSession, names: Sequence[str]) -> None:
-    """Drop tables; one that is already gone is fine."""
-
-    for name in names:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")

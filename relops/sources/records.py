@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relops.columns import ColumnMismatch
+from relops.session import scratch_path
 
 
 def records_to_df(
@@ -24,12 +25,9 @@ def records_to_df(
             raise ColumnMismatch(f"fields not in the schema: {', '.join(extra)}")
     lines = spark.createDataFrame([(json.dumps(r, default=str),) for r in records], "value string")
     if schema is None:
-        sample = F.schema_of_variant_agg(F.parse_json("value"))
-        found = lines.agg(sample.alias("s")).first()["s"]
-        if not found or not found.startswith("OBJECT"):
-            return spark.createDataFrame([], T.StructType())
-        ddl = found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("DECIMAL(1,0)", "BIGINT")
-        return lines.select(F.from_json("value", ddl, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+        path = scratch_path(spark, "records")
+        lines.write.text(path)
+        return spark.read.option("mode", "FAILFAST").json(path)
     return json_records(lines, "value", schema)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relops.session import scratch_path
+from relops.sizing import range_partitions
 
 CHUNK = "_chunk"
 ROW = "_row"
@@ -28,13 +29,13 @@ def stage_in_order(df: DataFrame, order: Sequence[str], *, in_task: dict[str, Co
     """Globally sorted copy of ``df`` whose rows know their place: file number ``_chunk``, row in file ``_row``.
 
     Range partitioning balances the files by row count whatever the key distribution, as long as ``order`` is
-    unique. The number of files is left to adaptive execution. ``in_task`` adds columns computed after the sort,
+    unique. Their number follows from what ``df`` scans. ``in_task`` adds columns computed after the sort,
     for iterator UDFs that read a task's rows in order.
     """
 
     spark = df.sparkSession
     path = scratch_path(spark, "ordered")
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = df.repartitionByRange(range_partitions(df), *order).sortWithinPartitions(*order)
     if in_task:
         placed = placed.withColumns(in_task)
     placed.write.option("maxRecordsPerFile", 0).parquet(path)

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from relops.columns import ColumnMismatch
-from relops.operators.incremental import delete_by_keys, merge_changefiles, upsert
+from relops.operators.incremental import apply_changes, delete_by_keys, merge_changefiles, upsert
 from relops.sinks.tables import save_bucketed
 
 D = dt.date
@@ -112,6 +112,16 @@ def test_delete_checks_keys_and_keeps_nulls(spark):
         delete_by_keys(main, gone, ["k", "v"], ["k"])
 
 
+def test_changes_with_deletes_in_one_join(spark):
+    main = spark.createDataFrame([(1, "a"), (1, "aa"), (2, "b"), (3, "c"), (None, "n")], "k int, v string")
+    updates = spark.createDataFrame([(1, "A"), (4, "D"), (5, "E"), (None, "N")], "k int, v string")
+    deletes = spark.createDataFrame([(2,), (2,), (5,), (9,), (None,)], "gone int")
+    got = apply_changes(main, updates, deletes, "k", "gone")
+    wanted = delete_by_keys(upsert(main, updates, "k"), deletes, "k", "gone")
+    assert rows(got) == rows(wanted)
+    assert rows(got) == sorted([(1, "A"), (1, "A"), (3, "c"), (4, "D"), (None, "n"), (None, "N")], key=repr)
+
+
 def test_merge_keeps_all_rows_of_the_last_file(spark):
     changes = [("a", 1, 1), ("a", 2, 2), ("a", 2, 3), ("b", 1, 4), (None, 1, 5), (None, 3, 6)]
     df = spark.createDataFrame(changes, "k string, seq int, v int")

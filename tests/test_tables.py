@@ -12,7 +12,8 @@ from relops.operators.rollups import expired
 from relops.operators.shards import NoShard, latest_table, shard_dates
 from relops.plans import guard
 from relops.plans.releases import Target, apply_changefile_release, apply_partition_release, apply_snapshot_release
-from relops.sinks import tables
+from relops.session import scratch_path
+from relops.sinks import retention, tables
 from relops.sources import schemas
 from relops.sources.records import records_to_df
 from relops.sources.tables import (
@@ -232,9 +233,24 @@ def test_inventory(spark, schema, people):
     assert rows["people"]["n_rows"] == 5 and rows["people"]["n_bytes"] > 0
     assert schema.split(".")[-1] in list_schemas(spark, "relops_")
     later = dt.datetime.now(dt.timezone.utc) + dt.timedelta(hours=30)
-    old = expired(table_inventory(spark, schema), 24, later, prefix=schema, name="table_id")
-    tables.drop_tables(spark, [r["table_id"] for r in old.collect() if r["table_type"] != "VIEW"] + [f"{schema}.never"])
+    assert retention.drop_expired(spark, table_inventory(spark, schema), 48, later, schema) == []
+    dropped = retention.drop_expired(spark, table_inventory(spark, schema), 24, later, schema)
+    assert sorted(dropped) == [f"{schema}.other", f"{schema}.people"]
     assert not table_exists(spark, f"{schema}.people")
+    retention.drop_tables(spark, dropped)
+    retention.drop_schemas(spark, [schema, schema])
+    assert schema.split(".")[-1] not in list_schemas(spark)
+
+
+def test_old_files(spark, schema, people):
+    name = f"{schema}.people"
+    for _ in range(3):
+        tables.save_table(people, name, "WRITE_TRUNCATE")
+    assert retention.drop_old_files(spark, name) == 2
+    assert spark.table(name).count() == 5
+    path = scratch_path(spark, "prefix")
+    people.write.json(path)
+    assert retention.delete_prefix(spark, path) and not retention.delete_prefix(spark, path)
 
 
 def test_expired_is_fractional(spark):
