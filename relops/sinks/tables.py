@@ -32,6 +32,7 @@ from relops.sources.tables import (
 
 WRITE_EMPTY, WRITE_TRUNCATE, WRITE_APPEND = "WRITE_EMPTY", "WRITE_TRUNCATE", "WRITE_APPEND"
 LABEL = "relops.label."
+OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 log = logging.getLogger(__name__)
 
@@ -181,7 +182,13 @@ def replace_partitions(df: DataFrame, name: str) -> None:
     properties = table_properties(spark, name)
     placed, _ = _with_partition(df, properties[PARTITION_FIELD], properties[PARTITION_KIND])
     ordered = placed.select(*map(col, spark.table(name).columns))
-    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name, overwrite=True)
+    # insertInto takes the mode from the session alone; static mode would drop every other partition.
+    before = spark.conf.get(OVERWRITE_MODE)
+    spark.conf.set(OVERWRITE_MODE, "dynamic")
+    try:
+        ordered.write.insertInto(name, overwrite=True)
+    finally:
+        spark.conf.set(OVERWRITE_MODE, before)
 
 
 def save_clustered(df: DataFrame, name: str, fields: str | Sequence[str], disposition: str = WRITE_TRUNCATE) -> None:

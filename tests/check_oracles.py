@@ -10,6 +10,8 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from pyspark.sql import SparkSession
+
 from relops.session import get_spark
 from relops.workload import ORACLES, QUERIES
 from tests.oracle import connect, differences
@@ -18,9 +20,13 @@ from tests.oracle import connect, differences
 def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
+    parser.add_argument("--plain", action="store_true", help="a session without this library's settings")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
-    spark = get_spark("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false")
+    if args.plain:
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+    else:
+        spark = get_spark("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(args.sf)
     bad = 0

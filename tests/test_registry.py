@@ -14,28 +14,28 @@ UTC = dt.timezone.utc
 
 def release(day, **more):
     at = dt.datetime(2024, 1, 1, tzinfo=UTC) + dt.timedelta(days=day)
-    return reg.Release(dag_id="doi", entity_id="crossref", created=at, modified=at, **more)
+    return reg.Release(dag_id="sales", entity_id="orders", created=at, modified=at, **more)
 
 
 def test_registry(spark, schema):
     table = f"{schema}.releases"
     reg.seed_registry(spark, table)
-    assert reg.is_first_release(spark.table(table), "doi", "crossref")
-    assert reg.latest_release(spark.table(table), "doi", "crossref") is None
+    assert reg.is_first_release(spark.table(table), "sales", "orders")
+    assert reg.latest_release(spark.table(table), "sales", "orders") is None
     snapshots = [dt.datetime(year, 6, 1, tzinfo=UTC) for year in (2024, 2022, 2023)]
     added = [release(i, snapshot_date=s, sequence_start=i, extra={"n": i}) for i, s in enumerate(snapshots)]
     for r in added:
         reg.add_release(spark, table, r)
     registry = spark.table(table)
-    assert not reg.is_first_release(registry, "doi", "crossref")
-    assert reg.is_first_release(registry, "doi", "other")
-    found = [reg.Release.from_row(r) for r in reg.get_releases(registry, "doi", "crossref").collect()]
+    assert not reg.is_first_release(registry, "sales", "orders")
+    assert reg.is_first_release(registry, "sales", "other")
+    found = [reg.Release.from_row(r) for r in reg.get_releases(registry, "sales", "orders").collect()]
     assert found == added[::-1]
-    assert reg.get_releases(registry, "doi", "crossref", limit=2).count() == 2
-    assert reg.latest_release(registry, "doi", "crossref", "snapshot_date") == added[0]
+    assert reg.get_releases(registry, "sales", "orders", limit=2).count() == 2
+    assert reg.latest_release(registry, "sales", "orders", "snapshot_date") == added[0]
     assert reg.Release.from_row(reg.latest_releases(registry, "snapshot_date").first()) == added[0]
     with pytest.raises(ValueError):
-        reg.get_releases(registry, "doi", "crossref", "dag_id")
+        reg.get_releases(registry, "sales", "orders", "dag_id")
     assert found[0].extra == {"n": 2}
 
 
