@@ -18,6 +18,7 @@ from relops.sinks.tables import (
     save_partitioned,
     save_table,
     snapshot_table,
+    whole_table,
 )
 from relops.sources.schemas import conform
 from relops.sources.tables import read_table, table_exists
@@ -84,7 +85,7 @@ def apply_changefile_release(
         snapshot_table(spark, target.table, snapshot, snapshot_expires_at)
     bounds = changes.agg(F.min(seq).alias("first"), F.max(seq).alias("last")).first()
     last = stage(merge_changefiles(changes, keys, seq).drop(seq), "changes")
-    main = read_table(spark, target.table)
+    main = whole_table(spark, target.table)
     merged = apply_changes(main, last.select(*main.columns), deletes, keys)
     save_table(merged, target.table, WRITE_TRUNCATE)
     _register(
@@ -96,7 +97,7 @@ def apply_changefile_release(
         sequence_start=bounds["first"],
         sequence_end=bounds["last"],
     )
-    return read_table(spark, target.table)
+    return whole_table(spark, target.table)
 
 
 def apply_snapshot_release(
@@ -130,4 +131,4 @@ def apply_partition_release(
     else:
         save_partitioned(stamped, target.table, field, kind)
     _register(spark, target, now, partition_date=partition_date)
-    return spark.table(target.table)
+    return whole_table(spark, target.table)

@@ -6,7 +6,7 @@ import dataclasses
 import datetime as dt
 import logging
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relops.columns import as_list, col, quote, union_all
+from relops.columns import as_list, col, union_all
 from relops.sizing import range_partitions
+from relops.sources.files import scan_csv, scan_jsonl
 from relops.sources.records import records_to_df
 from relops.sources.schemas import conform
 from relops.sources.tables import (
@@ -24,14 +25,18 @@ from relops.sources.tables import (
     PARTITION_FORMATS,
     PARTITION_KIND,
     REQUIRE_FILTER,
+    TableMissing,
     partition_column,
     partition_value,
-    read_table,
+    table_exists,
     table_properties,
+    without_partition_column,
 )
 
 WRITE_EMPTY, WRITE_TRUNCATE, WRITE_APPEND = "WRITE_EMPTY", "WRITE_TRUNCATE", "WRITE_APPEND"
 LABEL = "relops.label."
+CLUSTER_BY, BUCKET_BY, BUCKETS = "relops.cluster_by", "relops.bucket_by", "relops.buckets"
+LAYOUT_PROPERTIES = (PARTITION_FIELD, PARTITION_KIND, REQUIRE_FILTER, CLUSTER_BY, BUCKET_BY, BUCKETS)
 OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 log = logging.getLogger(__name__)
@@ -63,21 +68,70 @@ def table_location(spark: SparkSession, name: str) -> str:
     return f"{home.rstrip('/')}/{table}/{uuid.uuid4().hex}"
 
 
-def _replace(writer: DataFrameWriter, spark: SparkSession, name: str) -> None:
-    """Write the files first, then swap the catalog entry.
+@dataclasses.dataclass(frozen=True, kw_only=True)
+class Layout:
+    """How a table's rows lie in files; kept with the table and applied again whenever it is rewritten.
 
-    The old table stays readable until the new one is complete, the query may read the table it replaces, and a
-    failed job loses nothing. The old files stay for readers that opened them, until
-    ``retention.drop_old_files``.
+    Partitioned by the hour, day, month or year of a field, or bucketed by merge keys, or neither; clustered
+    (sorted, so that file statistics skip) by further fields.
     """
 
-    fresh = f"{name}__{uuid.uuid4().hex[:8]}"
-    writer.option("path", table_location(spark, name)).format("parquet").saveAsTable(fresh)
-    if spark.catalog.tableExists(name):
-        kept = {k: v for k, v in table_properties(spark, name).items() if k.startswith("relops.")}
-        set_properties(spark, fresh, kept)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO {'.'.join(name.split('.')[-2:])}")
+    partition_field: str | None = None
+    partition_kind: str = "DAY"
+    require_filter: bool = False
+    cluster_by: tuple[str, ...] = ()
+    bucket_by: tuple[str, ...] = ()
+    buckets: int = 0
+
+    @classmethod
+    def of(cls, properties: dict[str, str]) -> Layout:
+        return cls(
+            partition_field=properties.get(PARTITION_FIELD),
+            partition_kind=properties.get(PARTITION_KIND, "DAY"),
+            require_filter=properties.get(REQUIRE_FILTER) == "true",
+            cluster_by=tuple(filter(None, properties.get(CLUSTER_BY, "").split(","))),
+            bucket_by=tuple(filter(None, properties.get(BUCKET_BY, "").split(","))),
+            buckets=int(properties.get(BUCKETS, "0")),
+        )
+
+    def properties(self) -> dict[str, str]:
+        found = {}
+        if self.partition_field:
+            found[PARTITION_FIELD] = self.partition_field
+            found[PARTITION_KIND] = self.partition_kind
+            found[REQUIRE_FILTER] = str(self.require_filter).lower()
+        if self.cluster_by:
+            found[CLUSTER_BY] = ",".join(self.cluster_by)
+        if self.bucket_by:
+            found[BUCKET_BY], found[BUCKETS] = ",".join(self.bucket_by), str(self.buckets)
+        return found
+
+    def fits(self, df: DataFrame) -> bool:
+        needed = {*self.cluster_by, *self.bucket_by, *([self.partition_field] if self.partition_field else [])}
+        return needed <= set(df.columns)
+
+    def place(self, df: DataFrame) -> DataFrame:
+        """Rows where this layout wants them, the partition column added."""
+
+        if self.partition_field:
+            if self.partition_kind not in PARTITION_FORMATS:
+                raise ValueError(f"unknown partition kind {self.partition_kind}")
+            part = partition_column(self.partition_field, self.partition_kind)
+            # REBALANCE lets AQE split a partition value that holds many rows and merge small ones.
+            df = df.withColumn(part, partition_value(col(self.partition_field), self.partition_kind))
+            df = df.hint("rebalance", part)
+            return df.sortWithinPartitions(*map(col, [part, *self.cluster_by])) if self.cluster_by else df
+        if self.bucket_by:
+            return df.repartition(self.buckets, *map(col, self.bucket_by))
+        return cluster(df, self.cluster_by) if self.cluster_by else df
+
+    def writer(self, df: DataFrame) -> DataFrameWriter:
+        writer = self.place(df).write.format("parquet")
+        if self.partition_field:
+            return writer.partitionBy(partition_column(self.partition_field, self.partition_kind))
+        if self.bucket_by:
+            return writer.bucketBy(self.buckets, *self.bucket_by).sortBy(*self.bucket_by)
+        return writer
 
 
 def cluster(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -85,7 +139,26 @@ def cluster(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
     rest = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name not in fields]
     spread = [F.xxhash64(*map(col, rest))] if rest else []
-    return df.repartitionByRange(range_partitions(df), *map(col, fields), *spread).sortWithinPartitions(*map(col, fields))
+    placed = df.repartitionByRange(range_partitions(df), *map(col, fields), *spread)
+    return placed.sortWithinPartitions(*map(col, fields))
+
+
+def _replace(df: DataFrame, name: str, layout: Layout) -> None:
+    """Write the files first, then swap the catalog entry.
+
+    The old table stays readable until the new one is complete, the query may read the table it replaces, and a
+    failed job loses nothing. The old files stay for readers that opened them, until
+    ``retention.drop_old_files``.
+    """
+
+    spark = df.sparkSession
+    fresh = f"{name}__{uuid.uuid4().hex[:8]}"
+    layout.writer(df).option("path", table_location(spark, name)).saveAsTable(fresh)
+    kept = table_properties(spark, name) if spark.catalog.tableExists(name) else {}
+    kept = {k: v for k, v in kept.items() if k.startswith("relops.") and k not in LAYOUT_PROPERTIES}
+    set_properties(spark, fresh, {**kept, **layout.properties()})
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {'.'.join(name.split('.')[-2:])}")
 
 
 def create_empty_table(
@@ -95,9 +168,7 @@ def create_empty_table(
         if not exists_ok:
             raise TableNotEmpty(f"{name} exists")
         return
-    _replace(spark.createDataFrame([], schema).write, spark, name)
-    if cluster_by:
-        set_properties(spark, name, {"relops.cluster_by": ",".join(cluster_by)})
+    _replace(spark.createDataFrame([], schema), name, Layout(cluster_by=tuple(cluster_by)))
 
 
 def save_table(
@@ -105,11 +176,14 @@ def save_table(
     name: str,
     disposition: str = WRITE_EMPTY,
     *,
+    layout: Layout | None = None,
     description: str | None = None,
     labels: dict[str, str] | None = None,
-    cluster_by: Sequence[str] | None = None,
 ) -> None:
-    """EMPTY refuses a table that has rows, TRUNCATE replaces it, APPEND adds to it (all create it when missing)."""
+    """EMPTY refuses a table that has rows, TRUNCATE replaces it, APPEND adds to it (all create it when missing).
+
+    Without a ``layout`` an existing table keeps its own.
+    """
 
     spark = df.sparkSession
     exists = spark.catalog.tableExists(name)
@@ -117,39 +191,32 @@ def save_table(
         raise ValueError(f"unknown disposition {disposition}")
     if disposition == WRITE_EMPTY and exists and not spark.table(name).isEmpty():
         raise TableNotEmpty(name)
-    if cluster_by:
-        df = cluster(df, cluster_by)
-    if exists and disposition != WRITE_TRUNCATE:
+    present = Layout.of(table_properties(spark, name)) if exists else Layout()
+    if exists and disposition != WRITE_TRUNCATE and layout in (None, present):
         target = spark.table(name)
-        conform(df, _nullable(target.schema)).write.insertInto(name)
+        logical = without_partition_column(target, table_properties(spark, name))
+        rows = conform(df, _nullable(logical.schema))
+        present.place(rows).select(*map(col, target.columns)).write.insertInto(name)
+    elif disposition == WRITE_APPEND and exists:
+        raise ValueError(f"{name} has another layout")
     else:
-        _replace(df.write, spark, name)
+        if layout is None:
+            layout = present if present.fits(df) else Layout()
+        _replace(df, name, layout)
+    _note_size(spark, name)
     if description is not None:
         set_description(spark, name, description)
     set_properties(spark, name, {f"{LABEL}{k}": v for k, v in (labels or {}).items()})
 
 
-def _nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+def _note_size(spark: SparkSession, name: str) -> None:
+    """Record the table's bytes (from file listings, no scan) for broadcast decisions and scan estimates."""
 
+    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS NOSCAN")
 
-def load_table(df: DataFrame, name: str, disposition: str = WRITE_EMPTY, **options) -> bool:
-    """As :func:`save_table`, but a load Spark rejects (bad values, mismatched columns) gives False and a log entry."""
 
-    try:
-        save_table(df, name, disposition, **options)
-        return True
-    except (PySparkException, Py4JJavaError, ValueError) as error:
-        log.error("load of %s failed: %s", name, error)
-        return False
-
-
-def _with_partition(df: DataFrame, field: str, kind: str) -> tuple[DataFrame, str]:
-    if kind not in PARTITION_FORMATS:
-        raise ValueError(f"unknown partition kind {kind}")
-    part = partition_column(field, kind)
-    # REBALANCE lets AQE split a partition value that holds many rows and merge small ones.
-    return df.withColumn(part, partition_value(col(field), kind)).hint("rebalance", part), part
+def _nullable(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
 def save_partitioned(
@@ -157,30 +224,25 @@ def save_partitioned(
     name: str,
     field: str,
     kind: str = "DAY",
+    disposition: str = WRITE_TRUNCATE,
     *,
     require_filter: bool = False,
     cluster_by: Sequence[str] = (),
     description: str | None = None,
 ) -> None:
-    """A table partitioned by the hour, day, month or year of ``field``; replaces the table."""
+    """A table partitioned by the hour, day, month or year of ``field``."""
 
-    spark = df.sparkSession
-    placed, part = _with_partition(df, field, kind)
-    if cluster_by:
-        placed = placed.sortWithinPartitions(quote(part), *map(quote, cluster_by))
-    _replace(placed.write.partitionBy(part), spark, name)
-    properties = {PARTITION_FIELD: field, PARTITION_KIND: kind, REQUIRE_FILTER: str(require_filter).lower()}
-    set_properties(spark, name, properties)
-    if description is not None:
-        set_description(spark, name, description)
+    layout = Layout(
+        partition_field=field, partition_kind=kind, require_filter=require_filter, cluster_by=tuple(cluster_by)
+    )
+    save_table(df, name, disposition, layout=layout, description=description)
 
 
 def replace_partitions(df: DataFrame, name: str) -> None:
-    """Replace exactly the partitions that ``df`` has rows for, in a table :func:`save_partitioned` made."""
+    """Replace exactly the partitions that ``df`` has rows for, in a partitioned table."""
 
     spark = df.sparkSession
-    properties = table_properties(spark, name)
-    placed, _ = _with_partition(df, properties[PARTITION_FIELD], properties[PARTITION_KIND])
+    placed = Layout.of(table_properties(spark, name)).place(df)
     ordered = placed.select(*map(col, spark.table(name).columns))
     # insertInto takes the mode from the session alone; static mode would drop every other partition.
     before = spark.conf.get(OVERWRITE_MODE)
@@ -189,19 +251,22 @@ def replace_partitions(df: DataFrame, name: str) -> None:
         ordered.write.insertInto(name, overwrite=True)
     finally:
         spark.conf.set(OVERWRITE_MODE, before)
+    _note_size(spark, name)
 
 
 def save_clustered(df: DataFrame, name: str, fields: str | Sequence[str], disposition: str = WRITE_TRUNCATE) -> None:
-    save_table(df, name, disposition, cluster_by=as_list(fields))
-    set_properties(df.sparkSession, name, {"relops.cluster_by": ",".join(as_list(fields))})
+    save_table(df, name, disposition, layout=Layout(cluster_by=tuple(as_list(fields))))
 
 
-def save_bucketed(df: DataFrame, name: str, keys: str | Sequence[str], buckets: int) -> None:
-    """A table hashed by its merge keys into ``buckets``: upserts and deletes by those keys skip its shuffle."""
+def save_bucketed(
+    df: DataFrame, name: str, keys: str | Sequence[str], buckets: int, disposition: str = WRITE_TRUNCATE
+) -> None:
+    """A table hashed by its merge keys into ``buckets``: upserts and deletes by those keys skip its shuffle.
 
-    keys = as_list(keys)
-    writer = df.repartition(buckets, *map(col, keys)).write.bucketBy(buckets, *keys).sortBy(*keys)
-    _replace(writer, df.sparkSession, name)
+    One key's rows share a bucket, so this is for keys that do not repeat much.
+    """
+
+    save_table(df, name, disposition, layout=Layout(bucket_by=tuple(as_list(keys)), buckets=buckets))
 
 
 def copy_tables(
@@ -209,13 +274,23 @@ def copy_tables(
 ) -> None:
     """Copy one table, or the union of several with the same columns."""
 
-    save_table(union_all(read_table(spark, s) for s in as_list(sources)), target, disposition)
+    names = as_list(sources)
+    layout = Layout.of(table_properties(spark, names[0])) if len(names) == 1 else None
+    save_table(union_all(whole_table(spark, s) for s in names), target, disposition, layout=layout)
+
+
+def whole_table(spark: SparkSession, name: str) -> DataFrame:
+    """All rows of a table, also of one that otherwise has to be read by partition."""
+
+    if not table_exists(spark, name):
+        raise TableMissing(name)
+    return without_partition_column(spark.table(name), table_properties(spark, name))
 
 
 def snapshot_table(spark: SparkSession, source: str, target: str, expires_at: dt.datetime | None = None) -> None:
     """Full copy that must not exist yet; once expired it reads as missing. Without an expiry it stays."""
 
-    save_table(read_table(spark, source), target, WRITE_EMPTY)
+    copy_tables(spark, source, target, WRITE_EMPTY)
     if expires_at is not None:
         if expires_at.tzinfo is None:
             expires_at = expires_at.replace(tzinfo=dt.timezone.utc)
@@ -246,7 +321,65 @@ def table_from_query(
     result = guarded_query(spark, sql, args, DEFAULT_BUDGET if bytes_budget is None else bytes_budget)
     if schema is not None:
         result = conform(result, schema)
-    save_table(result, name, WRITE_TRUNCATE, cluster_by=cluster_by, labels=labels)
+    save_table(result, name, WRITE_TRUNCATE, layout=Layout(cluster_by=tuple(cluster_by or ())), labels=labels)
+
+
+def _accepted(name: str, save: Callable[[], None]) -> bool:
+    """Whether a load went through; one Spark rejects (bad values, mismatched columns) is logged instead."""
+
+    try:
+        save()
+        return True
+    except (PySparkException, Py4JJavaError, ValueError) as error:
+        log.error("load of %s failed: %s", name, error)
+        return False
+
+
+def load_files(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    name: str,
+    schema: T.StructType,
+    file_format: str,
+    disposition: str = WRITE_EMPTY,
+    *,
+    layout: Layout | None = None,
+    description: str | None = None,
+    ignore_unknown: bool = False,
+    **csv_options,
+) -> bool:
+    """CSV or JSON-lines files (``csv`` or ``jsonl``) into a table; False when the load is rejected."""
+
+    def save() -> None:
+        if file_format == "csv":
+            rows = scan_csv(spark, paths, _nullable(schema), **csv_options)
+        elif file_format == "jsonl":
+            rows = scan_jsonl(spark, paths, _nullable(schema), ignore_unknown=ignore_unknown)
+        else:
+            raise ValueError(f"unknown file format {file_format}")
+        save_table(conform(rows, schema), name, disposition, layout=layout, description=description)
+
+    return _accepted(name, save)
+
+
+def load_records(
+    spark: SparkSession,
+    records: Iterable[dict],
+    name: str,
+    schema: T.StructType | None = None,
+    disposition: str = WRITE_TRUNCATE,
+    *,
+    layout: Layout | None = None,
+    description: str | None = None,
+    ignore_unknown: bool = False,
+) -> bool:
+    """Driver-side records into a table; False when the load is rejected."""
+
+    def save() -> None:
+        rows = records_to_df(spark, records, schema, ignore_unknown=ignore_unknown)
+        save_table(rows, name, disposition, layout=layout, description=description)
+
+    return _accepted(name, save)
 
 
 @dataclasses.dataclass(kw_only=True)

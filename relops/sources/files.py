@@ -27,6 +27,27 @@ def with_source_file(df: DataFrame, name: str = "source_file") -> DataFrame:
     return df.withColumn(name, F.col("_metadata.file_path"))
 
 
+# Texts that stand for a missing value in files read without a schema.
+MISSING_TEXTS = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
+def _blank_missing(df: DataFrame) -> DataFrame:
+    """Not-a-number and the texts for it as nulls."""
+
+    def present(f: T.StructField) -> Column:
+        value = col(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            value = F.nanvl(value, F.lit(None).cast(f.dataType))
+        elif isinstance(f.dataType, T.StringType):
+            value = F.when(~value.isin(*MISSING_TEXTS), value)
+        return value.alias(f.name)
+
+    return df.select(*map(present, df.schema.fields))
+
+
 def scan_csv(
     spark: SparkSession,
     paths: Paths,
@@ -45,7 +66,7 @@ def scan_csv(
     options = {"sep": sep, "quote": quote, "escape": quote, "mode": "FAILFAST"}
     reader = spark.read.options(**options).option("multiLine", multiline)
     if schema is None:
-        return reader.option("header", True).option("inferSchema", True).option("nanValue", "").csv(_paths(paths))
+        return _blank_missing(reader.option("header", True).option("inferSchema", True).csv(_paths(paths)))
     if skip_rows <= 1:
         return reader.option("header", skip_rows == 1).option("enforceSchema", True).schema(schema).csv(_paths(paths))
     if multiline:

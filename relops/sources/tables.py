@@ -53,6 +53,13 @@ def partition_value(ts: Column, kind: str) -> Column:
     return F.date_format(ts, PARTITION_FORMATS[kind])
 
 
+def without_partition_column(table: DataFrame, properties: dict[str, str]) -> DataFrame:
+    """The table without the column that only names its partitions."""
+
+    field = properties.get(PARTITION_FIELD)
+    return table.drop(partition_column(field, properties[PARTITION_KIND])) if field else table
+
+
 def read_table(
     spark: SparkSession,
     name: str,
@@ -77,7 +84,7 @@ def read_table(
     if start is None and end is None:
         if properties.get(REQUIRE_FILTER) == "true":
             raise PartitionFilterRequired(f"{name} must be read with bounds on {field}")
-        return table
+        return without_partition_column(table, properties)
     kind = properties[PARTITION_KIND]
     part = col(partition_column(field, kind))
     kinds = table.schema[field].dataType
@@ -87,7 +94,7 @@ def read_table(
     if end is not None:
         high = F.lit(end).cast(kinds)
         table = table.filter((part <= partition_value(high, kind)) & (col(field) < high))
-    return table
+    return without_partition_column(table, properties)
 
 
 def table_inventory(spark: SparkSession, schema: str, prefix: str = "", *, statistics: bool = False) -> DataFrame:

@@ -251,7 +251,7 @@ def save_partitioned(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "events"), name, "ts", "DAY", require_filter=True, cluster_by=["user_id"]
     )
     kept = read_table(spark, name, start=dt.datetime(2024, 1, 5, 12), end=dt.datetime(2024, 1, 20))
-    return kept.groupBy(F.col("ts_day").alias("day")).agg(
+    return kept.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("event_id").alias("first_id"), F.max("value").alias("top_value")
     )
 

@@ -65,6 +65,14 @@ def test_csv_options(spark, tmp_path):
         files.scan_csv(spark, str(path), T.StructType.fromDDL("a int")).collect()
 
 
+def test_missing_values_without_a_schema(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("n,s,t\n1.5,a,2024-01-01\nNaN,NA,2024-01-02\n,None,\n")
+    got = [tuple(r) for r in files.scan_csv(spark, str(path)).orderBy(F.col("n").desc_nulls_last(), "t").collect()]
+    assert got[0] == (1.5, "a", dt.date(2024, 1, 1))
+    assert sorted(map(repr, got[1:])) == sorted([repr((None, None, dt.date(2024, 1, 2))), repr((None, None, None))])
+
+
 def test_skip_rows_in_files_of_many_splits(spark, tmp_path):
     for n in range(3):
         body = "".join(f"{n},{i}\n" for i in range(2000))

@@ -11,6 +11,7 @@ from relops.columns import ColumnMismatch
 from relops.operators.rollups import expired
 from relops.operators.shards import NoShard, latest_table, shard_dates
 from relops.plans import guard
+from relops.plans.merge import delete_from_table, upsert_table
 from relops.plans.releases import Target, apply_changefile_release, apply_partition_release, apply_snapshot_release
 from relops.session import scratch_path
 from relops.sinks import retention, tables
@@ -111,7 +112,6 @@ def test_dispositions(spark, schema, people):
     assert table_properties(spark, name)["relops.label.team"] == "x"
     with pytest.raises(tables.TableNotEmpty):
         tables.save_table(people, name)
-    assert tables.load_table(people, name) is False
     tables.save_table(people, name, "WRITE_APPEND")
     assert spark.table(name).count() == 10
     with pytest.raises(ColumnMismatch):
@@ -132,7 +132,8 @@ def test_a_failed_load_changes_nothing(spark, schema, people):
     name = f"{schema}.people"
     tables.save_table(people, name)
     bad = people.withColumn("dob", F.when(F.col("first_name") == "Ansgar", F.raise_error(F.lit("bad")).cast("date")).otherwise(F.col("dob")))
-    assert tables.load_table(bad, name, "WRITE_TRUNCATE") is False
+    with pytest.raises(FAILURES):
+        tables.save_table(bad, name, "WRITE_TRUNCATE")
     assert spark.table(name).count() == 5
 
 
@@ -314,4 +315,54 @@ def test_snapshot_and_partition_releases(spark, schema, people):
         ("2024-01-01", 5),
         ("2024-01-02", 1),
     ]
+    assert read_table(spark, p.table).columns == [*people.columns, "snapshot_date"]
     assert spark.table(t.registry).count() == 4
+
+
+def test_load_files(spark, schema, tmp_path):
+    lines = [json.dumps(p) for p in PEOPLE]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    (tmp_path / "b.jsonl").write_text(json.dumps({"first_name": "New", "dob": "2001-05-05"}))
+    (tmp_path / "a.csv").write_text("first,last,dob\n" + "\n".join(",".join(p.values()) for p in PEOPLE))
+    both = [str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl")]
+    name = f"{schema}.people"
+    layout = tables.Layout(partition_field="dob", partition_kind="YEAR", cluster_by=("first_name",))
+    assert tables.load_files(spark, both, name, PEOPLE_SCHEMA, "jsonl", layout=layout, description="all")
+    assert not tables.load_files(spark, both, name, PEOPLE_SCHEMA, "jsonl")
+    assert tables.load_files(spark, str(tmp_path / "a.csv"), name, PEOPLE_SCHEMA, "csv", "WRITE_APPEND", skip_rows=1)
+    assert read_table(spark, name).count() == 11
+    assert spark.table(name).filter("dob_year = '2001'").count() == 3
+    (tmp_path / "bad.jsonl").write_text('{"first_name": "x", "dob": "soon"}')
+    (tmp_path / "missing.jsonl").write_text('{"last_name": "x"}')
+    (tmp_path / "extra.jsonl").write_text('{"first_name": "x", "age": 3}')
+    for bad in ("bad", "missing", "extra"):
+        assert not tables.load_files(spark, str(tmp_path / f"{bad}.jsonl"), f"{schema}.{bad}", PEOPLE_SCHEMA, "jsonl")
+    extra = str(tmp_path / "extra.jsonl")
+    assert tables.load_files(spark, extra, f"{schema}.extra", PEOPLE_SCHEMA, "jsonl", ignore_unknown=True)
+    assert tables.load_records(spark, PEOPLE, f"{schema}.r") and tables.load_records(spark, PEOPLE, f"{schema}.r")
+    assert not tables.load_records(spark, [{"age": 3}], f"{schema}.r", PEOPLE_SCHEMA)
+    assert spark.table(f"{schema}.r").count() == 5
+
+
+@pytest.mark.parametrize(
+    "layout", [{}, {"partition_field": "day", "require_filter": True}, {"bucket_by": ("k",), "buckets": 4}, {"cluster_by": ("v",)}]
+)
+def test_stored_tables_keep_their_layout(spark, schema, layout):
+    day = dt.date(2024, 1, 1)
+    main, updates, gone = (f"{schema}.{n}" for n in ("main", "updates", "gone"))
+    rows = spark.createDataFrame([(1, "a", day), (2, "b", day), (3, "c", None)], "k int, v string, day date")
+    layout = tables.Layout(**layout)
+    tables.save_table(rows, main, layout=layout)
+    tables.save_table(spark.createDataFrame([(1, "A", day), (4, "D", day)], rows.schema), updates)
+    tables.save_table(spark.createDataFrame([("2",)], "id string"), gone)
+    upsert_table(spark, main, updates, "k")
+    delete_from_table(spark, main, updates, "k")
+    tables.save_table(rows.limit(1).withColumn("k", F.lit(4)), main, "WRITE_APPEND")
+    tables.save_table(spark.createDataFrame([(2,)], "id int"), gone, "WRITE_TRUNCATE")
+    delete_from_table(spark, main, gone, "k", "id")
+    assert sorted(r["k"] for r in tables.whole_table(spark, main).collect()) == [3, 4]
+    assert tables.Layout.of(table_properties(spark, main)) == layout
+    with pytest.raises(guard.BudgetExceeded):
+        upsert_table(spark, main, updates, "k", bytes_budget=0)
+    tables.snapshot_table(spark, main, f"{schema}.kept")
+    assert tables.Layout.of(table_properties(spark, f"{schema}.kept")) == layout
