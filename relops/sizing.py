@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 # Leaves that hold values of the query itself and read nothing.
-CONSTANT_LEAVES = ("OneRowRelation", "LocalRelation", "Range")
+CONSTANT_LEAVES = ("OneRowRelation", "LocalRelation", "Range", "LogicalRDD")
+
+# Spark states a size near the largest long where it knows none (a partitioned table never analysed).
+UNKNOWN_BYTES = 2**60
 
 # Scanned bytes one range partition should stand for; compressed columns grow several times over in a shuffle.
 BYTES_PER_PARTITION = 64 * 1024**2
@@ -36,7 +39,13 @@ def scan_bytes(df: DataFrame) -> int:
 
 
 def range_partitions(df: DataFrame) -> int:
-    """Number of range partitions for a global sort of ``df``: by what it scans, at least one per core."""
+    """Number of range partitions for a global sort of ``df``: by what it scans, at least one per core.
+
+    Where nothing is known of the size, as for a checkpointed DataFrame, the session's shuffle setting counts.
+    """
 
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(cores, min(MOST_PARTITIONS, -(-scan_bytes(df) // BYTES_PER_PARTITION)))
+    spark = df.sparkSession
+    scanned = scan_bytes(df)
+    if scanned == 0 or scanned >= UNKNOWN_BYTES:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, min(MOST_PARTITIONS, -(-scanned // BYTES_PER_PARTITION)))

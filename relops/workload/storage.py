@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from relops.columns import union_all
 from relops.functions.text import replace_in_files
 from relops.operators.registry import release_to_json, write_release_documents
-from relops.plans import releases
+from relops.plans import merge, releases
 from relops.session import scratch_path
 from relops.sinks import export, tables
 from relops.sources import files
@@ -23,6 +23,7 @@ from relops.sources.tables import scan_shards as read_shards
 from relops.sources.tables import table_inventory as inventory_of
 from relops.staging import running_size
 from relops.workload.base import query, scratch_schema, table
+from relops.workload.incremental import ORDER_UPDATES, order_updates
 
 PARTS_LIMIT = 8192
 
@@ -368,13 +369,13 @@ def export_parts_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
 def export_parts_gz(spark: SparkSession, sf: str) -> DataFrame:
-    """Gz parts, bounded in compressed bytes: lines and digest of every part."""
+    """Rows as JSON lines in gz parts, bounded in compressed bytes, and read back from all parts."""
 
     docs, path = table(spark, sf, "documents"), scratch_path(spark, "parts")
     export.export_parts(docs, path, ["doc_id"], stem="documents", max_bytes=256 * 1024, compress=True)
-    return spark.read.text(path).groupBy("part_file").agg(F.count(F.lit(1)).alias("n_lines"))
+    return files.scan_jsonl(spark, path, docs.schema, ignore_unknown=True).select(*docs.columns)
 
 
 @query("SELECT c_nationkey AS key, c_acctbal AS balance FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier")
@@ -499,6 +500,47 @@ def replace_in_text_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("SELECT * FROM events")
+def load_files(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON lines loaded in one call into a table partitioned by day and clustered by user."""
+
+    path, name = scratch_path(spark, "jsonl"), f"{scratch_schema(spark)}.events"
+    export.export_table(table(spark, sf, "events"), path, "jsonl.gz")
+    layout = tables.Layout(partition_field="ts", cluster_by=("user_id",))
+    if not tables.load_files(spark, path, name, EVENT_FIELDS, "jsonl", layout=layout):
+        raise RuntimeError("the load was rejected")
+    return read_table(spark, name)
+
+
+@query(
+    f"""
+    WITH u AS ({ORDER_UPDATES})
+    SELECT * FROM u
+    UNION ALL SELECT * FROM orders o WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.o_orderkey = o.o_orderkey)
+    """
+)
+def upsert_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same upsert on stored tables: main is partitioned by month and stays so."""
+
+    home, orders = scratch_schema(spark), table(spark, sf, "orders")
+    layout = tables.Layout(partition_field="o_orderdate", partition_kind="MONTH")
+    tables.save_table(orders, f"{home}.orders", layout=layout)
+    tables.save_table(order_updates(orders), f"{home}.updates")
+    merge.upsert_table(spark, f"{home}.orders", f"{home}.updates", "o_orderkey")
+    return tables.whole_table(spark, f"{home}.orders")
+
+
+@query("SELECT * FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderstatus = 'P' AND o.o_custkey = c.c_custkey)")
+def delete_from_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A delete between stored tables, main bucketed by its key."""
+
+    home = scratch_schema(spark)
+    tables.save_bucketed(table(spark, sf, "customer"), f"{home}.customer", "c_custkey", 8)
+    tables.save_table(table(spark, sf, "orders").filter(F.col("o_orderstatus") == "P"), f"{home}.pending")
+    merge.delete_from_table(spark, f"{home}.customer", f"{home}.pending", "c_custkey", "o_custkey")
+    return tables.whole_table(spark, f"{home}.customer")
+
+
 CHANGES = """
   SELECT CASE WHEN o_orderstatus = 'P' THEN o_custkey + 1000000000 ELSE o_custkey END AS c_custkey,
     'Changed' AS c_name, 1 AS c_nationkey, max(o_totalprice) AS c_acctbal, 'CHANGED' AS c_mktsegment,
