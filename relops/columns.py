@@ -68,7 +68,7 @@ def any_of(conditions: Iterable[Column]) -> Column:
 
 
 def splittable_match(pairs: Iterable[tuple[Column, Column]]) -> Column:
-    """Equality of keys that are never null, as a join AQE can split.
+    """Equality of keys that are not null on one side at least, as a join AQE can split.
 
     AQE splits a hot key only where both join inputs come straight from a shuffle. Written with ``=`` the planner
     would reuse the partitioning of an aggregate on the same keys and leave that side without one; ``<=>`` gives

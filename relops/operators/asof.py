@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relops.columns import all_of, as_list, col, quote
+from relops.columns import all_of, as_list, col, splittable_match
 from relops.staging import CHUNK, ROW, stage_in_order
 
 
@@ -21,31 +21,27 @@ def asof_join(
 ) -> DataFrame:
     """Every left row with the greatest ``value`` among right rows of its group no later than ``left_time``.
 
-    Both sides are merged into one time line, range-partitioned by (group, time) so that a group holding a third
-    of the rows is spread over many files, and each file takes its own running maximum. Only a file's first group
-    can go on from an earlier file, so what is carried over is at most one row per file and is broadcast.
+    Only distinct (group, time) pairs are looked up, so copies of a request cost nothing, and the answers are joined
+    back to the left rows in a join AQE can split. For the lookup both sides form one time line, range-partitioned
+    by (group, time): a group holding a third of it is spread over many files, and each file takes its own running
+    maximum. Only a file's first group can go on from an earlier file, so what is carried over is at most one row
+    per file and is broadcast.
     """
 
     groups = as_list(by)
     keys = [f"_g{i}" for i in range(len(groups))]
     named = [col(g).alias(k) for g, k in zip(groups, keys)]
-    # Equal right rows add nothing: combine them before the shuffle.
+    instant = [*keys, "_time"]
     known = (
         right.select(*named, col(right_time).alias("_time"), value.alias("_value"))
-        .filter(F.col("_time").isNotNull())
-        .groupBy(*keys, "_time")
+        .dropna(subset=instant)
+        .groupBy(*instant)
         .agg(F.max("_value").alias("_value"))
         .withColumn("_side", F.lit(0))
     )
-    asked = left.select(
-        *named, col(left_time).alias("_time"), F.lit(1).alias("_side"), F.struct(*map(col, left.columns)).alias("_left")
-    )
-    line = asked.unionByName(known, allowMissingColumns=True).withColumn(
-        # Requests at one instant are interchangeable; the hash only spreads them over files.
-        "_spread",
-        F.when(F.col("_side") == 1, F.xxhash64("_left")).otherwise(F.lit(0)),
-    )
-    staged = stage_in_order(line, [*keys, "_time", "_side", "_spread"])
+    asked = left.select(*named, col(left_time).alias("_time")).dropna().distinct().withColumn("_side", F.lit(1))
+    line = asked.unionByName(known, allowMissingColumns=True)
+    staged = stage_in_order(line, [*instant, "_side"])
 
     per_file = staged.groupBy(CHUNK, *keys).agg(F.max("_value").alias("_value"))
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -58,12 +54,12 @@ def asof_join(
     in_file = Window.partitionBy(CHUNK, *keys).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
     running = staged.withColumn("_running", F.max("_value").over(in_file)).filter(F.col("_side") == 1)
     continued = all_of([F.col(CHUNK) == F.col("_in_file"), *[F.col(k) == F.col(f"_in{k}") for k in keys]])
-    # A null time asks for nothing and a null group matches nothing, as in any join on "=" and "<=".
-    answerable = all_of(F.col(c).isNotNull() for c in ["_time", *keys])
-    latest = F.when(answerable, F.greatest("_carried", "_running"))
-    return running.join(F.broadcast(carried), continued, "left").select(
-        *[F.col(f"_left.{quote(c)}").alias(c) for c in left.columns], latest.alias(name)
+    answers = running.join(F.broadcast(carried), continued, "left").select(
+        *instant, F.greatest("_carried", "_running").alias(name)
     )
+    # A null group or time asks for nothing: there is no answer row it could meet.
+    wanted = zip([*map(col, groups), col(left_time)], map(F.col, instant))
+    return left.join(answers, splittable_match(wanted), "left").select(*map(col, left.columns), col(name))
 
 
 def latest_run_as_of(

@@ -135,7 +135,10 @@ class Layout:
 
 
 def cluster(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Rows laid out by ``fields`` so that file statistics skip; a value that fills many files is spread over them."""
+    """Rows laid out by ``fields`` so that file statistics skip; a value that fills many files is spread over them.
+
+    Only rows that agree in every plain column stay together.
+    """
 
     rest = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name not in fields]
     spread = [F.xxhash64(*map(col, rest))] if rest else []

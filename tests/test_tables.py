@@ -283,6 +283,21 @@ def test_clustering_spreads_a_hot_value(spark, schema):
     assert len(sizes) == 8 and max(sizes) < 2 * 100_000 / 8
 
 
+def test_a_hot_partition_is_written_by_several_tasks(spark, schema):
+    day = F.when(F.col("id") % 3 == 0, F.lit("2024-01-01")).otherwise(F.lit("2024-01-02")).cast("date")
+    df = spark.range(200_000).select(day.alias("day"), F.md5(F.col("id").cast("string")).alias("v")).repartition(8)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "1MB")
+    try:
+        tables.save_partitioned(df, f"{schema}.hot", "day")
+    finally:
+        spark.conf.set(size, before)
+    rows = spark.table(f"{schema}.hot").select("day_day", F.col("_metadata.file_path").alias("file")).distinct()
+    files = rows.groupBy("day_day").agg(F.count("file").alias("n"))
+    assert all(r["n"] > 2 for r in files.collect())
+
+
 def target(schema, table):
     return Target(table=f"{schema}.{table}", registry=f"{schema}.releases", dag_id="d", entity_id=table)
 
