@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from relops.columns import union_all
 from relops.functions.text import replace_in_files
 from relops.operators.registry import release_to_json, write_release_documents
-from relops.plans import merge, releases
+from relops.plans import changefiles, merge, releases
 from relops.session import scratch_path
 from relops.sinks import export, tables
 from relops.sources import files
@@ -500,6 +500,25 @@ def replace_in_text_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    WITH c AS (SELECT event_id, user_id, event_type, value, (day(ts) - 1) // 10 AS seq FROM events)
+    SELECT event_id, user_id, event_type, value FROM c QUALIFY seq = max(seq) OVER (PARTITION BY user_id)
+    """
+)
+def merge_changefile_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Four change files of ten days each, merged as text."""
+
+    root, target = scratch_path(spark, "changes"), scratch_path(spark, "merged")
+    rows = table(spark, sf, "events").select(
+        "event_id", "user_id", "event_type", "value", ((F.dayofmonth("ts") - 1) / 10).cast("int").alias("file")
+    )
+    rows.write.partitionBy("file").json(root)
+    numbers = [r["file"] for r in spark.read.json(root).select("file").distinct().orderBy("file").collect()]
+    changefiles.merge_changefile_texts(spark, [f"{root}/file={n}" for n in numbers], "user_id", target)
+    return files.scan_jsonl(spark, target, rows.drop("file").schema)
+
+
 @query("SELECT * FROM events")
 def load_files(spark: SparkSession, sf: str) -> DataFrame:
     """JSON lines loaded in one call into a table partitioned by day and clustered by user."""

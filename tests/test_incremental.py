@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.errors import PySparkException
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from relops.columns import ColumnMismatch
 from relops.operators.incremental import apply_changes, delete_by_keys, merge_changefiles, upsert
+from relops.plans.changefiles import changefile_lines, merge_changefile_texts
 from relops.sinks.tables import save_bucketed
 
 D = dt.date
@@ -181,3 +183,21 @@ def test_a_bucketed_table_is_joined_where_it_lies(spark, schema, small_partition
     assert "Bucketed: true" in executed and plan
     main_side = executed.split("LeftAnti")[1].split("Bucketed: true")[0]
     assert "Exchange" not in main_side
+
+
+def test_change_files_as_text(spark, tmp_path):
+    contents = ['{"k":"a","v":1}\n{"k":null,"v":2}\n{"k":"b", "v":3}\n', '{"k":"a","v":4}\n{"k":"a","v":5}\n', '{"k":1,"v":6}\n{"k":"1","v":7}\n']
+    paths = [str(tmp_path / f"c{i}.jsonl") for i in range(3)]
+    for path, content in zip(paths, contents):
+        with open(path, "w") as f:
+            f.write(content)
+    merge_changefile_texts(spark, paths, "k", str(tmp_path / "out"), delete_inputs=True)
+    lines = sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect())
+    assert lines == sorted(
+        ['{"k":null,"v":2}', '{"k":"b", "v":3}', '{"k":"a","v":4}', '{"k":"a","v":5}', '{"k":1,"v":6}', '{"k":"1","v":7}']
+    )
+    assert not os.path.exists(paths[0])
+    with open(paths[0], "w") as f:
+        f.write('{"v":1}')
+    with pytest.raises(PySparkException, match="no k in line"):
+        changefile_lines(spark, paths[:1], "k").collect()
