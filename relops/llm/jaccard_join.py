@@ -27,8 +27,8 @@ from relops.staging import stage
 
 SHINGLE = 3
 PERCENT = 90
-# Cells of the table of shingle frequencies: a fixed size, whatever the corpus.
-CELL_BITS = 22
+# Cells of the table of shingle frequencies, and of the bitmap of wanted ids: a fixed size, whatever the corpus.
+CELL_BITS = 23
 SLICE_BITS = 16
 # Members whose token union is stored together.
 BLOCK = 64
@@ -77,22 +77,20 @@ def overlap_needed(one: Column, other: Column, percent: int) -> Column:
 def _links(places: DataFrame, source: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) between classes that connect every pair of classes which the threshold connects."""
 
-    shared = places.groupBy("token").agg(
-        F.min("class").alias("one"),
-        F.min_by("class", F.struct(F.col("place") / F.col("n"), "class")).alias("two"),
-        F.max("class").alias("last"),
-    )
-    shared = shared.filter(F.col("one") != F.col("last")).drop("last").withColumnRenamed("token", "key")
+    shared = places.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most"))
+    shared = shared.filter(F.col("least") != F.col("most")).select(F.col("token").alias("key"))
     listed = stage(places.join(shared, F.col("token").eqNullSafe(F.col("key"))).drop("key"), "lists")
 
     # Groups: every class of a list against two pivots of it.
-    pivots = F.explode(F.array_distinct(F.array("one", "two"))).alias("pivot")
-    near = listed.select("token", "class", "id", "n", "place", pivots)
-    held = listed.filter("class = one or class = two").select(
-        F.col("token").alias("key"), F.col("class").alias("other"), F.col("id").alias("other_id"), F.col("n").alias("m"), F.col("place").alias("spot")
+    whole = F.struct("class", "id", "n", "place")
+    central = F.min_by(whole, F.struct(F.col("place") / F.col("n"), "class"))
+    pivots = listed.groupBy(F.col("token").alias("key")).agg(F.array_distinct(F.array(F.min(whole), central)).alias("pivots"))
+    near = listed.join(pivots, F.col("token").eqNullSafe(F.col("key"))).select("class", "id", "n", "place", F.explode("pivots").alias("pivot"))
+    near = near.select(
+        "class", "id", "n", "place", F.col("pivot.class").alias("other"), F.col("pivot.id").alias("other_id"), F.col("pivot.n").alias("m"), F.col("pivot.place").alias("spot")
     )
-    pairs = near.join(held, (near["token"] == held["key"]) & (near["pivot"] == held["other"]) & (near["class"] != held["other"]))
-    pairs = stage(_reachable(pairs, percent).select("class", "id", "n", "other", "other_id", "m").distinct(), "pairs")
+    pairs = _reachable(near.filter(F.col("class") != F.col("other")), percent)
+    pairs = stage(pairs.select("class", "id", "n", "other", "other_id", "m").distinct(), "pairs")
     stars = _verified(pairs, source, shingle, percent)
 
     groups = connected(stars)
@@ -121,18 +119,18 @@ def _links(places: DataFrame, source: DataFrame, shingle: int, percent: int) ->
 
 
 def _reachable(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose overlap can reach the threshold: their first shared token leaves enough tokens behind it."""
+    """Rows of pairs at a shared token that leaves enough tokens behind it; a similar pair's first shared token does."""
 
     left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("spot"))
-    first = pairs.groupBy("class", "other", "id", "other_id", "n", "m").agg(F.max(left).alias("left"))
-    return first.filter(F.col("left") >= overlap_needed(F.col("n"), F.col("m"), percent))
+    return pairs.filter(left >= overlap_needed(F.col("n"), F.col("m"), percent))
 
 
 def _sets(ids: DataFrame, source: DataFrame, shingle: int) -> DataFrame:
     """Shingle sets of some classes, made anew from one text of each: columns ``class`` and ``tokens``."""
 
-    wanted = ids.select(F.col("class").alias("wanted"), F.col("id").alias("wanted_id")).distinct()
-    texts = source.join(wanted, source["id"].eqNullSafe(wanted["wanted_id"])).select("id", "text", "wanted")
+    wanted = stage(ids.select(F.col("class").alias("wanted"), F.col("id").alias("wanted_id")).distinct(), "wanted")
+    likely = source.mapInArrow(_likely(_bitmap(wanted)), "id long, text string")
+    texts = likely.join(wanted, likely["id"].eqNullSafe(wanted["wanted_id"])).select("id", "text", "wanted")
     made = texts.mapInArrow(_set_maker(shingle), "class long, wanted long, tokens array<long>")
     return stage(made.filter("class = wanted").select("class", "tokens").dropDuplicates(["class"]), "sets")
 
@@ -246,37 +244,72 @@ def _set_maker(shingle: int):
 
 
 def _frequencies(source: DataFrame, shingle: int) -> np.ndarray:
-    """Rough document frequency of all shingles: per cell of their hashes, the power of two, as one byte.
+    """Rough document frequency of all shingles: eighths of powers of two per cell of their hashes, as one byte.
+
+    The frequencies only order tokens, so their roughness cannot lose a link.
+    """
+
+    def cells(batch):
+        for _, _, doc, hashes in shingle_sets(batch["text"], shingle):
+            yield _distinct(doc, hashes, None)[1] >> np.uint64(64 - CELL_BITS)
+
+    return _table(source.select("text"), cells)
+
+
+def _bitmap(wanted: DataFrame):
+    """A bit per cell of the ids: set where any of ``wanted_id`` falls. It thins out what is joined, and decides nothing."""
+
+    def cells(batch):
+        yield _id_cells(batch["wanted_id"])
+
+    return wanted.sparkSession.sparkContext.broadcast(np.packbits(_table(wanted.select("wanted_id"), cells) > 0))
+
+
+def _id_cells(ids: pa.Array) -> np.ndarray:
+    values = np.asarray(ids.fill_null(-1)).astype(np.int64).view(np.uint64)
+    return B.mixed(values) >> np.uint64(64 - CELL_BITS)
+
+
+def _likely(bits):
+    def pick(batches):
+        flags = np.unpackbits(bits.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(flags[_id_cells(batch["id"])]))
+
+    return pick
+
+
+def _table(rows: DataFrame, cells) -> np.ndarray:
+    """How often ``cells`` of the batches name each cell, as eighths of powers of two in one byte.
 
-    Tasks count cells over all their documents and send them as compressed slices; the slices are summed as a stream.
-    The frequencies only order tokens, so their roughness cannot lose a link. The driver gets one byte per cell.
+    Tasks count over all their rows and send compressed slices, which are summed as a stream. The driver gets one
+    byte per cell.
     """
 
     slices = 1 << (CELL_BITS - SLICE_BITS)
 
     def count(batches):
-        cells = np.zeros(1 << CELL_BITS, np.uint32)
+        counts = np.zeros(1 << CELL_BITS, np.uint32)
         for batch in batches:
-            for _, _, doc, hashes in shingle_sets(batch["text"], shingle):
-                _, hashes = _distinct(doc, hashes, None)
-                at, times = np.unique(hashes >> np.uint64(64 - CELL_BITS), return_counts=True)
-                cells[at] += times.astype(np.uint32)
-        parts = cells.reshape(slices, -1)
-        yield pa.RecordBatch.from_pydict({"slice": np.arange(slices), "cells": [zlib.compress(p.tobytes(), 1) for p in parts]})
+            for found in cells(batch):
+                at, times = np.unique(found, return_counts=True)
+                counts[at] += times.astype(np.uint32)
+        for number, part in enumerate(counts.reshape(slices, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"slice": [number], "cells": [zlib.compress(part.tobytes(), 1)]})
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for number, cells in zip(batch["slice"].to_pylist(), batch["cells"].to_pylist()):
-                one = np.frombuffer(zlib.decompress(cells), np.uint32)
+            for number, packed in zip(batch["slice"].to_pylist(), batch["cells"].to_pylist()):
+                one = np.frombuffer(zlib.decompress(packed), np.uint32)
                 sums[number] = sums[number] + one if number in sums else one.astype(np.uint64)
         for number, total in sums.items():
-            powers = np.ceil(np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
-            yield pa.RecordBatch.from_pydict({"slice": [number], "cells": [zlib.compress(powers.tobytes(), 1)]})
+            eighths = np.minimum(np.ceil(8 * np.log2(total.astype(np.float64) + 1)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"slice": [number], "cells": [zlib.compress(eighths.tobytes(), 1)]})
 
     shape = "slice long, cells binary"
-    summed = source.select("text").mapInArrow(count, shape).repartition("slice").mapInArrow(add, shape)
-    order = np.zeros((slices, 1 << SLICE_BITS), np.uint8)
-    for row in summed.collect():
-        order[row["slice"]] = np.frombuffer(zlib.decompress(row["cells"]), np.uint8)
-    return order.reshape(-1)
+    table = np.zeros((slices, 1 << SLICE_BITS), np.uint8)
+    for row in rows.mapInArrow(count, shape).repartition("slice").mapInArrow(add, shape).collect():
+        table[row["slice"]] = np.frombuffer(zlib.decompress(row["cells"]), np.uint8)
+    return table.reshape(-1)
