@@ -24,8 +24,11 @@ MOST_QUANTILES = 1000
 # Stands for a null id: later than all others.
 NO_ID = 2**63 - 1
 
+# The largest number of shards an answer counts up to.
+MANY = 127
+
 ASKED = "bucket long, shard long, keys binary, shared binary, state binary"
-REPLIED = "shard long, bucket long, n long, elsewhere binary, earlier binary, state binary"
+REPLIED = "shard long, bucket long, n long, holders binary, earlier binary, state binary"
 
 
 @dataclass
@@ -49,8 +52,10 @@ class Question:
 
 @dataclass
 class Answer:
-    """For each key asked: does any other shard have it, does an earlier one; and what was remembered."""
+    """For each key asked: how many shards have it, ``MANY`` at most; is there another document anywhere that has it,
+    and an earlier shard; and what was remembered."""
 
+    holders: np.ndarray
     elsewhere: np.ndarray
     earlier: np.ndarray
     state: bytes
@@ -136,14 +141,17 @@ def _shard(texts: pa.Table) -> Shard:
 
 def _answer(rows: pa.Table) -> Answer:
     rows = rows.sort_by("bucket")
-    elsewhere, earlier, state = [np.zeros(0, bool)], [np.zeros(0, bool)], b""
+    holders, earlier, state = [np.zeros(0, np.uint8)], [np.zeros(0, bool)], b""
     for row in rows.to_pylist():
         if row["state"] is not None:
             state = row["state"]
         else:
-            for bits, out in ((row["elsewhere"], elsewhere), (row["earlier"], earlier)):
-                out.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=row["n"]).astype(bool))
-    return Answer(np.concatenate(elsewhere), np.concatenate(earlier), state)
+            holders.append(np.frombuffer(row["holders"], np.uint8))
+            earlier.append(np.unpackbits(np.frombuffer(row["earlier"], np.uint8), count=row["n"]).astype(bool))
+    # The high bit says that two documents of the shard itself share the key.
+    counted = np.concatenate(holders)
+    number = counted & MANY
+    return Answer(number, (number > 1) | (counted > MANY), np.concatenate(earlier), state)
 
 
 def _bucket_edges(buckets: int) -> np.ndarray:
@@ -174,7 +182,7 @@ def _first(ask: Callable) -> Callable:
 
 _ASKED = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("keys", pa.binary()), ("shared", pa.binary()), ("state", pa.binary())])
 _REPLIED = pa.schema(
-    [("shard", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("elsewhere", pa.binary()), ("earlier", pa.binary()), ("state", pa.binary())]
+    [("shard", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("holders", pa.binary()), ("earlier", pa.binary()), ("state", pa.binary())]
 )
 
 
@@ -202,7 +210,7 @@ def _replier(key_bytes: int) -> Callable:
                     "shard": row["shard"],
                     "bucket": row["bucket"],
                     "n": len(run),
-                    "elsewhere": np.packbits((holders[found] > 1) | shared).tobytes(),
+                    "holders": (np.minimum(holders[found], MANY) + 128 * shared).astype(np.uint8).tobytes(),
                     "earlier": np.packbits(owner[found] < number).tobytes(),
                 }
             )
