@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from relops.llm.decontamination import contaminated, mark_benchmark
 from relops.llm.jaccard_join import link_similar
+from relops.llm.language_id import identify, train
+from relops.llm.licenses import scan_licenses
+from relops.llm.mixing import mix_sources
+from relops.llm.quality import judge_quality
 from relops.llm.substring_dedup import remove_repeated_windows
 from relops.llm.suffix_dedup import remove_repeated_bytes
 from relops.workload.base import table
@@ -25,6 +29,29 @@ def query(oracle: str | None = None):
     return register
 
 
+def learned_language(docs: DataFrame):
+    """Model from the documents that are not held out."""
+
+    return train(docs.filter(~held_out()), "doc_id", "text", "lang")
+
+
+def held_out():
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+
+
+@query()
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), learned_language(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query()
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
 @query(
     r"""
     WITH docs AS (
@@ -107,3 +134,25 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeated_windows(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query()
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@query()
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    labels = F.array_sort(F.array_union("base_labels", "found_labels"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"),
+        "score",
+    )
