@@ -9,8 +9,10 @@ from relops.llm.decontamination import contaminated, mark_benchmark
 from relops.llm.jaccard_join import link_similar
 from relops.llm.language_id import identify, train
 from relops.llm.licenses import scan_licenses
+from relops.llm.main_text import extract_main_text
 from relops.llm.mixing import mix_sources
 from relops.llm.quality import judge_quality
+from relops.llm.secrets import scan_secrets
 from relops.llm.substring_dedup import remove_repeated_windows
 from relops.llm.suffix_dedup import remove_repeated_bytes
 from relops.workload.base import table
@@ -156,3 +158,26 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(labels, ",").alias("labels"),
         "score",
     )
+
+
+@query()
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = extract_main_text(table(spark, sf_dir, "pages"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per finding; the value itself is shown as its digest."""
+
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    rows = found.select("doc_id", F.posexplode("findings").alias("place", "one"))
+    return rows.select(
+        "doc_id",
+        "place",
+        "one.start",
+        "one.length",
+        F.sha2(F.col("one.candidate").cast("binary"), 256).alias("candidate_sha256"),
+        "one.score",
+        "one.is_secret",
+    )
