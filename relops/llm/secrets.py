@@ -18,7 +18,9 @@ from relops.staging import stage
 
 # What a candidate looks like: a private key block, or a long token with a digit.
 KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*+-----END [A-Z ]*PRIVATE KEY-----"
-TOKEN = r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+(?![.@])"
+TOKEN = r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![.@])"
+# Public formats of access keys.
+FORMATS = r"^((AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|glpat-.*|[sr]k_live_.*|xox[abprs]-.*|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+)$"
 CANDIDATE = f"{KEY_BLOCK}|{TOKEN}"
 NAMED = r"(?i)(key|token|secret|passw(or)?d|pwd|auth|credential|bearer)[\"']?\s*(=|:|=>|is)?\s*[\"']?$"
 ASSIGNED = r"(=|:|=>)\s*[\"']?$"
@@ -26,7 +28,7 @@ HARMLESS = r"(?i)(example|sample|dummy|test|hash|commit|checksum|sha\d*|md5|uuid
 HARMLESS_PATH = r"(?i)(example|sample|test|fixture|mock|doc)"
 AROUND = 40
 
-FEATURES = ["length", "distinct", "transitions", "digits", "upper", "letters_only", "hex", "dictionary", "named", "assigned", "quoted", "harmless", "path", "neighbours"]
+FEATURES = ["length", "distinct", "transitions", "digits", "upper", "format", "numeric", "hex", "dictionary", "named", "assigned", "quoted", "harmless", "path", "neighbours"]
 TREES = 15
 DEPTH = 5
 # Labelled findings the forest is fitted on at most, drawn by a hash of the finding.
@@ -60,6 +62,7 @@ def _features(candidate: Column, before: Column, after: Column, path: Column, kn
         F.length(kinds) / length,
         _count(candidate, "[0-9]") / length,
         _count(candidate, "[A-Z]") / length,
+        candidate.rlike(FORMATS),
         candidate.rlike("^[0-9]+$"),
         candidate.rlike("^([0-9a-f]+|[0-9A-F]+)$"),
         covered / length,
@@ -86,6 +89,10 @@ def find_candidates(docs: DataFrame, known: list[str], text_col: str = "text", p
     found = F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), 1)
     between = F.split(text, CANDIDATE, -1)
 
+    spare = "_starts"
+    while spare in docs.columns:
+        spare += "_"
+
     # Where candidate i starts: the texts before it and the candidates among them.
     def next_start(done: Column, i: Column) -> Column:
         upto = F.when(F.size(done) > 0, F.element_at(done, -1) + F.length(F.get(found_once, i - 1))).otherwise(0)
@@ -100,7 +107,7 @@ def find_candidates(docs: DataFrame, known: list[str], text_col: str = "text", p
         candidate, left, right = F.get(found_once, i), F.get(between_once, i), F.get(between_once, i + 1)
         before, after = F.right(left, F.lit(AROUND)), F.left(right, F.lit(AROUND))
         return F.struct(
-            F.get(F.col("_starts"), i).alias("start"),
+            F.get(F.col(spare), i).alias("start"),
             F.length(candidate).alias("length"),
             candidate.alias("candidate"),
             before.alias("before"),
@@ -109,10 +116,8 @@ def find_candidates(docs: DataFrame, known: list[str], text_col: str = "text", p
         )
 
     empty = F.array().cast(FINDINGS)
-    held = cut.withColumn("_starts", F.when(F.col(name).isNotNull(), starts)) if "_starts" not in docs.columns else None
-    if held is None:
-        raise ValueError("a column named _starts is in the way")
-    return held.withColumn(name, F.when(F.col(name).isNotNull(), F.transform(places, finding)).otherwise(empty)).drop("_starts")
+    held = cut.withColumn(spare, F.when(F.col(name).isNotNull(), starts))
+    return held.withColumn(name, F.when(F.col(name).isNotNull(), F.transform(places, finding)).otherwise(empty)).drop(spare)
 
 
 FINDINGS = (
@@ -125,13 +130,14 @@ FINDINGS = (
 def label_findings(findings: DataFrame) -> DataFrame:
     """Labels for findings that are beyond doubt, by rules that name the value or its harmless kind; others are left out.
 
-    1: a key block, or a named, assigned value that mixes characters. 0: plain numbers, values covered by the
+    1: a key block, a key of a public format, or a named, assigned value that mixes characters. 0: plain numbers, values covered by the
     dictionary, and values beside a harmless word without a name of a secret.
     """
 
     f = F.col("features")
-    yes = F.col("candidate").rlike(KEY_BLOCK) | ((f["named"] == 1) & (f["assigned"] == 1) & (f["dictionary"] < 0.3) & (f["letters_only"] == 0))
-    no = (f["letters_only"] == 1) | (f["dictionary"] >= 0.5) | ((f["harmless"] == 1) & (f["named"] == 0))
+    named = (f["named"] == 1) & (f["assigned"] == 1) & (f["dictionary"] < 0.3) & (f["numeric"] == 0)
+    yes = F.col("candidate").rlike(KEY_BLOCK) | (f["format"] == 1) | named
+    no = (f["numeric"] == 1) | (f["dictionary"] >= 0.5) | ((f["harmless"] == 1) & (f["named"] == 0))
     return findings.withColumn("label", F.when(yes, 1.0).when(no, 0.0)).filter("label is not null")
 
 
@@ -209,7 +215,9 @@ def scan_secrets(
 def redact_secrets(docs: DataFrame, text_col: str = "text", path_col: str = "source", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in ``text_col`` replaced by ``mask``; all else, and rows without a secret, unchanged."""
 
-    name = "_secret_findings"
+    name = "_findings"
+    while name in docs.columns:
+        name += "_"
     found = scan_secrets(docs, text_col, path_col, name=name)
     between = F.split(col(text_col).cast("string"), CANDIDATE, -1)
     shown = F.transform(name, lambda one: F.when(one["is_secret"], F.lit(mask)).otherwise(one["candidate"]))
