@@ -1,11 +1,11 @@
 """Self-join of texts on the Jaccard similarity of their word shingles, through a token-group matrix.
 
 Equal shingle sets are one class, and classes are joined. Tokens have one global order, rare ones first, so two
-similar sets share one of the first tokens of each (the prefix filter), and where the first shared token stands
+similar sets share a few of the first tokens of each (the prefix filter), and where the first shared token stands
 bounds their overlap. Similar classes are put into groups: for each prefix token all its classes are compared with
 two pivots only, and verified links make the groups. The token-group matrix then tells for each token which groups
-hold it; a class asks only groups other than its own that share one of its prefix tokens in a place that leaves
-enough overlap, its overlap with the token union of a block of the group is bounded, and only blocks that can still
+hold it; a class asks only groups other than its own that share enough of its prefix tokens, the first in a place
+that leaves enough overlap, its overlap with the token union of a block of the group is bounded, and only blocks that can still
 reach the threshold are opened and their members compared. No link between classes of different groups is lost, and
 inside a group nothing is left to find out, as its members are linked already.
 """
@@ -30,6 +30,8 @@ PERCENT = 90
 # Cells of the table of shingle frequencies, and of the bitmap of wanted ids: a fixed size, whatever the corpus.
 CELL_BITS = 23
 SLICE_BITS = 16
+# Prefixes are long enough that similar sets share this many of their tokens, or all that they need to share.
+SHARED = 4
 # Members whose token union is stored together.
 BLOCK = 64
 
@@ -74,6 +76,12 @@ def overlap_needed(one: Column, other: Column, percent: int) -> Column:
     return F.ceil((F.lit(percent) * (one + other)) / F.lit(100 + percent))
 
 
+def least_shared(size: Column, percent: int) -> Column:
+    """Tokens that a set's prefix shares with that of every set similar to it."""
+
+    return F.least(F.lit(SHARED), F.ceil(size * percent / 100))
+
+
 def _links(places: DataFrame, source: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) between classes that connect every pair of classes which the threshold connects."""
 
@@ -89,8 +97,13 @@ def _links(places: DataFrame, source: DataFrame, shingle: int, percent: int) ->
     near = near.select(
         "class", "id", "n", "place", F.col("pivot.class").alias("other"), F.col("pivot.id").alias("other_id"), F.col("pivot.n").alias("m"), F.col("pivot.place").alias("spot")
     )
-    pairs = _reachable(near.filter(F.col("class") != F.col("other")), percent)
-    pairs = stage(pairs.select("class", "id", "n", "other", "other_id", "m").distinct(), "pairs")
+    left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("spot"))
+    pairs = near.filter(F.col("class") != F.col("other")).groupBy("class", "id", "n", "other", "other_id", "m")
+    pairs = pairs.agg(F.max(left).alias("left"), F.count(F.lit(1)).alias("seen"))
+    # A pivot is not listed for every shared token, so two are enough here; what this misses is asked for below.
+    enough = F.least(F.lit(2), least_shared(F.col("n"), percent))
+    pairs = pairs.filter((F.col("left") >= overlap_needed(F.col("n"), F.col("m"), percent)) & (F.col("seen") >= enough))
+    pairs = stage(pairs.select("class", "id", "n", "other", "other_id", "m"), "pairs")
     stars = _verified(pairs, source, shingle, percent)
 
     groups = connected(stars)
@@ -108,23 +121,16 @@ def _links(places: DataFrame, source: DataFrame, shingle: int, percent: int) ->
     matrix = matrix.select(F.col("token").alias("key"), F.col("group").alias("their"), F.col("block").alias("their_block"), "their_size", "least", "most", "rest")
     asks = listed.join(matrix, listed["token"].eqNullSafe(matrix["key"]) & (F.struct("size", "group") < F.struct("their_size", "their")))
     mine = F.col("n")
-    enough = overlap_needed(mine, F.greatest("least", F.ceil(mine * percent / 100)), percent)
-    asks = asks.filter(
-        (F.col("most") * 100 >= mine * percent)
-        & (F.col("least") * percent <= mine * 100)
-        & (F.least(mine - F.col("place"), F.col("rest")) >= enough)
+    asks = asks.filter((F.col("most") * 100 >= mine * percent) & (F.col("least") * percent <= mine * 100))
+    asks = asks.groupBy("class", "id", "n", "their", "their_block").agg(
+        F.max(F.least(mine - F.col("place"), F.col("rest"))).alias("left"), F.min("least").alias("least"), F.count(F.lit(1)).alias("seen")
     )
-    asks = stage(asks.select("class", "id", "n", "their", "their_block").distinct(), "asks")
+    enough = overlap_needed(mine, F.greatest("least", F.ceil(mine * percent / 100)), percent)
+    asks = asks.filter((F.col("left") >= enough) & (F.col("seen") >= least_shared(mine, percent)))
+    asks = stage(asks.select("class", "id", "n", "their", "their_block"), "asks")
     return stage(stars.union(_opened(asks, listed, source, shingle, percent)), "links")
 
 
-def _reachable(pairs: DataFrame, percent: int) -> DataFrame:
-    """Rows of pairs at a shared token that leaves enough tokens behind it; a similar pair's first shared token does."""
-
-    left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("spot"))
-    return pairs.filter(left >= overlap_needed(F.col("n"), F.col("m"), percent))
-
-
 def _sets(ids: DataFrame, source: DataFrame, shingle: int) -> DataFrame:
     """Shingle sets of some classes, made anew from one text of each: columns ``class`` and ``tokens``."""
 
@@ -219,7 +225,8 @@ def _signer(shingle: int, percent: int, order):
                 doc, hashes = _distinct(doc, hashes, order.value)
                 n, name = _class(doc, hashes, end - begin)
                 first = np.concatenate([[0], np.cumsum(n)])
-                length = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+                needed = -(-percent * n // 100)
+                length = n - needed + np.minimum(needed, SHARED)
                 kept = np.arange(len(doc)) - first[doc] < length[doc]
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(hashes[kept].view(np.int64))
