@@ -12,15 +12,21 @@ from relops.llm.licenses import scan_licenses
 from relops.llm.main_text import extract_main_text
 from relops.llm.mixing import mix_sources
 from relops.llm.quality import judge_quality
+from relops.llm.rowwise import small_batches
 from relops.llm.secrets import scan_secrets
 from relops.llm.substring_dedup import remove_repeated_windows
 from relops.llm.suffix_dedup import remove_repeated_bytes
-from relops.workload.base import table
+from relops.workload import base
 
 LLM_QUERIES = {}
 LLM_ORACLES = {}
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return base.table(spark, sf_dir, name)
+
+
 def query(oracle: str | None = None):
     def register(fn):
         LLM_QUERIES[fn.__name__] = fn

@@ -5,12 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relops.columns import col
 
 
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of at most ``BATCH_ROWS`` rows: a batch of long texts is held several times."""
+
+    if int(spark.conf.get(BATCH_CONF)) > BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
+
+
 def annotate(
     docs: DataFrame, text_col: str, compute: Callable[[pa.Array], list[pa.Array]], fields: Sequence[tuple[str, str]], keep: Sequence[str]
 ) -> DataFrame:
