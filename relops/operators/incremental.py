@@ -31,10 +31,10 @@ def merge_changefiles(changes: DataFrame, key: str | Sequence[str], seq: str) ->
 
     keys = as_list(key)
     require_columns(changes, [*keys, seq], "change files")
-    last = changes.groupBy(*map(quote, keys)).agg(F.max(col(seq)).alias("_last"))
-    last = last.select(*_renamed(keys), "_last")
-    same_key = all_of(col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys))
-    return changes.join(last, same_key & (col(seq) == F.col("_last")), "left_semi")
+    last = changes.groupBy(*map(quote, keys)).agg(F.max(col(seq)).alias("__relops_last"))
+    last = last.select(*_renamed(keys), "__relops_last")
+    same_key = all_of(col(k).eqNullSafe(F.col(f"__relops_k{i}")) for i, k in enumerate(keys))
+    return changes.join(last, same_key & (col(seq) == F.col("__relops_last")), "left_semi")
 
 
 def _equal(pairs: Iterable[tuple[Column, Column]]) -> Column:
@@ -42,7 +42,7 @@ def _equal(pairs: Iterable[tuple[Column, Column]]) -> Column:
 
 
 def _renamed(keys: Sequence[str]) -> list[Column]:
-    return [col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    return [col(k).alias(f"__relops_k{i}") for i, k in enumerate(keys)]
 
 
 def upsert(
@@ -80,33 +80,33 @@ def apply_changes(
     require_same_columns(main, updates, "upsert")
     require_columns(main, keys, "main table")
     names = [quote(k) for k in keys]
-    copies = [F.col(f"_k{i}") for i in range(len(keys))]
+    copies = [F.col(f"__relops_k{i}") for i in range(len(keys))]
     matches = _equal if co_located else splittable_match
 
     main_keyed, main_null = split_null_keys(main, keys)
     upd_keyed, upd_null = split_null_keys(updates, keys)
 
-    changed = upd_keyed.select(*_renamed(keys), F.struct(*map(col, updates.columns)).alias("_row"))
+    changed = upd_keyed.select(*_renamed(keys), F.struct(*map(col, updates.columns)).alias("__relops_row"))
     gone = None
     if deletes is not None:
         delete_keys = keys if delete_keys is None else as_list(delete_keys)
         _check_delete_keys(main, deletes, keys, delete_keys)
         gone, _ = split_null_keys(deletes, delete_keys)
         gone = gone.select(*_renamed(delete_keys)).distinct()
-        changed = changed.unionByName(gone.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
+        changed = changed.unionByName(gone.withColumn("__relops_gone", F.lit(True)), allowMissingColumns=True)
     else:
-        changed = changed.withColumn("_gone", F.lit(None).cast("boolean"))
+        changed = changed.withColumn("__relops_gone", F.lit(None).cast("boolean"))
     per_key = changed.groupBy(*copies).agg(
-        F.count("_row").alias("_n"),
-        F.first("_row", ignorenulls=True).alias("_new"),
-        F.coalesce(F.max("_gone"), F.lit(False)).alias("_gone"),
+        F.count("__relops_row").alias("__relops_n"),
+        F.first("__relops_row", ignorenulls=True).alias("__relops_new"),
+        F.coalesce(F.max("__relops_gone"), F.lit(False)).alias("__relops_gone"),
     )
     ambiguous = F.raise_error(F.lit(f"upsert: several updates for one row of the main table, keys {keys}"))
-    kept = F.when(F.col("_n") > 1, ambiguous.cast("boolean")).otherwise(~F.coalesce("_gone", F.lit(False)))
+    kept = F.when(F.col("__relops_n") > 1, ambiguous.cast("boolean")).otherwise(~F.coalesce("__relops_gone", F.lit(False)))
     merged = (
         main_keyed.join(per_key, matches(zip(map(col, keys), copies)), "left")
         .filter(kept)
-        .select(*[F.when(F.col("_n") > 0, F.col(f"_new.{quote(c)}")).otherwise(col(c)).alias(c) for c in main.columns])
+        .select(*[F.when(F.col("__relops_n") > 0, F.col(f"__relops_new.{quote(c)}")).otherwise(col(c)).alias(c) for c in main.columns])
     )
 
     wanted = upd_keyed.select(*_renamed(keys)).distinct()

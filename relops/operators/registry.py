@@ -215,7 +215,8 @@ def write_release_documents(documents: DataFrame, column: str, path: str, id_col
 
     identity = F.col(id_column) if id_column else F.lit(None).cast("string")
     keyed = stage(documents.select(F.coalesce(identity, F.uuid()).alias("id"), F.col(column).alias("value")), "releases")
-    keyed.write.partitionBy("id").text(f"{path}/releases")
+    # Documents of other ids stay, one of the same id is replaced.
+    keyed.write.partitionBy("id").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(f"{path}/releases")
     return keyed.select("id")
 
 

@@ -14,6 +14,7 @@ from relops.operators.registry import Release, add_release
 from relops.sinks.tables import (
     WRITE_EMPTY,
     WRITE_TRUNCATE,
+    drop_partition,
     replace_partitions,
     save_partitioned,
     save_table,
@@ -123,11 +124,17 @@ def apply_partition_release(
     field: str = "snapshot_date",
     kind: str = "DAY",
 ) -> DataFrame:
-    """Stamp the rows with the partition date and replace that partition alone, then register."""
+    """Stamp the rows with the partition date and replace that partition alone, then register.
+
+    A release without rows leaves the partition empty.
+    """
 
     stamped = df.withColumn(field, F.lit(partition_date).cast("timestamp_ntz" if kind == "HOUR" else "date"))
     if table_exists(spark, target.table):
-        replace_partitions(stamped, target.table)
+        if stamped.isEmpty():
+            drop_partition(df.sparkSession, target.table, partition_date)
+        else:
+            replace_partitions(stamped, target.table)
     else:
         save_partitioned(stamped, target.table, field, kind)
     _register(spark, target, now, partition_date=partition_date)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from relops.operators.rollups import expired
+from relops.sinks.tables import OLD_FOLDERS, set_properties
+from relops.sources.tables import table_properties
 
 
 def drop_tables(spark: SparkSession, names: Sequence[str]) -> None:
@@ -47,11 +49,16 @@ def delete_prefix(spark: SparkSession, path: str) -> bool:
 def drop_old_files(spark: SparkSession, table: str) -> int:
     """Delete the files of earlier versions of a replaced table; the number of versions deleted.
 
-    Only for when no query reads them any more.
+    Only the folders that replacing the table left behind and noted; a table of another writer is refused. Only for
+    when no query reads them any more.
     """
 
-    facts = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
-    current = facts["Location"].rstrip("/")
-    files, home = _folder(spark, current.rsplit("/", 1)[0])
-    old = [s.getPath() for s in files.listStatus(home) if s.getPath().getName() != current.rsplit("/", 1)[1]]
-    return sum(files.delete(path, True) for path in old)
+    properties = table_properties(spark, table)
+    if OLD_FOLDERS not in properties:
+        raise ValueError(f"{table} was not written by this package; its folders are not known")
+    gone = 0
+    for path in filter(None, properties[OLD_FOLDERS].split("\n")):
+        files, folder = _folder(spark, path)
+        gone += files.delete(folder, True)
+    set_properties(spark, table, {OLD_FOLDERS: ""})
+    return gone

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relops.columns import as_list, col, union_all
+from relops.columns import as_list, col, quote, union_all
 from relops.sizing import range_partitions
 from relops.sources.files import scan_csv, scan_jsonl
 from relops.sources.records import records_to_df
@@ -37,6 +37,8 @@ WRITE_EMPTY, WRITE_TRUNCATE, WRITE_APPEND = "WRITE_EMPTY", "WRITE_TRUNCATE", "WR
 LABEL = "relops.label."
 CLUSTER_BY, BUCKET_BY, BUCKETS = "relops.cluster_by", "relops.bucket_by", "relops.buckets"
 LAYOUT_PROPERTIES = (PARTITION_FIELD, PARTITION_KIND, REQUIRE_FILTER, CLUSTER_BY, BUCKET_BY, BUCKETS)
+# The folders of a table's earlier versions, one a line; tables of other writers do not have it.
+OLD_FOLDERS = "relops.old_folders"
 OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 log = logging.getLogger(__name__)
@@ -61,11 +63,14 @@ def set_description(spark: SparkSession, name: str, description: str) -> None:
 
 
 def table_location(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a table's files, below its schema's location."""
+    """A fresh folder for a table's files, below its schema's location.
+
+    Not below the table's default folder: dropping a table that plain Spark made there would take it along.
+    """
 
     *schema, table = name.split(".")
     home = spark.catalog.getDatabase(".".join(schema) or spark.catalog.currentDatabase()).locationUri
-    return f"{home.rstrip('/')}/{table}/{uuid.uuid4().hex}"
+    return f"{home.rstrip('/')}/{table}__versions/{uuid.uuid4().hex}"
 
 
 @dataclasses.dataclass(frozen=True, kw_only=True)
@@ -158,12 +163,21 @@ def _replace(df: DataFrame, name: str, layout: Layout) -> None:
     fresh = f"{name}__{uuid.uuid4().hex[:8]}"
     layout.writer(df).option("path", table_location(spark, name)).saveAsTable(fresh)
     kept = table_properties(spark, name) if spark.catalog.tableExists(name) else {}
-    kept = {k: v for k, v in kept.items() if k.startswith("relops.") and k not in LAYOUT_PROPERTIES}
-    set_properties(spark, fresh, {**kept, **layout.properties()})
+    old = [f for f in kept.get(OLD_FOLDERS, "").split("\n") if f]
+    if OLD_FOLDERS in kept:
+        # Only a folder that this function wrote; one of another writer may hold more than this table.
+        old.append(_location(spark, name))
+    kept = {k: v for k, v in kept.items() if k.startswith("relops.") and k not in (*LAYOUT_PROPERTIES, EXPIRES_AT)}
+    set_properties(spark, fresh, {**kept, **layout.properties(), OLD_FOLDERS: "\n".join(old)})
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     spark.sql(f"ALTER TABLE {fresh} RENAME TO {'.'.join(name.split('.')[-2:])}")
 
 
+def _location(spark: SparkSession, name: str) -> str:
+    facts = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    return facts["Location"].rstrip("/")
+
+
 def create_empty_table(
     spark: SparkSession, name: str, schema: T.StructType, exists_ok: bool = True, cluster_by: Sequence[str] = ()
 ) -> None:
@@ -257,6 +271,16 @@ def replace_partitions(df: DataFrame, name: str) -> None:
     _note_size(spark, name)
 
 
+def drop_partition(spark: SparkSession, name: str, value) -> None:
+    """Drop the partition that ``value`` of the partition field falls in; one that is not there is fine."""
+
+    layout = Layout.of(table_properties(spark, name))
+    part = partition_column(layout.partition_field, layout.partition_kind)
+    kind = spark.table(name).schema[layout.partition_field].dataType
+    shown = spark.range(1).select(partition_value(F.lit(value).cast(kind), layout.partition_kind).cast("string")).first()[0]
+    spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({quote(part)} = {_sql_text(shown)})")
+
+
 def save_clustered(df: DataFrame, name: str, fields: str | Sequence[str], disposition: str = WRITE_TRUNCATE) -> None:
     save_table(df, name, disposition, layout=Layout(cluster_by=tuple(as_list(fields))))
 

@@ -188,6 +188,9 @@ def list_files(
     if modified_before:
         reader = reader.option("modifiedBefore", modified_before.strftime("%Y-%m-%dT%H:%M:%S"))
     files = reader.load(path).select("path", "length", F.col("modificationTime").alias("modified"))
-    below = F.regexp_replace(F.substring_index(F.col("path"), path.split("://")[-1].rstrip("/") + "/", -1), "^/+", "")
+    # Spark shows qualified paths, so the qualified root's length is what a key lacks.
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    below = F.substring("path", len(root) + 2, 1 << 30)
     keyed = files.withColumn("key", below)
     return select_keys(keyed, "key", regex=regex, prefix=prefix, glob=glob)

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from relops.session import scratch_path
 from relops.sizing import range_partitions
 
-CHUNK = "_chunk"
-ROW = "_row"
+CHUNK = "__relops_chunk"
+ROW = "__relops_row"
 
 
 def stage(df: DataFrame, purpose: str = "stage") -> DataFrame:
@@ -53,8 +53,8 @@ def chunk_offsets(staged: DataFrame, total: Column) -> DataFrame:
     before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     return (
         staged.groupBy(CHUNK)
-        .agg(total.cast("long").alias("_total"))
-        .select(CHUNK, F.coalesce(F.sum("_total").over(before), F.lit(0)).cast("long").alias("_offset"))
+        .agg(total.cast("long").alias("__relops_total"))
+        .select(CHUNK, F.coalesce(F.sum("__relops_total").over(before), F.lit(0)).cast("long").alias("__relops_offset"))
     )
 
 
@@ -65,8 +65,8 @@ def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_index")
     offsets = chunk_offsets(staged, F.count(F.lit(1)))
     return (
         staged.join(F.broadcast(offsets), CHUNK)
-        .withColumn(name, F.col("_offset") + F.col(ROW))
-        .drop(CHUNK, ROW, "_offset")
+        .withColumn(name, F.col("__relops_offset") + F.col(ROW))
+        .drop(CHUNK, ROW, "__relops_offset")
     )
 
 
@@ -92,10 +92,10 @@ def with_sum_before(df: DataFrame, run: Column, order: Sequence[str], name: str
     ``running_size(column)``, so only that column leaves the JVM. Second pass: add the total of the earlier files.
     """
 
-    staged = stage_in_order(df, order, in_task={"_run": run})
-    offsets = chunk_offsets(staged, F.max(F.col("_run.before") + F.col("_run.size")))
+    staged = stage_in_order(df, order, in_task={"__relops_run": run})
+    offsets = chunk_offsets(staged, F.max(F.col("__relops_run.before") + F.col("__relops_run.size")))
     return (
         staged.join(F.broadcast(offsets), CHUNK)
-        .withColumn(name, F.col("_offset") + F.col("_run.before"))
-        .drop(CHUNK, ROW, "_offset", "_run")
+        .withColumn(name, F.col("__relops_offset") + F.col("__relops_run.before"))
+        .drop(CHUNK, ROW, "__relops_offset", "__relops_run")
     )

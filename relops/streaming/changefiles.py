@@ -45,14 +45,15 @@ def apply_arriving_changefiles(
     """Apply all JSON-lines change files not yet taken from ``folder`` as one release, then stop.
 
     Within the release the last file per key wins. A batch that is run again after a failure is recognised in the
-    registry by its run id and, as the merge gives the same table, does no harm before that point either.
+    registry by its run id, which names the checkpoint too: a new checkpoint counts its batches from 0 again. A batch
+    that failed between the merge and the registration is merged again; updates with a null key are then inserted twice.
     """
 
     seq = sequence_of_file() if sequence is None else sequence
     arriving = spark.readStream.schema(schema).option("mode", "FAILFAST").json(folder).withColumn(SEQ, seq)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        run_id = f"changefiles-{batch_id}"
+        run_id = f"changefiles-{_stream_id(spark, checkpoint)}-{batch_id}"
         applied = _applied(spark, target)
         if batch.isEmpty() or (applied is not None and run_id in applied[1]):
             return
@@ -67,6 +68,12 @@ def apply_arriving_changefiles(
     return stream.trigger(availableNow=True).start()
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identity Spark gave the stream when its checkpoint was begun."""
+
+    return spark.read.json(f"{checkpoint.rstrip('/')}/metadata", schema="id string").first()["id"]
+
+
 def _applied(spark: SparkSession, target: Target) -> tuple[int | None, set[str]] | None:
     """Highest sequence number applied so far, and the run id that applied it; None without a registry."""
 
