@@ -29,11 +29,31 @@ def key_set_diff(left: DataFrame, right: DataFrame, keys: str | Sequence[str]) -
 
 
 def _has(dtype: T.DataType, *kinds: type) -> bool:
+    if isinstance(dtype, kinds):
+        return True
     if isinstance(dtype, T.StructType):
         return any(_has(f.dataType, *kinds) for f in dtype.fields)
     if isinstance(dtype, T.ArrayType):
         return _has(dtype.elementType, *kinds)
-    return isinstance(dtype, kinds)
+    return isinstance(dtype, T.MapType) and _has(dtype.valueType, *kinds)
+
+
+def _ordered(value: Column, dtype: T.DataType) -> Column:
+    """The value with every map in it as a list of entries in key order, so that equal maps are equal."""
+
+    if not _has(dtype, T.MapType):
+        return value
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda one: _ordered(one, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        fields = [_ordered(value[f.name], f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    keys = F.array_sort(F.transform(F.map_keys(value), lambda key, at: F.struct(key.alias("key"), at.alias("at"))))
+    values = F.map_values(value)
+    return F.transform(
+        keys,
+        lambda one: F.struct(one["key"].alias("key"), _ordered(F.get(values, one["at"]), dtype.valueType).alias("value")),
+    )
 
 
 def _shown(value: Column, dtype: T.DataType) -> Column:
@@ -48,7 +68,7 @@ def table_diff(
 
     ``change`` is ``only_expected``, ``only_actual``, ``duplicate_key`` (counts of both sides), ``value``,
     ``field_only_expected`` or ``field_only_actual``. A key met several times on a side has no one row to compare,
-    so it is reported instead.
+    so it is reported instead. The order of a map's entries never counts.
 
     Both sides meet in one combining aggregation per key rather than a join, so repeated keys cannot multiply.
     """
@@ -100,8 +120,9 @@ def table_diff(
         elif act is None:
             entries.append(entry(single, "field_only_expected", name, exp, None))
         else:
-            comparable = e_type == a_type and not _has(e_type, T.MapType, T.VariantType)
-            one, two = (F.col(f"_e.{quote(name)}"), F.col(f"_a.{quote(name)}")) if comparable else (exp, act)
+            one, two = _ordered(F.col(f"_e.{quote(name)}"), e_type), _ordered(F.col(f"_a.{quote(name)}"), a_type)
+            if e_type != a_type or _has(e_type, T.VariantType):
+                one, two = _shown(one, e_type), _shown(two, a_type)
             entries.append(entry(single & ~one.eqNullSafe(two), "value", name, exp, act))
     return per_key.select(*names, F.inline(F.array_compact(F.array(*entries))))
 
@@ -136,17 +157,22 @@ def transfer_diff(
 def verify_transfers(
     manifest: DataFrame, arrived: DataFrame, key: str = "key", checksum: str = "checksum", retried: str = "retried"
 ) -> DataFrame:
-    """After a copy: ``ok``, ``retry`` for a first bad checksum, ``error`` for a second, ``unchecked`` otherwise."""
+    """After a copy: ``ok``, ``retry`` for a first bad checksum, ``error`` for a second, ``unchecked`` otherwise.
+
+    A manifest row without a key is ``unchecked``.
+    """
 
-    found = arrived.groupBy(col(key).alias("_key")).agg(F.max(col(checksum)).alias("_found"))
+    keyed, keyless = split_null_keys(manifest, [key])
+    found = arrived.filter(col(key).isNotNull()).groupBy(col(key).alias("_key")).agg(F.max(col(checksum)).alias("_found"))
     bad = F.when(col(retried), "error").otherwise("retry")
     verdict = (
         F.when(F.col("_found").isNull() | col(checksum).isNull(), "unchecked")
         .when(F.col("_found") == col(checksum), "ok")
         .otherwise(bad)
     )
-    joined = manifest.join(found, col(key) == F.col("_key"), "left")
-    return joined.withColumn("verdict", verdict).drop("_key", "_found")
+    joined = keyed.join(found, splittable_match([(col(key), F.col("_key"))]), "left")
+    joined = joined.withColumn("verdict", verdict).drop("_key", "_found")
+    return union_all([joined, None if keyless is None else keyless.withColumn("verdict", F.lit("unchecked"))])
 
 
 def table_integrity(tables: dict[str, DataFrame], expected_rows: dict[str, int] | None = None) -> DataFrame:

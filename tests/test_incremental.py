@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from relops.columns import ColumnMismatch
+from relops.operators import compare
 from relops.operators.incremental import apply_changes, delete_by_keys, merge_changefiles, upsert
 from relops.plans.changefiles import changefile_lines, merge_changefile_texts
 from relops.sinks.tables import save_bucketed
@@ -201,3 +202,17 @@ def test_change_files_as_text(spark, tmp_path):
         f.write('{"v":1}')
     with pytest.raises(PySparkException, match="no k in line"):
         changefile_lines(spark, paths[:1], "k").collect()
+
+
+def test_diff_ignores_the_order_of_map_entries(spark):
+    shape = "k int, m map<string,map<string,int>>, s struct<l: array<map<int,string>>>"
+    one = spark.createDataFrame([(1, {"a": {"x": 1, "y": 2}, "b": None}, ([{1: "p", 2: "q"}],)), (2, None, None), (3, {}, None)], shape)
+    two = spark.createDataFrame([(1, {"b": None, "a": {"y": 2, "x": 1}}, ([{2: "q", 1: "p"}],)), (2, None, None), (3, None, None)], shape)
+    assert [(r["k"], r["change"], r["field"]) for r in compare.table_diff(one, two, "k").collect()] == [(3, "value", "m")]
+
+
+def test_verified_transfers_without_a_key_are_unchecked(spark):
+    manifest = spark.createDataFrame([("a", "1", False), ("b", "2", False), ("b", "2", True), (None, "3", False), ("c", "4", True)], "key string, checksum string, retried boolean")
+    arrived = spark.createDataFrame([("a", "1"), ("b", "9"), (None, "3")], "key string, checksum string")
+    got = sorted((r["key"] or "", r["retried"], r["verdict"]) for r in compare.verify_transfers(manifest, arrived).collect())
+    assert got == [("", False, "unchecked"), ("a", False, "ok"), ("b", False, "retry"), ("b", True, "error"), ("c", True, "unchecked")]
