@@ -484,19 +484,24 @@ def release_documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.text(f"{path}/releases").select("id")
 
 
-@query(r"SELECT doc_id, string_split(regexp_replace(text, '[aeiou]+', '*', 'g'), chr(10))[1] AS first_line FROM documents")
+@query(
+    r"""
+    SELECT doc_id, unnest(range(1, len(lines) + 1)) AS line_number, unnest(lines) AS line
+    FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[aeiou]+', '*', 'g'), chr(10)) AS lines FROM documents)
+    """
+)
 def replace_in_text_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbered first lines written as gz text, rewritten by a pattern, read back."""
+    """Numbered lines of all texts written as gz text, rewritten by a pattern, read back."""
 
     src, dst = scratch_path(spark, "text"), scratch_path(spark, "text")
-    first = F.substring_index("text", "\n", 1)
-    numbered = table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), first))
+    lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line")
+    numbered = table(spark, sf, "documents").select("doc_id", lines)
+    numbered = numbered.select(F.concat_ws("\t", F.col("doc_id").cast("string"), (F.col("at") + 1).cast("string"), "line"))
     numbered.write.option("compression", "gzip").text(src)
     replace_in_files(spark, src, dst, "[aeiou]+", "*")
-    value = F.col("value")
+    parts = F.split("value", "\t", 3)
     return spark.read.text(dst).select(
-        F.substring_index(value, "\t", 1).cast("bigint").alias("doc_id"),
-        F.substring(value, F.locate("\t", value) + 1, F.length(value)).alias("first_line"),
+        parts[0].cast("bigint").alias("doc_id"), parts[1].cast("bigint").alias("line_number"), parts[2].alias("line")
     )
 
 
