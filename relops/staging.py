@@ -70,6 +70,14 @@ def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_index")
     )
 
 
+def chunk_rows(df: DataFrame, size: int, order: Sequence[str], name: str = "chunk") -> DataFrame:
+    """Rows with the 0-based number of their chunk of ``size`` rows in ``order`` (which must be unique); the last may be shorter."""
+
+    if size < 1:
+        raise ValueError("chunk size must be at least 1")
+    return with_row_index(df, order, name).withColumn(name, F.floor(F.col(name) / size))
+
+
 RUN = T.StructType([T.StructField("size", T.LongType()), T.StructField("before", T.LongType())])
 
 

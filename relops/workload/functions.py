@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relops.functions import dates, hashing, names, nested, text
+from relops.staging import chunk_rows as chunked
 from relops.workload.base import query, table
 
 
@@ -398,3 +399,10 @@ def monthly_sections_dates(spark: SparkSession, sf: str) -> DataFrame:
         F.min("o_orderdate").alias("s"), F.max("o_orderdate").alias("e")
     )
     return spans.select("o_custkey", F.inline(dates.monthly_sections(F.col("s"), F.col("e"), as_dates=True)))
+
+
+@query("SELECT event_id, user_id AS _row, (row_number() OVER (ORDER BY event_id) - 1) // 7 AS chunk FROM events")
+def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in sevens by their id, with a column named like a helper."""
+
+    return chunked(table(spark, sf, "events").select("event_id", F.col("user_id").alias("_row")), 7, ["event_id"])
