@@ -57,9 +57,10 @@ def link_similar(
     signatures = stage(source.mapInArrow(_signer(shingle, percent, shared), SIGNATURE), "signatures")
     classes = (
         signatures.filter("n > 0").groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "n", "prefix")).alias("first"))
-    ).select("class", "first.id", "first.n", "first.prefix")
-    places = classes.select("class", "id", "n", F.posexplode("prefix").alias("place", "token"))
-    links = _links(places, source, shingle, percent)
+    ).select("class", "first.prefix")
+    facts = signatures.filter("n > 0").groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "n")).alias("first"))
+    facts = facts.select(F.col("class").alias("known"), "first.id", "first.n")
+    links = _links(_lists(classes, facts, percent), source, shingle, percent)
     labels = connected(links).withColumnRenamed("vertex", "class")
     # Links end at classes; a component's id is the smallest of all its documents.
     placed = signatures.select("id", "class", "n").join(labels, "class", "left")
@@ -82,12 +83,22 @@ def least_shared(size: Column, percent: int) -> Column:
     return F.least(F.lit(SHARED), F.ceil(size * percent / 100))
 
 
-def _links(places: DataFrame, source: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes that connect every pair of classes which the threshold connects."""
+def _lists(classes: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Prefix tokens that several classes hold, of classes with as many of them as any similar pair shares.
+
+    A class is one row and its prefix tokens are distinct, so a token counted once is held by one class.
+    """
+
+    places = classes.select("class", F.posexplode("prefix").alias("place", "token"))
+    shared = places.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(F.col("token").alias("key"))
+    found = places.join(shared, F.col("token").eqNullSafe(F.col("key"))).select("class", "token", "place")
+    held = found.groupBy("class").agg(F.collect_list(F.struct("token", "place")).alias("held"))
+    held = held.join(facts, held["class"] == facts["known"]).filter(F.size("held") >= least_shared(F.col("n"), percent))
+    return stage(held.select("class", "id", "n", F.explode("held").alias("one")).select("class", "id", "n", "one.token", "one.place"), "lists")
+
 
-    shared = places.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most"))
-    shared = shared.filter(F.col("least") != F.col("most")).select(F.col("token").alias("key"))
-    listed = stage(places.join(shared, F.col("token").eqNullSafe(F.col("key"))).drop("key"), "lists")
+def _links(listed: DataFrame, source: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes that connect every pair of classes which the threshold connects."""
 
     # Groups: every class of a list against two pivots of it.
     whole = F.struct("class", "id", "n", "place")
@@ -142,10 +153,16 @@ def _sets(ids: DataFrame, source: DataFrame, shingle: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, source: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (class, other) that reach the threshold, as links."""
+    """Pairs (class, other) that reach the threshold, as links. One text of each class is moved: it is smaller than its set."""
 
-    both = pairs.select("class", "id").union(pairs.select("other", "other_id"))
-    return stage(_compared(pairs, _sets(both, source, shingle), percent), "stars")
+    wanted = pairs.select(F.col("id").alias("wanted_id")).union(pairs.select("other_id")).distinct()
+    likely = source.mapInArrow(_likely(_bitmap(wanted)), "id long, text string").mapInArrow(_namer(shingle), "class long, text string")
+    texts = stage(likely.dropDuplicates(["class"]), "texts")
+    one = texts.select(F.col("class").alias("a"), F.col("text").alias("one"))
+    two = texts.select(F.col("class").alias("b"), F.col("text").alias("two"))
+    full = pairs.join(one, pairs["class"] == one["a"]).select("a", "other", "one")
+    full = full.join(two, full["other"] == two["b"]).select("a", "b", "one", "two")
+    return stage(full.mapInArrow(_pair_checker(shingle, percent), "a long, b long"), "stars")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -250,6 +267,51 @@ def _set_maker(shingle: int):
     return make
 
 
+def _namer(shingle: int):
+    """Class and text of each text with words."""
+
+    def name(batches):
+        for batch in batches:
+            for begin, end, doc, hashes in shingle_sets(batch["text"], shingle):
+                doc, hashes = _distinct(doc, hashes, None)
+                n, names = _class(doc, hashes, end - begin)
+                named = pa.RecordBatch.from_arrays([pa.array(names), batch["text"].slice(begin, end - begin)], ["class", "text"])
+                yield named.filter(pa.array(n > 0))
+
+    return name
+
+
+def _whole_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of all distinct shingles of some texts."""
+
+    rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for begin, _, doc, found in shingle_sets(texts, shingle):
+        doc, found = _distinct(doc, found, None)
+        rows.append(doc + begin)
+        hashes.append(found)
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
+def _pair_checker(shingle: int, percent: int):
+    """Pairs (a, b) whose texts reach the threshold."""
+
+    def check(batches):
+        for batch in batches:
+            ends = B.text_bytes(batch["one"])[1] + B.text_bytes(batch["two"])[1]
+            for begin, end in B.pieces(ends):
+                part = batch.slice(begin, end - begin)
+                sides = [_whole_sets(part[side], shingle) for side in ("one", "two")]
+                row, hashes = (np.concatenate(x) for x in zip(*sides))
+                by = np.lexsort((hashes, row))
+                row, hashes = row[by], hashes[by]
+                both = (row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1])
+                overlap = np.bincount(row[1:][both], minlength=part.num_rows)
+                union = np.bincount(row, minlength=part.num_rows) - overlap
+                yield part.select(["a", "b"]).filter(pa.array(overlap * 100 >= union * percent))
+
+    return check
+
+
 def _frequencies(source: DataFrame, shingle: int) -> np.ndarray:
     """Rough document frequency of all shingles: eighths of powers of two per cell of their hashes, as one byte.
 
