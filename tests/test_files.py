@@ -18,8 +18,8 @@ from relops.sources.schemas import schema_from_fields
 from relops.staging import with_row_index, with_sum_before, running_size
 
 FAILURES = (PySparkException, Py4JJavaError)
-NAMES = [("Jim", "Holden"), ("Alex", "Kamal"), ("Naomi", "Nagata"), ("Amos", "Burton")]
-NAME_SCHEMA = schema_from_fields([{"name": "first_name", "type": "STRING"}, {"name": "last_name", "type": "STRING"}])
+NAMES = [("ore", "Kiruna"), ("slate", "Llanberis"), ("amber", "Yantarny")]
+NAME_SCHEMA = schema_from_fields([{"name": "kind", "type": "STRING"}, {"name": "place", "type": "STRING"}])
 
 
 def rows(df):
@@ -28,8 +28,8 @@ def rows(df):
 
 @pytest.fixture()
 def name_files(tmp_path):
-    text = "first_name,last_name\n" + "".join(f"{a},{b}\n" for a, b in NAMES)
-    lines = "".join(json.dumps({"first_name": a, "last_name": b}) + "\n" for a, b in NAMES)
+    text = "kind,place\n" + "".join(f"{a},{b}\n" for a, b in NAMES)
+    lines = "".join(json.dumps({"kind": a, "place": b}) + "\n" for a, b in NAMES)
     (tmp_path / "n.csv").write_text(text)
     (tmp_path / "n.jsonl").write_text(lines)
     for name, content in (("n.csv.gz", text), ("n.jsonl.gz", lines)):
@@ -90,48 +90,48 @@ def test_skip_rows_in_files_of_many_splits(spark, tmp_path):
 
 def test_unknown_and_bad_fields(spark, tmp_path):
     path = tmp_path / "x.jsonl"
-    path.write_text('{"first_name":"a","last_name":"b"}\n{"first_name":"c","extra":{"deep":1}}\n')
+    path.write_text('{"kind":"a","place":"b"}\n{"kind":"c","extra":{"deep":1}}\n')
     with pytest.raises(ColumnMismatch, match="extra"):
         files.scan_jsonl(spark, str(path), NAME_SCHEMA)
     assert files.scan_jsonl(spark, str(path), NAME_SCHEMA, ignore_unknown=True).count() == 2
     nested = schema_from_fields(
-        [*[{"name": n, "type": "STRING"} for n in ("first_name", "last_name")],
+        [*[{"name": n, "type": "STRING"} for n in ("kind", "place")],
          {"name": "extra", "type": "RECORD", "fields": [{"name": "other", "type": "INTEGER"}]}]
     )
     assert files.unknown_fields(spark, str(path), nested) == ["extra.deep"]
     with pytest.raises(FAILURES):
-        files.scan_jsonl(spark, str(path), T.StructType.fromDDL("first_name int"), ignore_unknown=True).collect()
+        files.scan_jsonl(spark, str(path), T.StructType.fromDDL("kind int"), ignore_unknown=True).collect()
 
 
 def test_xml(spark, tmp_path):
-    note = "<note><to>Curtis</to><from>Cora</from><heading>Test heading</heading><body>Test text</body></note>"
-    schema = "to string, `from` string, heading string, body string"
-    df = spark.createDataFrame([(note,)], "x string")
-    assert tuple(files.scan_xml(df, "x", schema).first()["record"]) == ("Curtis", "Cora", "Test heading", "Test text")
-    (tmp_path / "a.xml").write_text(f"<notes>{note}{note}</notes>")
-    assert files.scan_xml_files(spark, str(tmp_path / "a.xml"), "note", schema).count() == 2
+    trip = "<trip><ship>Petrel</ship><left>04:10</left><port>Vardø</port></trip>"
+    schema = "ship string, `left` string, port string"
+    df = spark.createDataFrame([(trip,)], "x string")
+    assert tuple(files.scan_xml(df, "x", schema).first()["record"]) == ("Petrel", "04:10", "Vardø")
+    (tmp_path / "a.xml").write_text(f"<log>{trip}{trip}</log>")
+    assert files.scan_xml_files(spark, str(tmp_path / "a.xml"), "trip", schema).count() == 2
 
 
 def test_list_files(spark, tmp_path):
-    (tmp_path / "folder").mkdir()
-    for key, day in (("folder/blob1", 1), ("blob2", 2)):
+    (tmp_path / "ice" / "1998").mkdir(parents=True)
+    for key, month in (("ice/1998/cores.tsv", 3), ("ice/notes.tsv", 5), ("index.md", 9)):
         (tmp_path / key).write_text("x")
-        stamp = dt.datetime(2021, 1, day, tzinfo=dt.timezone.utc).timestamp()
+        stamp = dt.datetime(1998, month, 12, tzinfo=dt.timezone.utc).timestamp()
         os.utime(tmp_path / key, (stamp, stamp))
 
     def keys(**how):
         return sorted(r["key"] for r in files.list_files(spark, str(tmp_path), **how).collect())
 
-    assert keys() == ["blob2", "folder/blob1"]
-    assert keys(prefix="folder") == ["folder/blob1"]
-    assert keys(glob="folder/bl*") == ["folder/blob1"]
-    assert keys(glob="**blob*") == ["blob2", "folder/blob1"]
-    assert keys(glob="*blob*") == ["blob2"]
-    assert keys(regex="blob1|x") == ["folder/blob1"]
-    assert keys(regex="lob") == []
-    assert keys(modified_since=dt.datetime(2021, 1, 1, 12)) == ["blob2"]
-    assert keys(modified_before=dt.datetime(2021, 1, 1, 12)) == ["folder/blob1"]
-    assert keys(modified_before=dt.datetime(2020, 1, 1)) == []
+    assert keys() == ["ice/1998/cores.tsv", "ice/notes.tsv", "index.md"]
+    assert keys(prefix="ice/1") == ["ice/1998/cores.tsv"]
+    assert keys(glob="ice/*.tsv") == ["ice/notes.tsv"]
+    assert keys(glob="**.tsv") == ["ice/1998/cores.tsv", "ice/notes.tsv"]
+    assert keys(glob="*d*") == ["index.md"]
+    assert keys(regex="notes|cores") == ["ice/1998/cores.tsv", "ice/notes.tsv"]
+    assert keys(regex="otes") == []
+    assert keys(modified_since=dt.datetime(1998, 4, 1)) == ["ice/notes.tsv", "index.md"]
+    assert keys(modified_before=dt.datetime(1998, 4, 1)) == ["ice/1998/cores.tsv"]
+    assert keys(modified_since=dt.datetime(1999, 1, 1)) == []
 
 
 @pytest.mark.parametrize("kind", ["csv", "csv.gz", "jsonl", "jsonl.gz"])

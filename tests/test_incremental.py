@@ -12,15 +12,23 @@ from relops.plans.changefiles import changefile_lines, merge_changefile_texts
 from relops.sinks.tables import save_bucketed
 
 D = dt.date
-PRESIDENTS = [
-    ("Washington", 67, D(1789, 4, 29)),
-    ("Adams", 90, D(1797, 3, 4)),
-    ("Jefferson", 83, D(1801, 3, 4)),
-    ("Madison", 85, D(1809, 3, 4)),
-    ("Monroe", 73, D(1817, 3, 4)),
+WELLS = [
+    ("alder", 41, D(2006, 2, 17)),
+    ("birch", 12, D(2009, 11, 3)),
+    ("cedar", 88, D(2012, 6, 25)),
+    ("damson", 19, D(2015, 8, 9)),
+    ("elm", 63, D(2018, 12, 30)),
+    ("fir", 12, None),
 ]
-UPSERTS = [("Washington", 67, D(1789, 4, 30)), ("Adams", 80, D(1829, 3, 4)), ("Kennedy", 46, D(1961, 1, 20))]
-TYPES = "name string, death_age int, date date"
+# Two wells surveyed again, one deepened (another key), two dug anew.
+SURVEYS = [
+    ("cedar", 88, D(2021, 1, 5)),
+    ("fir", 12, D(2022, 7, 7)),
+    ("cedar", 90, D(2023, 3, 13)),
+    ("gorse", 7, D(2020, 5, 22)),
+    ("hazel", 30, None),
+]
+TYPES = "well string, depth int, surveyed date"
 
 
 def rows(df):
@@ -28,13 +36,14 @@ def rows(df):
 
 
 @pytest.fixture()
-def presidents(spark):
-    return spark.createDataFrame(PRESIDENTS, TYPES)
+def wells(spark):
+    return spark.createDataFrame(WELLS, TYPES)
 
 
-def test_upsert_on_two_keys(spark, presidents):
-    merged = upsert(presidents, spark.createDataFrame(UPSERTS, TYPES), ["name", "death_age"])
-    assert rows(merged) == sorted(PRESIDENTS[1:] + UPSERTS, key=repr)
+def test_upsert_on_two_keys(spark, wells):
+    merged = upsert(wells, spark.createDataFrame(SURVEYS, TYPES), ["well", "depth"])
+    untouched = [w for w in WELLS if w[0] not in ("cedar", "fir")]
+    assert rows(merged) == sorted(untouched + SURVEYS, key=repr)
 
 
 def test_upsert_null_keys_never_match(spark):
@@ -62,13 +71,13 @@ def test_upsert_inserts_repeated_new_keys_but_refuses_two_updates_of_one_row(spa
         upsert(main, twice.withColumn("k", F.lit(1)), "k").collect()
 
 
-def test_upsert_refuses_other_columns(spark, presidents):
+def test_upsert_refuses_other_columns(spark, wells):
     with pytest.raises(ColumnMismatch):
-        upsert(presidents, presidents.select("death_age", "name", "date"), "name")
+        upsert(wells, wells.select("surveyed", "depth", "well"), "well")
     with pytest.raises(ColumnMismatch):
-        upsert(presidents, presidents.withColumn("death_age", F.lit("1")), "name")
+        upsert(wells, wells.withColumn("depth", F.lit("deep")), "well")
     with pytest.raises(ColumnMismatch):
-        upsert(presidents, presidents, "nobody")
+        upsert(wells, wells, "owner")
 
 
 def test_upsert_handles_odd_column_names(spark):
@@ -77,32 +86,31 @@ def test_upsert_handles_odd_column_names(spark):
     assert rows(upsert(main, updates, "k.x")) == [(1, "b"), (2, "c")]
 
 
-def test_upsert_into_empty_and_with_nothing(spark, presidents):
-    none = presidents.limit(0)
-    assert rows(upsert(none, presidents, "name")) == sorted(PRESIDENTS, key=repr)
-    assert rows(upsert(presidents, none, "name")) == sorted(PRESIDENTS, key=repr)
+def test_upsert_into_empty_and_with_nothing(spark, wells):
+    none = wells.limit(0)
+    assert rows(upsert(none, wells, "well")) == sorted(WELLS, key=repr)
+    assert rows(upsert(wells, none, "well")) == sorted(WELLS, key=repr)
 
 
 @pytest.mark.parametrize(
-    "keys, delete_keys, prefixes, names",
+    "keys, delete_keys, left",
     [
-        ("name", "name", ("", ""), ["Adams", "Jefferson", "Washington"]),
-        ("name", "hello", ("", ""), ["Adams", "Jefferson", "Washington"]),
-        (["name", "date"], ["name", "date"], ("", ""), ["Adams", "Jefferson", "Monroe", "Washington"]),
+        ("depth", "metres", "ace"),
+        ("well", "filled", "ade"),
+        (["depth", "well"], ["metres", "filled"], "acdef"),
     ],
 )
-def test_delete(spark, presidents, keys, delete_keys, prefixes, names):
-    gone = spark.createDataFrame([("Madison", D(1809, 3, 4)), ("Monroe", D(1817, 3, 3))], "name string, date date")
-    gone = gone.withColumn("hello", F.col("name"))
-    kept = delete_by_keys(presidents, gone, keys, delete_keys, main_prefix=prefixes[0], delete_prefix=prefixes[1])
-    assert sorted(r["name"] for r in kept.collect()) == names
-
-
-def test_delete_with_prefix(spark, presidents):
-    main = presidents.withColumn("name", F.concat(F.lit("President"), "name"))
-    gone = spark.createDataFrame([("Madison",), ("Monroe",)], "name string")
-    assert delete_by_keys(main, gone, "name", delete_prefix="President").count() == 3
-    assert delete_by_keys(main, gone, "name").count() == 5
+def test_delete(spark, wells, keys, delete_keys, left):
+    gone = spark.createDataFrame([("birch", 12), ("cedar", 19), ("fir", 19), ("birch", 12), ("yew", 1)], "filled string, metres int")
+    kept = delete_by_keys(wells, gone, keys, delete_keys)
+    assert sorted(r["well"][0] for r in kept.collect()) == list(left)
+
+
+def test_delete_with_prefix(spark, wells):
+    main = wells.withColumn("well", F.concat(F.lit("site/"), "well"))
+    gone = spark.createDataFrame([("alder",), ("elm",), ("fir",), ("yew",)], "well string")
+    assert delete_by_keys(main, gone, "well", delete_prefix="site/").count() == 3
+    assert delete_by_keys(main, gone, "well").count() == 6
 
 
 def test_delete_checks_keys_and_keeps_nulls(spark):

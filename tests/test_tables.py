@@ -30,60 +30,60 @@ from relops.sources.tables import (
 )
 
 FAILURES = (PySparkException, Py4JJavaError)
-PEOPLE = [
-    {"first_name": "Gisella", "last_name": "Derya", "dob": "1997-07-01"},
-    {"first_name": "Adelaida", "last_name": "Melis", "dob": "1980-09-03"},
-    {"first_name": "Melanie", "last_name": "Magomedkhan", "dob": "1990-03-01"},
-    {"first_name": "Octavia", "last_name": "Tomasa", "dob": "1970-01-08"},
-    {"first_name": "Ansgar", "last_name": "Zorion", "dob": "2001-02-01"},
+HERBS = [
+    {"herb": "sorrel", "bed": "north wall", "sown": "2013-05-02"},
+    {"herb": "lovage", "bed": "pond", "sown": "2004-10-19"},
+    {"herb": "chervil", "bed": "frame", "sown": "2011-08-23"},
+    {"herb": "dill", "bed": "pond", "sown": "1996-01-30"},
+    {"herb": "tansy", "bed": "hedge", "sown": "2019-06-14"},
 ]
 FIELDS = [
-    {"name": "first_name", "type": "STRING", "mode": "REQUIRED", "description": "given name"},
-    {"name": "last_name", "type": "STRING"},
-    {"name": "dob", "type": "DATE", "mode": "NULLABLE"},
+    {"name": "herb", "type": "STRING", "mode": "REQUIRED", "description": "common name"},
+    {"name": "bed", "type": "STRING"},
+    {"name": "sown", "type": "DATE", "mode": "NULLABLE"},
 ]
-PEOPLE_SCHEMA = schemas.schema_from_fields(FIELDS)
+HERBS_SCHEMA = schemas.schema_from_fields(FIELDS)
 
 
 @pytest.fixture()
-def people(spark):
-    return records_to_df(spark, PEOPLE, PEOPLE_SCHEMA)
+def herbs(spark):
+    return records_to_df(spark, HERBS, HERBS_SCHEMA)
 
 
 def test_schema_file(spark, tmp_path):
-    path = tmp_path / "people.json"
+    path = tmp_path / "herbs.json"
     path.write_text(json.dumps(FIELDS + [{"name": "tags", "type": "RECORD", "mode": "REPEATED", "fields": FIELDS[:1]}]))
     schema = schemas.schema_from_json(spark, str(path))
-    assert schema["dob"].dataType == T.DateType()
-    assert not schema["first_name"].nullable
-    assert schema["first_name"].metadata == {"comment": "given name"}
-    assert schema["tags"].dataType.simpleString() == "array<struct<first_name:string>>"
+    assert schema["sown"].dataType == T.DateType()
+    assert not schema["herb"].nullable
+    assert schema["herb"].metadata == {"comment": "common name"}
+    assert schema["tags"].dataType.simpleString() == "array<struct<herb:string>>"
     with pytest.raises(ValueError):
         schemas.schema_from_fields([{"name": "x", "type": "GEOMETRY"}])
 
 
-def test_records(spark, people):
-    assert people.count() == 5
-    assert people.filter("first_name = 'Gisella'").first()["dob"] == dt.date(1997, 7, 1)
+def test_records(spark, herbs):
+    assert herbs.count() == 5
+    assert herbs.filter("herb = 'sorrel'").first()["sown"] == dt.date(2013, 5, 2)
     with pytest.raises(ColumnMismatch):
-        records_to_df(spark, [{"first_name": "x", "age": 3}], PEOPLE_SCHEMA)
+        records_to_df(spark, [{"herb": "x", "age": 3}], HERBS_SCHEMA)
     with pytest.raises(FAILURES):
-        records_to_df(spark, [{"last_name": "x"}], PEOPLE_SCHEMA).collect()
+        records_to_df(spark, [{"bed": "x"}], HERBS_SCHEMA).collect()
     with pytest.raises(FAILURES):
-        records_to_df(spark, [{"first_name": "x", "dob": "soon"}], PEOPLE_SCHEMA).collect()
+        records_to_df(spark, [{"herb": "x", "sown": "soon"}], HERBS_SCHEMA).collect()
     found = records_to_df(spark, [{"a": 1, "b": {"c": [1.5]}}, {"a": 2}])
     assert sorted(found.columns) == ["a", "b"]
     assert [r["a"] for r in found.orderBy("a").collect()] == [1, 2]
 
 
-def test_conform(spark, people):
-    assert schemas.conform(people.drop("dob"), PEOPLE_SCHEMA).first()["dob"] is None
+def test_conform(spark, herbs):
+    assert schemas.conform(herbs.drop("sown"), HERBS_SCHEMA).first()["sown"] is None
     with pytest.raises(ColumnMismatch):
-        schemas.conform(people.withColumn("x", F.lit(1)), PEOPLE_SCHEMA)
+        schemas.conform(herbs.withColumn("x", F.lit(1)), HERBS_SCHEMA)
     with pytest.raises(ColumnMismatch):
-        schemas.conform(people.withColumn("dob", F.lit("x")), PEOPLE_SCHEMA)
+        schemas.conform(herbs.withColumn("sown", F.lit("x")), HERBS_SCHEMA)
     with pytest.raises(ColumnMismatch):
-        schemas.conform(people.drop("first_name"), PEOPLE_SCHEMA)
+        schemas.conform(herbs.drop("herb"), HERBS_SCHEMA)
 
 
 def test_find_schema(spark):
@@ -105,52 +105,52 @@ def test_find_schema(spark):
     assert find("table_b") is None
 
 
-def test_dispositions(spark, schema, people):
-    name = f"{schema}.people"
-    tables.save_table(people, name, description="five people", labels={"team": "x"})
+def test_dispositions(spark, schema, herbs):
+    name = f"{schema}.herbs"
+    tables.save_table(herbs, name, description="five herbs", labels={"team": "x"})
     assert spark.table(name).count() == 5
     assert table_properties(spark, name)["relops.label.team"] == "x"
     with pytest.raises(tables.TableNotEmpty):
-        tables.save_table(people, name)
-    tables.save_table(people, name, "WRITE_APPEND")
+        tables.save_table(herbs, name)
+    tables.save_table(herbs, name, "WRITE_APPEND")
     assert spark.table(name).count() == 10
     with pytest.raises(ColumnMismatch):
-        tables.save_table(people.withColumn("x", F.lit(1)), name, "WRITE_APPEND")
-    tables.save_table(people.limit(1), name, "WRITE_TRUNCATE")
+        tables.save_table(herbs.withColumn("x", F.lit(1)), name, "WRITE_APPEND")
+    tables.save_table(herbs.limit(1), name, "WRITE_TRUNCATE")
     assert spark.table(name).count() == 1
     assert table_properties(spark, name)["relops.label.team"] == "x"
-    tables.save_table(people.limit(0), name, "WRITE_TRUNCATE")
-    tables.save_table(people, name, "WRITE_EMPTY")
+    tables.save_table(herbs.limit(0), name, "WRITE_TRUNCATE")
+    tables.save_table(herbs, name, "WRITE_EMPTY")
     assert spark.table(name).count() == 5
     tables.set_description(spark, name, "it's new")
     assert "it's new" in [r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()]
     with pytest.raises(ValueError):
-        tables.save_table(people, name, "WRITE_SOMEHOW")
+        tables.save_table(herbs, name, "WRITE_SOMEHOW")
 
 
-def test_a_failed_load_changes_nothing(spark, schema, people):
-    name = f"{schema}.people"
-    tables.save_table(people, name)
-    bad = people.withColumn("dob", F.when(F.col("first_name") == "Ansgar", F.raise_error(F.lit("bad")).cast("date")).otherwise(F.col("dob")))
+def test_a_failed_load_changes_nothing(spark, schema, herbs):
+    name = f"{schema}.herbs"
+    tables.save_table(herbs, name)
+    bad = herbs.withColumn("sown", F.when(F.col("herb") == "tansy", F.raise_error(F.lit("bad")).cast("date")).otherwise(F.col("sown")))
     with pytest.raises(FAILURES):
         tables.save_table(bad, name, "WRITE_TRUNCATE")
     assert spark.table(name).count() == 5
 
 
-def test_partitions(spark, schema, people):
-    name = f"{schema}.people"
-    tables.save_partitioned(people, name, "dob", "YEAR", require_filter=True, cluster_by=["first_name"])
+def test_partitions(spark, schema, herbs):
+    name = f"{schema}.herbs"
+    tables.save_partitioned(herbs, name, "sown", "YEAR", require_filter=True, cluster_by=["herb"])
     with pytest.raises(PartitionFilterRequired):
         read_table(spark, name)
-    kept = read_table(spark, name, start=dt.date(1990, 1, 1), end=dt.date(2001, 1, 1))
-    assert sorted(r["first_name"] for r in kept.collect()) == ["Gisella", "Melanie"]
+    kept = read_table(spark, name, start=dt.date(2011, 1, 1), end=dt.date(2015, 1, 1))
+    assert sorted(r["herb"] for r in kept.collect()) == ["chervil", "sorrel"]
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(dob_year" in plan
+    assert "PartitionFilters: [isnotnull(sown_year" in plan
     with pytest.raises(ValueError):
-        tables.save_partitioned(people, name, "dob", "WEEK")
-    tables.replace_partitions(people.filter("first_name = 'Ansgar'").withColumn("last_name", F.lit("New")), name)
+        tables.save_partitioned(herbs, name, "sown", "WEEK")
+    tables.replace_partitions(herbs.filter("herb = 'tansy'").withColumn("bed", F.lit("New")), name)
     rows = read_table(spark, name, start=dt.date(1900, 1, 1)).collect()
-    assert len(rows) == 5 and {r["last_name"] for r in rows if r["first_name"] == "Ansgar"} == {"New"}
+    assert len(rows) == 5 and {r["bed"] for r in rows if r["herb"] == "tansy"} == {"New"}
 
 
 def test_table_from_query(spark, schema):
@@ -184,9 +184,9 @@ def test_budget(spark, schema):
     assert guard.estimate_bytes(spark, "SELECT 1 AS x") == 0
 
 
-def test_snapshot_expiry(spark, schema, people):
-    source, kept, gone = (f"{schema}.{n}" for n in ("people", "kept", "gone"))
-    tables.save_table(people, source)
+def test_snapshot_expiry(spark, schema, herbs):
+    source, kept, gone = (f"{schema}.{n}" for n in ("herbs", "kept", "gone"))
+    tables.save_table(herbs, source)
     tables.snapshot_table(spark, source, kept)
     tables.snapshot_table(spark, source, gone, dt.datetime(2024, 1, 1))
     assert table_exists(spark, kept) and not table_exists(spark, gone)
@@ -206,11 +206,11 @@ def test_views(spark, schema):
         tables.create_view(spark, name, "SELECT 3 AS x", replace=False)
 
 
-def test_shards(spark, schema, people):
-    base = f"{schema}.people"
+def test_shards(spark, schema, herbs):
+    base = f"{schema}.herbs"
     for month in (5, 6, 7):
-        tables.save_table(people.limit(month), f"{base}2019{month:02d}01")
-    tables.save_table(people, f"{base}_v20200101")
+        tables.save_table(herbs.limit(month), f"{base}2019{month:02d}01")
+    tables.save_table(herbs, f"{base}_v20200101")
     listing = table_names(spark, schema)
     for month in (5, 6, 7):
         day = dt.date(2019, month, 1)
@@ -225,32 +225,32 @@ def test_shards(spark, schema, people):
         scan_shards(spark, f"{schema}.nothing")
 
 
-def test_inventory(spark, schema, people):
-    tables.save_table(people, f"{schema}.people")
-    tables.save_table(people.limit(0), f"{schema}.other")
-    tables.create_view(spark, f"{schema}.people_view", "SELECT 1 AS x")
-    rows = {r["table_id"].split(".")[-1]: r for r in table_inventory(spark, schema, "people", statistics=True).collect()}
-    assert set(rows) == {"people", "people_view"}
-    assert rows["people"]["n_rows"] == 5 and rows["people"]["n_bytes"] > 0
+def test_inventory(spark, schema, herbs):
+    tables.save_table(herbs, f"{schema}.herbs")
+    tables.save_table(herbs.limit(0), f"{schema}.other")
+    tables.create_view(spark, f"{schema}.herbs_view", "SELECT 1 AS x")
+    rows = {r["table_id"].split(".")[-1]: r for r in table_inventory(spark, schema, "herbs", statistics=True).collect()}
+    assert set(rows) == {"herbs", "herbs_view"}
+    assert rows["herbs"]["n_rows"] == 5 and rows["herbs"]["n_bytes"] > 0
     assert schema.split(".")[-1] in list_schemas(spark, "relops_")
     later = dt.datetime.now(dt.timezone.utc) + dt.timedelta(hours=30)
     assert retention.drop_expired(spark, table_inventory(spark, schema), 48, later, schema) == []
     dropped = retention.drop_expired(spark, table_inventory(spark, schema), 24, later, schema)
-    assert sorted(dropped) == [f"{schema}.other", f"{schema}.people"]
-    assert not table_exists(spark, f"{schema}.people")
+    assert sorted(dropped) == [f"{schema}.herbs", f"{schema}.other"]
+    assert not table_exists(spark, f"{schema}.herbs")
     retention.drop_tables(spark, dropped)
     retention.drop_schemas(spark, [schema, schema])
     assert schema.split(".")[-1] not in list_schemas(spark)
 
 
-def test_old_files(spark, schema, people):
-    name = f"{schema}.people"
+def test_old_files(spark, schema, herbs):
+    name = f"{schema}.herbs"
     for _ in range(3):
-        tables.save_table(people, name, "WRITE_TRUNCATE")
+        tables.save_table(herbs, name, "WRITE_TRUNCATE")
     assert retention.drop_old_files(spark, name) == 2
     assert spark.table(name).count() == 5
     path = scratch_path(spark, "prefix")
-    people.write.json(path)
+    herbs.write.json(path)
     assert retention.delete_prefix(spark, path) and not retention.delete_prefix(spark, path)
 
 
@@ -263,11 +263,11 @@ def test_expired_is_fractional(spark):
 
 def test_load_tables(spark, schema):
     specs = [
-        tables.TableSpec(schema_name=schema, table_name="people", records=PEOPLE, schema=PEOPLE_SCHEMA, is_sharded=True),
-        tables.TableSpec(schema_name=schema, table_name="all_people", records=PEOPLE, schema=PEOPLE_SCHEMA),
+        tables.TableSpec(schema_name=schema, table_name="herbs", records=HERBS, schema=HERBS_SCHEMA, is_sharded=True),
+        tables.TableSpec(schema_name=schema, table_name="all_herbs", records=HERBS, schema=HERBS_SCHEMA),
     ]
     names = tables.load_tables(spark, specs, dt.date(2024, 1, 2))
-    assert names == [f"{schema}.people20240102", f"{schema}.all_people"]
+    assert names == [f"{schema}.herbs20240102", f"{schema}.all_herbs"]
     assert all(spark.table(n).count() == 5 for n in names)
 
 
@@ -317,45 +317,45 @@ def test_changefile_release_registers_and_snapshots(spark, schema):
     assert (row["entity_id"], int(row["sequence_start"]), int(row["sequence_end"])) == ("main", 1, 2)
 
 
-def test_snapshot_and_partition_releases(spark, schema, people):
+def test_snapshot_and_partition_releases(spark, schema, herbs):
     at = dt.datetime(2024, 1, 1)
-    t = target(schema, "people")
-    assert apply_snapshot_release(spark, t, people, at, at, PEOPLE_SCHEMA).count() == 5
+    t = target(schema, "herbs")
+    assert apply_snapshot_release(spark, t, herbs, at, at, HERBS_SCHEMA).count() == 5
     with pytest.raises(tables.TableNotEmpty):
-        apply_snapshot_release(spark, t, people, at, at)
+        apply_snapshot_release(spark, t, herbs, at, at)
     p = target(schema, "daily")
-    for rows, day in ((people, 1), (people, 2), (people.limit(1), 2)):
+    for rows, day in ((herbs, 1), (herbs, 2), (herbs.limit(1), 2)):
         apply_partition_release(spark, p, rows, dt.datetime(2024, 1, day), at)
     assert spark.table(p.table).groupBy("snapshot_date_day").count().orderBy("snapshot_date_day").collect() == [
         ("2024-01-01", 5),
         ("2024-01-02", 1),
     ]
-    assert read_table(spark, p.table).columns == [*people.columns, "snapshot_date"]
+    assert read_table(spark, p.table).columns == [*herbs.columns, "snapshot_date"]
     assert spark.table(t.registry).count() == 4
 
 
 def test_load_files(spark, schema, tmp_path):
-    lines = [json.dumps(p) for p in PEOPLE]
+    lines = [json.dumps(p) for p in HERBS]
     (tmp_path / "a.jsonl").write_text("\n".join(lines))
-    (tmp_path / "b.jsonl").write_text(json.dumps({"first_name": "New", "dob": "2001-05-05"}))
-    (tmp_path / "a.csv").write_text("first,last,dob\n" + "\n".join(",".join(p.values()) for p in PEOPLE))
+    (tmp_path / "b.jsonl").write_text(json.dumps({"herb": "New", "sown": "2019-03-03"}))
+    (tmp_path / "a.csv").write_text("herb,bed,sown\n" + "\n".join(",".join(p.values()) for p in HERBS))
     both = [str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl")]
-    name = f"{schema}.people"
-    layout = tables.Layout(partition_field="dob", partition_kind="YEAR", cluster_by=("first_name",))
-    assert tables.load_files(spark, both, name, PEOPLE_SCHEMA, "jsonl", layout=layout, description="all")
-    assert not tables.load_files(spark, both, name, PEOPLE_SCHEMA, "jsonl")
-    assert tables.load_files(spark, str(tmp_path / "a.csv"), name, PEOPLE_SCHEMA, "csv", "WRITE_APPEND", skip_rows=1)
+    name = f"{schema}.herbs"
+    layout = tables.Layout(partition_field="sown", partition_kind="YEAR", cluster_by=("herb",))
+    assert tables.load_files(spark, both, name, HERBS_SCHEMA, "jsonl", layout=layout, description="all")
+    assert not tables.load_files(spark, both, name, HERBS_SCHEMA, "jsonl")
+    assert tables.load_files(spark, str(tmp_path / "a.csv"), name, HERBS_SCHEMA, "csv", "WRITE_APPEND", skip_rows=1)
     assert read_table(spark, name).count() == 11
-    assert spark.table(name).filter("dob_year = '2001'").count() == 3
-    (tmp_path / "bad.jsonl").write_text('{"first_name": "x", "dob": "soon"}')
-    (tmp_path / "missing.jsonl").write_text('{"last_name": "x"}')
-    (tmp_path / "extra.jsonl").write_text('{"first_name": "x", "age": 3}')
+    assert spark.table(name).filter("sown_year = '2019'").count() == 3
+    (tmp_path / "bad.jsonl").write_text('{"herb": "x", "sown": "soon"}')
+    (tmp_path / "missing.jsonl").write_text('{"bed": "x"}')
+    (tmp_path / "extra.jsonl").write_text('{"herb": "x", "age": 3}')
     for bad in ("bad", "missing", "extra"):
-        assert not tables.load_files(spark, str(tmp_path / f"{bad}.jsonl"), f"{schema}.{bad}", PEOPLE_SCHEMA, "jsonl")
+        assert not tables.load_files(spark, str(tmp_path / f"{bad}.jsonl"), f"{schema}.{bad}", HERBS_SCHEMA, "jsonl")
     extra = str(tmp_path / "extra.jsonl")
-    assert tables.load_files(spark, extra, f"{schema}.extra", PEOPLE_SCHEMA, "jsonl", ignore_unknown=True)
-    assert tables.load_records(spark, PEOPLE, f"{schema}.r") and tables.load_records(spark, PEOPLE, f"{schema}.r")
-    assert not tables.load_records(spark, [{"age": 3}], f"{schema}.r", PEOPLE_SCHEMA)
+    assert tables.load_files(spark, extra, f"{schema}.extra", HERBS_SCHEMA, "jsonl", ignore_unknown=True)
+    assert tables.load_records(spark, HERBS, f"{schema}.r") and tables.load_records(spark, HERBS, f"{schema}.r")
+    assert not tables.load_records(spark, [{"age": 3}], f"{schema}.r", HERBS_SCHEMA)
     assert spark.table(f"{schema}.r").count() == 5
 
 
