@@ -109,7 +109,9 @@ def _links(listed: DataFrame, source: DataFrame, shingle: int, percent: int) ->
         "class", "id", "n", "place", F.col("pivot.class").alias("other"), F.col("pivot.id").alias("other_id"), F.col("pivot.n").alias("m"), F.col("pivot.place").alias("spot")
     )
     left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("spot"))
-    pairs = near.filter(F.col("class") != F.col("other")).groupBy("class", "id", "n", "other", "other_id", "m")
+    # The smaller of two similar sets is at least the threshold's share of the larger.
+    alike = (F.col("m") * 100 >= F.col("n") * percent) & (F.col("m") * percent <= F.col("n") * 100)
+    pairs = near.filter((F.col("class") != F.col("other")) & alike).groupBy("class", "id", "n", "other", "other_id", "m")
     pairs = pairs.agg(F.max(left).alias("left"), F.count(F.lit(1)).alias("seen"))
     # A pivot is not listed for every shared token, so two are enough here; what this misses is asked for below.
     enough = F.least(F.lit(2), least_shared(F.col("n"), percent))
