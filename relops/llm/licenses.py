@@ -1,10 +1,10 @@
 """License notices in texts, by a positional index of rare words.
 
 The words of all templates are the index's vocabulary; how many documents hold each is counted over the whole
-corpus. Of a file's licence words those of the highest inverse document frequency are looked up: their postings say
-in which template and where the word stands, and the difference of the two positions is the same for all words of a
-copy. Templates whose words agree on one difference are verified there: the mandatory key phrases must stand in
-their places, and the share of equal words is the score.
+corpus. Of each template the words of the highest inverse document frequency that no copy can lack are looked up
+wherever they stand: their postings say in which template and where the word stands, and the difference of the two
+positions is where a copy would begin. It is verified there: the mandatory key phrases must stand in their places,
+and the share of equal words is the score.
 """
 
 from __future__ import annotations
@@ -49,8 +49,6 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software [released into the public domain]",
 }
 
-# Of a file's licence words those of at least this share of its highest inverse document frequency are looked up.
-RARE_SHARE = 0.5
 # Share of a template's words that must stand in their places.
 LEAST_MATCH = 0.6
 
@@ -62,8 +60,17 @@ class Template:
     phrases: list[tuple[int, int]]
 
 
+@dataclass
+class Postings:
+    """Templates and positions, those of word ``i`` of the vocabulary from ``first[i]`` to ``first[i + 1]``."""
+
+    owner: np.ndarray
+    position: np.ndarray
+    first: np.ndarray
+
+
 class Index:
-    """Vocabulary of the templates and, for each word, its postings (template, position)."""
+    """Vocabulary of the templates and where each word stands in them (template, position)."""
 
     def __init__(self, templates: dict[str, str]) -> None:
         self.templates = []
@@ -83,8 +90,25 @@ class Index:
         owner = np.repeat(np.arange(len(self.templates)), [len(t.words) for t in self.templates])
         position = np.concatenate([np.arange(len(t.words)) for t in self.templates])
         order = np.argsort(place, kind="stable")
-        self.owner, self.position = owner[order], position[order]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(self.vocabulary)))])
+        self.word, self.owner, self.position = place[order], owner[order], position[order]
+
+    def look_up(self, idf: np.ndarray) -> Postings:
+        """Postings of the words that are looked up, so few and rare that a verified copy still holds one of its template.
+
+        With key phrases it is the rarest word in them, without any so many of the rarest words that the rest is less
+        than ``LEAST_MATCH`` of the template.
+        """
+
+        chosen = np.zeros(len(self.owner), bool)
+        for kind, form in enumerate(self.templates):
+            weight = idf[np.searchsorted(self.vocabulary, form.words)]
+            keyed = [at for a, b in form.phrases for at in range(a, b)]
+            among = np.array(keyed or range(len(form.words)), np.int64)
+            count = 1 if keyed else int((np.arange(len(among) + 1) >= LEAST_MATCH * len(among)).sum())
+            among = among[np.argsort(-weight[among], kind="stable")[:count]]
+            chosen |= (self.owner == kind) & np.isin(self.position, among)
+        times = np.bincount(self.word[chosen], minlength=len(self.vocabulary))
+        return Postings(self.owner[chosen], self.position[chosen], np.concatenate([[0], np.cumsum(times)]))
 
     def find(self, words: B.Words) -> tuple[np.ndarray, np.ndarray]:
         """Places of licence words, and the word's number in the vocabulary."""
@@ -150,19 +174,20 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", keep: Sequence[str] =
     index = Index(TEMPLATES if templates is None else templates)
     held, total = document_frequencies(docs, index, text_col)
     idf = np.log((total + 1) / (held + 1)) + 1e-9
+    postings = index.look_up(idf)
     phrases = [(word_hashes(p.split()), label) for p, label in BASE.items()]
 
     def compute(texts: pa.Array) -> list[pa.Array]:
         data, offsets = B.text_bytes(texts)
-        parts = [_scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], index, idf, phrases) for a, b in B.pieces(offsets)]
+        parts = [_scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], index, postings, phrases) for a, b in B.pieces(offsets)]
         if not parts:
-            parts = [_scan(data, offsets, index, idf, phrases)]
+            parts = [_scan(data, offsets, index, postings, phrases)]
         return [pa.concat_arrays(column) for column in zip(*parts)]
 
     return annotate(docs, text_col, compute, FIELDS, keep)
 
 
-def _scan(data, offsets, index: Index, idf: np.ndarray, phrases) -> list[pa.Array]:
+def _scan(data, offsets, index: Index, postings: Postings, phrases) -> list[pa.Array]:
     words = B.words_of(B.LOWER[data], offsets, B.ALNUM)
     rows, doc = len(offsets) - 1, words.doc
     base_places, base_names = [np.zeros(0, np.int64)], [[] for _ in range(rows)]
@@ -180,7 +205,7 @@ def _scan(data, offsets, index: Index, idf: np.ndarray, phrases) -> list[pa.Arra
     last[some] = at[edges[1]] - words.first[some]
     score = np.where(n_base > 0, 0.5, 0.0)
     names, hit = [set() for _ in range(rows)], np.zeros(len(doc), bool)
-    for row, template, begin, share in _copies(words, index, idf):
+    for row, template, begin, share in _copies(words, index, postings):
         names[row].add(index.templates[template].label)
         score[row] = max(score[row], share)
         hit[max(begin, words.first[row]) : min(begin + len(index.templates[template].words), words.first[row + 1])] = True
@@ -206,29 +231,28 @@ def _stands(words: B.Words, phrase: np.ndarray, at: np.ndarray) -> np.ndarray:
     return at
 
 
-def _copies(words: B.Words, index: Index, idf: np.ndarray):
+def _copies(words: B.Words, index: Index, postings: Postings):
     """Verified copies of templates: document, template, where the copy begins, share of its words in place."""
 
     places, number = index.find(words)
-    if not len(places):
-        return
-    doc = words.doc[places]
-    begins = np.flatnonzero(np.diff(doc, prepend=-1))
-    highest = np.repeat(np.maximum.reduceat(idf[number], begins), np.diff(np.append(begins, len(doc))))
-    rare = idf[number] >= RARE_SHARE * highest
-    places, number, doc = places[rare], number[rare], doc[rare]
-    times = index.first[number + 1] - index.first[number]
-    posting = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - index.first[number], times)
-    place, doc, template = np.repeat(places, times), np.repeat(doc, times), index.owner[posting]
-    begin = place - index.position[posting]
-    for row, kind, start in np.unique(np.stack([doc, template, begin], 1), axis=0).tolist():
-        form = index.templates[kind]
-        low, high = words.first[row], words.first[row + 1]
-        if not all(
-            start + a >= low and start + b <= high and np.array_equal(words.hashes[start + a : start + b], form.words[a:b]) for a, b in form.phrases
-        ):
+    times = postings.first[number + 1] - postings.first[number]
+    posting = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - postings.first[number], times)
+    kinds, begins = postings.owner[posting], np.repeat(places, times) - postings.position[posting]
+    rows = np.repeat(words.doc[places], times)
+    for kind, form in enumerate(index.templates):
+        start, row = begins[kinds == kind], rows[kinds == kind]
+        if not len(start):
             continue
-        inner = slice(max(start, low), min(start + len(form.words), high))
-        share = (words.hashes[inner] == form.words[inner.start - start : inner.stop - start]).sum() / len(form.words)
-        if share >= LEAST_MATCH:
-            yield row, kind, start, float(share)
+        row, start = np.unique(np.stack([row, start], 1), axis=0).T
+        low, high = words.first[row], words.first[row + 1]
+        equal = np.zeros((len(start), len(form.words)), bool)
+        for step, word in enumerate(form.words):
+            at = start + step
+            inner = (at >= low) & (at < high)
+            equal[inner, step] = words.hashes[at[inner]] == word
+        share = equal.sum(1) / len(form.words)
+        sure = share >= LEAST_MATCH
+        for a, b in form.phrases:
+            sure &= equal[:, a:b].all(1)
+        for i in np.flatnonzero(sure).tolist():
+            yield int(row[i]), kind, int(start[i]), float(share[i])

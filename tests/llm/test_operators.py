@@ -14,7 +14,7 @@ from relops.llm.decontamination import mark_benchmark
 from relops.llm.fm_index import FMIndex
 from relops.llm.jaccard_join import link_similar
 from relops.llm.language_id import identify, train
-from relops.llm.licenses import scan_licenses
+from relops.llm.licenses import LEAST_MATCH, TEMPLATES, scan_licenses
 from relops.llm.main_text import extract_main_text, main_text
 from relops.llm.mixing import mix_sources, targets
 from relops.llm.quality import judge_quality
@@ -220,6 +220,44 @@ def test_licenses(spark, none):
     assert scan_licenses(none).count() == 0
 
 
+def test_licenses_beside_rarer_words(spark):
+    """Every notice is found whatever other licence words its document holds and however common it is."""
+
+    rng = random.Random(6)
+    templates = TEMPLATES | {"no-phrase": "a free notice without any key phrase at all"}
+    notices = [re.sub(r"[\[\]]", "", t) for t in templates.values()]
+    texts = []
+    for i in range(400):
+        parts = [" ".join(rng.choices(["lorem", "the", "software", "of", "free", "is"], k=rng.randint(0, 12)))]
+        if i % 3 == 0:
+            parts.append("Licensed under the Apache License, version 2.0")
+        if i % 90 == 0:
+            parts.append("mozilla public license foundation")
+        if i % 7 == 0:
+            words = rng.choice(notices).split()
+            parts.append(" ".join("x" if rng.random() < 0.2 else w for w in words))
+        texts.append(" ".join(rng.sample(parts, len(parts))))
+    want = {}
+    for doc, text in enumerate(texts):
+        words, found = re.findall(ALNUM, lower(text)), set()
+        for label, template in templates.items():
+            marked, form, key, open_ = re.findall(r"\[|\]|[^\s\[\]]+", template), [], [], False
+            for token in marked:
+                open_ = token == "[" or (open_ and token != "]")
+                if token not in "[]":
+                    form.append(token)
+                    key.append(open_)
+            for begin in range(-len(form), len(words)):
+                equal = [0 <= begin + i < len(words) and words[begin + i] == w for i, w in enumerate(form)]
+                if sum(equal) / len(form) >= LEAST_MATCH and all(e for e, k in zip(equal, key) if k):
+                    found.add(label)
+        want[doc] = sorted(found)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["found_labels"] for r in scan_licenses(rows, templates=templates).collect()}
+    assert sum("apache-2.0" in x for x in want.values()) >= 134 and any("no-phrase" in x for x in want.values())
+    assert got == want
+
+
 def test_language_id(spark, none):
     rng = random.Random(4)
     words = {"en": ["the", "house", "with", "and", "thing"], "de": ["der", "nicht", "schön", "und", "zeit"]}
