@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -13,7 +14,7 @@ from relops.llm.boosted_trees import fit
 from relops.llm.decontamination import mark_benchmark
 from relops.llm.fm_index import FMIndex
 from relops.llm.jaccard_join import link_similar
-from relops.llm.language_id import identify, train
+from relops.llm.language_id import _entropies, identify, train
 from relops.llm.licenses import LEAST_MATCH, TEMPLATES, scan_licenses
 from relops.llm.main_text import extract_main_text, main_text
 from relops.llm.mixing import mix_sources, targets
@@ -272,6 +273,19 @@ def test_language_id(spark, none):
     assert identify(none, train(none, "doc_id", "text", "lang")).count() == 0
 
 
+def test_language_model_is_a_distribution(spark):
+    """After any context the probabilities of the characters add up to one less what unknown characters get."""
+
+    rng = random.Random(8)
+    words = {"en": ["the", "house", "with", "and", "thing"], "de": ["der", "nicht", "haus", "und", "zeit"]}
+    rows = [(i, " ".join(rng.choices(words[x], k=40)), x) for i in range(100) for x in [("en", "de")[i % 2]]]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    letters = sorted({c for _, text, _ in rows for c in text})
+    for context in ("hou", "the", "nic", "zzz", "eit", "xho", " ho"):
+        bits = np.concatenate([_entropies(model, pa.array([context + c]))[0] for c in letters])
+        assert (np.exp2(-bits).sum(0) <= 1 + 1e-4).all() and (np.exp2(-bits).sum(0) > 0.9).all()
+
+
 def test_main_text(spark):
     page = (
         '<html><head><title>no</title></head><body><nav><a href="/">Menu</a></nav><div class="ad">Buy, now. Really.</div><article><h1>Head &amp; tail</h1>'
