@@ -16,19 +16,32 @@ from pyspark.sql import functions as F
 from relops.columns import col
 from relops.staging import stage
 
-# What a candidate looks like: a private key block, or a long token with a digit.
-KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*+-----END [A-Z ]*PRIVATE KEY-----"
-TOKEN = r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![.@])"
+# What a candidate looks like. A private key block; a value after a secret's name and an assignment, in
+# quotes up to the closing one; a password in a URL; a web token of three or five parts; dotted and plain long tokens.
+# Loops over groups are possessive, which Java runs without recursion.
+MARK = r"[A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+KEY_BLOCK = rf"-----BEGIN {MARK}(?:[^-]++|-(?!----(?:BEGIN|END) {MARK}))*+-----END {MARK}"
+NAME = r"(?i:key|token|secret|passw(?:or)?d|passphrase|pwd|auth|credentials?|bearer)"
+SIGN = r"(?:=>|:=|=|:)"
+WIDE = r"A-Za-z0-9+/_-"
+AFTER_NAME = rf"(?<=[=:>\s\"'])(?<={SIGN}\s{{0,8}}[\"']?)(?<={NAME}[\"']?\s{{0,8}}{SIGN}\s{{0,8}}[\"']?)"
+QUOTED = rf"(?<=[\"']){AFTER_NAME}[^\"'\r\n]++(?=[\"'])"
+VALUE = rf"{AFTER_NAME}(?![=:>])[^\s\"']*[^\s\"'.,;:)\]}}>]"
+IN_URL = r"(?<=:)(?<=://[^\s/:@\"']{0,200}:)[^\s/@\"']++(?=@)"
+WEB_TOKEN = rf"(?<![{WIDE}])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+\.[A-Za-z0-9_-]*+(?:\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)?+"
+DOTTED = rf"(?<![.{WIDE}])[A-Za-z0-9_-]{{10,}}+\.[A-Za-z0-9_-]{{10,}}+\.[A-Za-z0-9_-]{{10,}}+"
+# A run that ends in a secret's name before an assignment is the name of what follows.
+TOKEN = rf"(?:(?<![{WIDE}])(?!(?<=:)//)|(?<=://))[{WIDE}]{{16,}}+(?!(?<={NAME})[\"']?\s{{0,8}}{SIGN})(?:={{1,2}}+(?![\"'{WIDE}]))?+"
 # Public formats of access keys.
-FORMATS = r"^((AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|glpat-.*|[sr]k_live_.*|xox[abprs]-.*|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+)$"
-CANDIDATE = f"{KEY_BLOCK}|{TOKEN}"
-NAMED = r"(?i)(key|token|secret|passw(or)?d|pwd|auth|credential|bearer)[\"']?\s*(=|:|=>|is)?\s*[\"']?$"
+FORMATS = r"^((AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|glpat-.*|[sr]k_live_.*|xox[abprs]-.*|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]*){2,4})$"
+CANDIDATE = "|".join([KEY_BLOCK, QUOTED, VALUE, IN_URL, WEB_TOKEN, DOTTED, TOKEN])
+NAMED = r"(?i)(key|token|secret|passw(or)?d|passphrase|pwd|auth|credentials?|bearer)[\"']?\s*(=|:|=>|:=|is)?\s*[\"']?$"
 ASSIGNED = r"(=|:|=>)\s*[\"']?$"
 HARMLESS = r"(?i)(example|sample|dummy|test|hash|commit|checksum|sha\d*|md5|uuid|order|card|phone|page)"
 HARMLESS_PATH = r"(?i)(example|sample|test|fixture|mock|doc)"
 AROUND = 40
 
-FEATURES = ["length", "distinct", "transitions", "digits", "upper", "format", "numeric", "hex", "dictionary", "named", "assigned", "quoted", "harmless", "path", "neighbours"]
+FEATURES = ["length", "distinct", "transitions", "digits", "upper", "format", "numeric", "hex", "dictionary", "named", "assigned", "quoted", "harmless", "path", "neighbours", "symbols", "word", "mail", "file", "url"]
 TREES = 15
 DEPTH = 5
 # Labelled findings the forest is fitted on at most, drawn by a hash of the finding.
@@ -72,6 +85,11 @@ def _features(candidate: Column, before: Column, after: Column, path: Column, kn
         before.rlike(HARMLESS) | after.rlike(HARMLESS),
         path.rlike(HARMLESS_PATH),
         F.size(F.filter(F.split(F.concat_ws(" ", before, after), r"[^A-Za-z]+"), lambda w: F.array_contains(known, F.lower(w)))),
+        _count(candidate, "[^A-Za-z0-9]") / length,
+        candidate.rlike("^([A-Z]?[a-z]+|[A-Z]+)([-/_+]([A-Z]?[a-z]+|[A-Z]+))*$"),
+        after.rlike("^@[A-Za-z0-9]") | before.rlike("@$"),
+        after.rlike(r"^\.[A-Za-z0-9]") | before.rlike(r"[A-Za-z0-9]\.$") | candidate.rlike(r"^[^.]+(\.[^.]+)+$"),
+        before.rlike(r"://[^\s/:@\"']*:$") & after.rlike("^@"),
     ]
     return F.struct(*[v.cast("double").alias(name) for v, name in zip(values, FEATURES)])
 
@@ -130,14 +148,16 @@ FINDINGS = (
 def label_findings(findings: DataFrame) -> DataFrame:
     """Labels for findings that are beyond doubt, by rules that name the value or its harmless kind; others are left out.
 
-    1: a key block, a key of a public format, or a named, assigned value that mixes characters. 0: plain numbers, values covered by the
-    dictionary, and values beside a harmless word without a name of a secret.
+    1: a key block, a key of a public format, a password in a URL, or a named, assigned value of eight characters or more that is
+    no plain word. 0: plain numbers, values covered by the dictionary, and without a name of a secret values beside a harmless word,
+    plain words, and parts of addresses and file names.
     """
 
     f = F.col("features")
-    named = (f["named"] == 1) & (f["assigned"] == 1) & (f["dictionary"] < 0.3) & (f["numeric"] == 0)
-    yes = F.col("candidate").rlike(KEY_BLOCK) | (f["format"] == 1) | named
-    no = (f["numeric"] == 1) | (f["dictionary"] >= 0.5) | ((f["harmless"] == 1) & (f["named"] == 0))
+    named = (f["named"] == 1) & (f["assigned"] == 1) & (f["dictionary"] < 0.3) & (f["numeric"] == 0) & (f["word"] == 0) & (f["length"] >= 8)
+    yes = F.col("candidate").rlike(KEY_BLOCK) | (f["format"] == 1) | (f["url"] == 1) | named
+    other = (f["harmless"] == 1) | (f["word"] == 1) | (f["mail"] == 1) | (f["file"] == 1)
+    no = (f["numeric"] == 1) | (f["dictionary"] >= 0.5) | (other & (f["named"] == 0))
     return findings.withColumn("label", F.when(yes, 1.0).when(no, 0.0)).filter("label is not null")
 
 
