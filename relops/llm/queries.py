@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from relops.llm.chat import LEARNED, Template, format_chats, learned_text, read_turns, rows_to_records
 from relops.llm.decontamination import contaminated, mark_benchmark
+from relops.llm.hard_negatives import mine_hard_negatives
 from relops.llm.jaccard_join import link_similar
 from relops.llm.language_id import identify, train
 from relops.llm.licenses import scan_licenses
@@ -236,3 +237,31 @@ def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query(
+    """
+    WITH rows AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scores AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, a.vec_id = b.vec_id AS itself,
+               CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+        FROM rows a JOIN rows b ON a.vec_id % 100 = 0),
+    positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same AND NOT itself
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    negatives AS (
+        SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+               CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+        FROM positives p JOIN scores s ON p.anchor_id = s.anchor_id AND NOT same
+             AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5
+    """
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
