@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relops.llm.chat import LEARNED, Template, format_chats, learned_text, read_turns, rows_to_records
+from relops.llm.collocations import mine_collocations
 from relops.llm.decontamination import contaminated, mark_benchmark
 from relops.llm.hard_negatives import mine_hard_negatives
 from relops.llm.jaccard_join import link_similar
@@ -265,3 +266,40 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
     return mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query(
+    r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+    cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+    grams AS MATERIALIZED (
+        SELECT lang, k, list_slice(words, i, i + k - 1) AS g, count(*) AS f
+        FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM cut, (SELECT unnest([1, 2, 3]) AS k) WHERE len(words) >= k)
+        GROUP BY ALL),
+    totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+    parts AS (
+        SELECT lang, g, k, f AS a, w, concat_ws(chr(9), lang, array_to_string(list_slice(g, 1, w), ' ')) AS one,
+               concat_ws(chr(9), lang, array_to_string(list_slice(g, w + 1, k), ' ')) AS two
+        FROM (SELECT *, unnest(range(1, k)) AS w FROM grams WHERE k > 1 AND f >= 10)),
+    keyed AS MATERIALIZED (SELECT concat_ws(chr(9), lang, array_to_string(g, ' ')) AS key, f FROM grams WHERE k < 3 AND f >= 10),
+    cuts AS (
+        SELECT lang, g, k, w, a, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+        FROM parts JOIN keyed x ON x.key = one JOIN keyed y ON y.key = two),
+    candidates AS (
+        SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, w) = 1),
+    inside AS (
+        SELECT lang, g, max(f) AS longest FROM (
+            SELECT lang, list_slice(g, 1, 2) AS g, f FROM grams WHERE k = 3 AND f >= 10
+            UNION ALL SELECT lang, list_slice(g, 2, 3), f FROM grams WHERE k = 3 AND f >= 10) GROUP BY ALL),
+    kept AS (
+        SELECT c.*, array_to_string(c.g, ' ') AS phrase FROM candidates c LEFT JOIN inside i ON i.lang = c.lang AND i.g = c.g
+        WHERE coalesce(100 * longest < 50 * a, TRUE))
+    SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang)
+    WHERE rank <= 2000
+    """
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(table(spark, sf_dir, "documents"))
