@@ -97,8 +97,12 @@ def mine_hard_negatives(
 
 
 def _floor_percent(score: Column, percent: int) -> Column:
-    whole = score * percent
-    return F.call_function("div", whole - F.pmod(whole, F.lit(100)), F.lit(100))
+    """floor(score * percent / 100), hundreds and rest apart so that large scores do not overflow."""
+
+    def hundreds(value: Column) -> Column:
+        return F.call_function("div", value - F.pmod(value, F.lit(100)), F.lit(100).cast("long"))
+
+    return hundreds(score) * percent + hundreds(F.pmod(score, F.lit(100)) * percent)
 
 
 def _prepared(

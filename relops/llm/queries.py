@@ -16,7 +16,7 @@ from relops.llm.main_text import extract_main_text
 from relops.llm.mixing import mix_sources
 from relops.llm.quality import judge_quality
 from relops.llm.rowwise import small_batches
-from relops.llm.secrets import scan_secrets
+from relops.llm.secrets import one_by_one, scan_secrets
 from relops.llm.substring_dedup import remove_repeated_windows
 from relops.llm.suffix_dedup import remove_repeated_bytes
 from relops.workload import base
@@ -180,8 +180,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per finding; the value itself is shown as its digest."""
 
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    rows = found.select("doc_id", F.posexplode("findings").alias("place", "one"))
-    return rows.select(
+    return one_by_one(found, "findings", "doc_id").select(
         "doc_id",
         "place",
         "one.start",

@@ -46,6 +46,7 @@ TREES = 15
 DEPTH = 5
 # Labelled findings the forest is fitted on at most, drawn by a hash of the finding.
 SAMPLE_FINDINGS = 20_000
+SHARES = 1 << 20
 # Words of the dictionary: those in most documents.
 DICTIONARY_WORDS = 1000
 
@@ -62,13 +63,13 @@ def _count(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def _features(candidate: Column, before: Column, after: Column, path: Column, known: Column) -> Column:
+def _features(candidate: Column, before: Column, after: Column, path: Column, known: list[str]) -> Column:
     """Features of one candidate, all doubles, in the order of ``FEATURES``."""
 
     length = F.length(candidate)
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(candidate, "[a-z]+", "a"), "[A-Z]+", "b"), "[0-9]+", "c")
     runs = F.regexp_extract_all(F.lower(candidate), F.lit("([a-z]{3,})"), 1)
-    covered = F.aggregate(F.filter(runs, lambda w: F.array_contains(known, w)), F.lit(0), lambda n, w: n + F.length(w))
+    covered = F.aggregate(F.filter(runs, lambda w: w.isin(known)), F.lit(0), lambda n, w: n + F.length(w))
     values = [
         length,
         F.size(F.array_distinct(F.split(candidate, ""))) / length,
@@ -84,7 +85,7 @@ def _features(candidate: Column, before: Column, after: Column, path: Column, kn
         before.rlike("[\"']$") & after.rlike("^[\"']"),
         before.rlike(HARMLESS) | after.rlike(HARMLESS),
         path.rlike(HARMLESS_PATH),
-        F.size(F.filter(F.split(F.concat_ws(" ", before, after), r"[^A-Za-z]+"), lambda w: F.array_contains(known, F.lower(w)))),
+        F.size(F.filter(F.split(F.concat_ws(" ", before, after), r"[^A-Za-z]+"), lambda w: F.lower(w).isin(known))),
         _count(candidate, "[^A-Za-z0-9]") / length,
         candidate.rlike("^([A-Z]?[a-z]+|[A-Z]+)([-/_+]([A-Z]?[a-z]+|[A-Z]+))*$"),
         after.rlike("^@[A-Za-z0-9]") | before.rlike("@$"),
@@ -102,7 +103,6 @@ def find_candidates(docs: DataFrame, known: list[str], text_col: str = "text", p
     """
 
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    words = F.array(*[F.lit(w) for w in known]) if known else F.array().cast("array<string>")
     path = F.coalesce(col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
     found = F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), 1)
     between = F.split(text, CANDIDATE, -1)
@@ -130,7 +130,7 @@ def find_candidates(docs: DataFrame, known: list[str], text_col: str = "text", p
             candidate.alias("candidate"),
             before.alias("before"),
             after.alias("after"),
-            _features(candidate, before, after, path, words).alias("features"),
+            _features(candidate, before, after, path, known).alias("features"),
         )
 
     empty = F.array().cast(FINDINGS)
@@ -145,6 +145,16 @@ FINDINGS = (
 )
 
 
+def one_by_one(found: DataFrame, name: str = "findings", *columns: str) -> DataFrame:
+    """A row per finding: ``columns``, its ``place`` in the row from 0, and the finding as ``one``.
+
+    An outer explode: for an inner one Spark tests the array's size first, and so computes every feature in a filter,
+    with the pattern run over the whole text for each of them.
+    """
+
+    return found.select(*map(col, columns), F.posexplode_outer(name).alias("place", "one")).filter("one.candidate is not null")
+
+
 def label_findings(findings: DataFrame) -> DataFrame:
     """Labels for findings that are beyond doubt, by rules that name the value or its harmless kind; others are left out.
 
@@ -164,15 +174,18 @@ def label_findings(findings: DataFrame) -> DataFrame:
 def train_forest(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, sample: int = SAMPLE_FINDINGS) -> Callable[[Column], Column]:
     """A column function from ``features`` to the share of trees that call the finding a secret.
 
-    Fitted on at most ``sample`` labelled findings (columns ``features`` and ``label``). With labels of one kind the
+    Fitted on at most ``sample`` different labelled findings (columns ``features`` and ``label``). With labels of one kind the
     answer is that label; without any, every candidate is a secret.
     """
 
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    drawn = labelled.select("features.*", "label").orderBy(F.xxhash64("label", *FEATURES), *FEATURES).limit(sample)
-    drawn = stage(drawn, "labelled")
+    labelled = stage(labelled.select("features.*", "label").distinct(), "labelled")
+    # A share of about twice the bound by a hash of the finding is left to be sorted and cut to it.
+    draw = F.pmod(F.xxhash64("label", *FEATURES), F.lit(SHARES))
+    share = F.lit(-(-SHARES * 2 * sample // max(labelled.count(), 1)))
+    drawn = stage(labelled.filter(draw < share).orderBy(draw, "label", *FEATURES).limit(sample), "drawn")
     kinds = sorted(r["label"] for r in drawn.select("label").distinct().collect())
     if len(kinds) < 2:
         constant = kinds[0] if kinds else 1.0
@@ -221,12 +234,15 @@ def scan_secrets(
 
     ``known`` is the dictionary and ``score`` the trained forest; where they are not given, both are made from
     ``docs`` itself, the forest from the findings its rules can label.
+
+    A null or empty text has no findings, a null path is an empty one; equal rows have equal findings each. A column
+    named ``name`` is replaced, an empty table stays empty.
     """
 
     known = dictionary(docs, text_col) if known is None else known
     found = find_candidates(docs, known, text_col, path_col, name)
     if score is None:
-        score = train_forest(label_findings(found.select(F.explode(name).alias("one")).select("one.*")))
+        score = train_forest(label_findings(one_by_one(found, name).select("one.*")))
     judged = F.transform(name, lambda one: one.withField("score", score(one["features"])))
     judged = F.transform(judged, lambda one: one.withField("is_secret", one["score"] >= threshold))
     return found.withColumn(name, judged)
