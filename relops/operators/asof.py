@@ -29,33 +29,33 @@ def asof_join(
     """
 
     groups = as_list(by)
-    keys = [f"_g{i}" for i in range(len(groups))]
+    keys = [f"__relops_g{i}" for i in range(len(groups))]
     named = [col(g).alias(k) for g, k in zip(groups, keys)]
-    instant = [*keys, "_time"]
+    instant = [*keys, "__relops_time"]
     known = (
-        right.select(*named, col(right_time).alias("_time"), value.alias("_value"))
+        right.select(*named, col(right_time).alias("__relops_time"), value.alias("__relops_value"))
         .dropna(subset=instant)
         .groupBy(*instant)
-        .agg(F.max("_value").alias("_value"))
-        .withColumn("_side", F.lit(0))
+        .agg(F.max("__relops_value").alias("__relops_value"))
+        .withColumn("__relops_side", F.lit(0))
     )
-    asked = left.select(*named, col(left_time).alias("_time")).dropna().distinct().withColumn("_side", F.lit(1))
+    asked = left.select(*named, col(left_time).alias("__relops_time")).dropna().distinct().withColumn("__relops_side", F.lit(1))
     line = asked.unionByName(known, allowMissingColumns=True)
-    staged = stage_in_order(line, [*instant, "_side"])
+    staged = stage_in_order(line, [*instant, "__relops_side"])
 
-    per_file = staged.groupBy(CHUNK, *keys).agg(F.max("_value").alias("_value"))
+    per_file = staged.groupBy(CHUNK, *keys).agg(F.max("__relops_value").alias("__relops_value"))
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carried = per_file.select(
-        F.col(CHUNK).alias("_in_file"),
-        *[F.col(k).alias(f"_in{k}") for k in keys],
-        F.max("_value").over(earlier).alias("_carried"),
-    ).filter(F.col("_carried").isNotNull())
+        F.col(CHUNK).alias("__relops_in_file"),
+        *[F.col(k).alias(f"{k}_in") for k in keys],
+        F.max("__relops_value").over(earlier).alias("__relops_carried"),
+    ).filter(F.col("__relops_carried").isNotNull())
 
     in_file = Window.partitionBy(CHUNK, *keys).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
-    running = staged.withColumn("_running", F.max("_value").over(in_file)).filter(F.col("_side") == 1)
-    continued = all_of([F.col(CHUNK) == F.col("_in_file"), *[F.col(k) == F.col(f"_in{k}") for k in keys]])
+    running = staged.withColumn("__relops_running", F.max("__relops_value").over(in_file)).filter(F.col("__relops_side") == 1)
+    continued = all_of([F.col(CHUNK) == F.col("__relops_in_file"), *[F.col(k) == F.col(f"{k}_in") for k in keys]])
     answers = running.join(F.broadcast(carried), continued, "left").select(
-        *instant, F.greatest("_carried", "_running").alias(name)
+        *instant, F.greatest("__relops_carried", "__relops_running").alias(name)
     )
     # A null group or time asks for nothing: there is no answer row it could meet.
     wanted = zip([*map(col, groups), col(left_time)], map(F.col, instant))

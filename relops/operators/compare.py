@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relops.columns import as_list, col, quote, require_columns, split_null_keys, splittable_match, union_all
+from relops.columns import all_of, as_list, col, quote, require_columns, split_null_keys, splittable_match, union_all
 from relops.functions.nested import sort_lists
 
 
@@ -20,11 +20,11 @@ def key_set_diff(left: DataFrame, right: DataFrame, keys: str | Sequence[str]) -
 
     keys = as_list(keys)
     names = [quote(k) for k in keys]
-    marked = left.select(*names, F.lit(1).alias("_l"), F.lit(0).alias("_r")).union(
-        right.select(*names, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
+    marked = left.select(*names, F.lit(1).alias("__relops_l"), F.lit(0).alias("__relops_r")).union(
+        right.select(*names, F.lit(0).alias("__relops_l"), F.lit(1).alias("__relops_r"))
     )
-    sides = marked.groupBy(*names).agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
-    side = F.when((F.col("_l") + F.col("_r")) == 2, "both").when(F.col("_l") == 1, "left").otherwise("right")
+    sides = marked.groupBy(*names).agg(F.max("__relops_l").alias("__relops_l"), F.max("__relops_r").alias("__relops_r"))
+    side = F.when((F.col("__relops_l") + F.col("__relops_r")) == 2, "both").when(F.col("__relops_l") == 1, "left").otherwise("right")
     return sides.select(*names, side.alias("side"))
 
 
@@ -83,12 +83,12 @@ def table_diff(
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(*names, F.struct(*map(col, df.columns)).alias(name))
 
-    both = side(expected, "_e").unionByName(side(actual, "_a"), allowMissingColumns=True)
+    both = side(expected, "__relops_e").unionByName(side(actual, "__relops_a"), allowMissingColumns=True)
     per_key = both.groupBy(*names).agg(
-        F.count("_e").alias("_n_e"),
-        F.count("_a").alias("_n_a"),
-        F.first("_e", ignorenulls=True).alias("_e"),
-        F.first("_a", ignorenulls=True).alias("_a"),
+        F.count("__relops_e").alias("__relops_n_e"),
+        F.count("__relops_a").alias("__relops_n_a"),
+        F.first("__relops_e", ignorenulls=True).alias("__relops_e"),
+        F.first("__relops_a", ignorenulls=True).alias("__relops_a"),
     )
 
     def entry(when: Column, change: str, field: str | None = None, exp: Column | None = None, act: Column | None = None):
@@ -101,7 +101,7 @@ def table_diff(
         )
         return F.when(when, made)
 
-    n_e, n_a = F.col("_n_e"), F.col("_n_a")
+    n_e, n_a = F.col("__relops_n_e"), F.col("__relops_n_a")
     single = (n_e == 1) & (n_a == 1)
     entries = [
         entry(n_a == 0, "only_expected"),
@@ -113,14 +113,14 @@ def table_diff(
             continue
         e_type = expected.schema[name].dataType if name in expected.columns else None
         a_type = actual.schema[name].dataType if name in actual.columns else None
-        exp = _shown(F.col(f"_e.{quote(name)}"), e_type) if e_type else None
-        act = _shown(F.col(f"_a.{quote(name)}"), a_type) if a_type else None
+        exp = _shown(F.col(f"__relops_e.{quote(name)}"), e_type) if e_type else None
+        act = _shown(F.col(f"__relops_a.{quote(name)}"), a_type) if a_type else None
         if exp is None:
             entries.append(entry(single, "field_only_actual", name, None, act))
         elif act is None:
             entries.append(entry(single, "field_only_expected", name, exp, None))
         else:
-            one, two = _ordered(F.col(f"_e.{quote(name)}"), e_type), _ordered(F.col(f"_a.{quote(name)}"), a_type)
+            one, two = _ordered(F.col(f"__relops_e.{quote(name)}"), e_type), _ordered(F.col(f"__relops_a.{quote(name)}"), a_type)
             if e_type != a_type or _has(e_type, T.VariantType):
                 one, two = _shown(one, e_type), _shown(two, a_type)
             entries.append(entry(single & ~one.eqNullSafe(two), "value", name, exp, act))
@@ -137,17 +137,17 @@ def transfer_diff(
     """
 
     keyed, keyless = split_null_keys(source, [key])
-    present = target.groupBy(col(key).alias("_key")).agg(F.max(col(checksum)).alias("target_checksum"))
+    present = target.groupBy(col(key).alias("__relops_key")).agg(F.max(col(checksum)).alias("target_checksum"))
     known = col(algorithm).isNotNull() if algorithm else F.lit(True)
     status = (
-        F.when(F.col("_key").isNull(), "new")
+        F.when(F.col("__relops_key").isNull(), "new")
         .when(~known, "unverified")
         .when(col(checksum) == F.col("target_checksum"), "skip")
         .otherwise("changed")
     )
-    present = present.filter(F.col("_key").isNotNull())
-    compared = keyed.join(present, splittable_match([(col(key), F.col("_key"))]), "left")
-    compared = compared.withColumn("status", status).drop("_key")
+    present = present.filter(F.col("__relops_key").isNotNull())
+    compared = keyed.join(present, splittable_match([(col(key), F.col("__relops_key"))]), "left")
+    compared = compared.withColumn("status", status).drop("__relops_key")
     if keyless is not None:
         blank = F.lit(None).cast(target.schema[checksum].dataType)
         keyless = keyless.withColumn("target_checksum", blank).withColumn("status", F.lit("new"))
@@ -163,15 +163,15 @@ def verify_transfers(
     """
 
     keyed, keyless = split_null_keys(manifest, [key])
-    found = arrived.filter(col(key).isNotNull()).groupBy(col(key).alias("_key")).agg(F.max(col(checksum)).alias("_found"))
+    found = arrived.filter(col(key).isNotNull()).groupBy(col(key).alias("__relops_key")).agg(F.max(col(checksum)).alias("__relops_found"))
     bad = F.when(col(retried), "error").otherwise("retry")
     verdict = (
-        F.when(F.col("_found").isNull() | col(checksum).isNull(), "unchecked")
-        .when(F.col("_found") == col(checksum), "ok")
+        F.when(F.col("__relops_found").isNull() | col(checksum).isNull(), "unchecked")
+        .when(F.col("__relops_found") == col(checksum), "ok")
         .otherwise(bad)
     )
-    joined = keyed.join(found, splittable_match([(col(key), F.col("_key"))]), "left")
-    joined = joined.withColumn("verdict", verdict).drop("_key", "_found")
+    joined = keyed.join(found, splittable_match([(col(key), F.col("__relops_key"))]), "left")
+    joined = joined.withColumn("verdict", verdict).drop("__relops_key", "__relops_found")
     return union_all([joined, None if keyless is None else keyless.withColumn("verdict", F.lit("unchecked"))])
 
 
@@ -188,3 +188,25 @@ def table_integrity(tables: dict[str, DataFrame], expected_rows: dict[str, int]
         )
 
     return union_all(counted(n, d) for n, d in tables.items())
+
+
+def stored_integrity(facts: DataFrame, expected: DataFrame) -> DataFrame:
+    """Facts of stored tables against what is expected of them, a row per table of either side.
+
+    ``facts`` has ``table_id``, ``exists``, ``n_rows`` and ``n_bytes``; ``expected`` has ``table_id``, ``exists``,
+    ``expected_rows`` and ``expected_bytes``, where null states nothing. Adds ``as_expected``: every stated fact holds;
+    a table with rows or bytes stated is expected to exist.
+    """
+
+    stated = expected.select(
+        F.col("table_id").alias("__relops_id"),
+        F.coalesce("exists", F.lit(True)).alias("expected_exists"),
+        F.col("expected_rows").cast("bigint").alias("expected_rows"),
+        F.col("expected_bytes").cast("bigint").alias("expected_bytes"),
+    )
+    both = facts.join(stated, F.col("table_id") == F.col("__relops_id"), "full")
+    exists = F.coalesce("exists", F.lit(False))
+    holds = [exists == F.coalesce("expected_exists", F.lit(True))]
+    holds += [F.coalesce(F.col(n) == F.col(w), F.col(w).isNull()) for n, w in (("n_rows", "expected_rows"), ("n_bytes", "expected_bytes"))]
+    names = F.coalesce("table_id", "__relops_id").alias("table_id")
+    return both.select(names, exists.alias("exists"), "n_rows", "n_bytes", "expected_rows", "expected_bytes", all_of(holds).alias("as_expected"))

@@ -146,6 +146,34 @@ def delete_by_keys(
     main key. Null keys match nothing and stay. ``co_located`` is as for :func:`upsert`.
     """
 
+    matched = _by_keys(main, deletes, main_keys, delete_keys, main_prefix, delete_prefix, co_located, "left_anti")
+    return union_all([matched, split_null_keys(main, as_list(main_keys))[1]])
+
+
+def matched_by_keys(
+    main: DataFrame,
+    changes: DataFrame,
+    main_keys: str | Sequence[str],
+    change_keys: str | Sequence[str] | None = None,
+    *,
+    main_prefix: str = "",
+    change_prefix: str = "",
+) -> DataFrame:
+    """Main rows with a partner in ``changes``: those that :func:`delete_by_keys` leaves out."""
+
+    return _by_keys(main, changes, main_keys, change_keys, main_prefix, change_prefix, False, "left_semi")
+
+
+def _by_keys(
+    main: DataFrame,
+    deletes: DataFrame,
+    main_keys: str | Sequence[str],
+    delete_keys: str | Sequence[str] | None,
+    main_prefix: str,
+    delete_prefix: str,
+    co_located: bool,
+    how: str,
+) -> DataFrame:
     main_keys = as_list(main_keys)
     delete_keys = main_keys if delete_keys is None else as_list(delete_keys)
     _check_delete_keys(main, deletes, main_keys, delete_keys)
@@ -154,11 +182,11 @@ def delete_by_keys(
     def key(name: str, prefix: str):
         return F.concat(F.lit(prefix), col(name).cast("string")) if prefixed else col(name)
 
-    main_keyed, main_null = split_null_keys(main, main_keys)
+    main_keyed, _ = split_null_keys(main, main_keys)
     del_keyed, _ = split_null_keys(deletes, delete_keys)
     targets = del_keyed.select(
-        *[key(d, delete_prefix).alias(f"_d{i}") for i, d in enumerate(delete_keys)]
+        *[key(d, delete_prefix).alias(f"__relops_k{i}") for i, d in enumerate(delete_keys)]
     ).distinct()
     matches = _equal if co_located else splittable_match
-    match = matches((key(m, main_prefix), F.col(f"_d{i}")) for i, m in enumerate(main_keys))
-    return union_all([main_keyed.join(targets, match, "left_anti"), main_null])
+    match = matches((key(m, main_prefix), F.col(f"__relops_k{i}")) for i, m in enumerate(main_keys))
+    return main_keyed.join(targets, match, how)

@@ -6,14 +6,14 @@ import dataclasses
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from relops.operators.incremental import apply_changes, merge_changefiles
 from relops.operators.registry import Release, add_release
+from relops.plans.merge import change_table
 from relops.sinks.tables import (
     WRITE_EMPTY,
-    WRITE_TRUNCATE,
     drop_partition,
     replace_partitions,
     save_partitioned,
@@ -79,16 +79,18 @@ def apply_changefile_release(
 ) -> DataFrame:
     """Snapshot the main table, merge the change files into it, apply deletes, register. Returns the new table.
 
-    The merged changes are written once, since the upsert reads them for matches and for inserts.
+    The changes are read once: merged and written with their sequence numbers, for matches, inserts and the registry.
+    Of a partitioned or grouped main table only what they fall in is read whole and rewritten.
     """
 
     if snapshot:
         snapshot_table(spark, target.table, snapshot, snapshot_expires_at)
-    bounds = changes.agg(F.min(seq).alias("first"), F.max(seq).alias("last")).first()
-    last = stage(merge_changefiles(changes, keys, seq).drop(seq), "changes")
+    span = Observation()
+    numbered = changes.observe(span, F.min(seq).alias("first"), F.max(seq).alias("last"))
+    last = stage(merge_changefiles(stage(numbered, "changefiles"), keys, seq).drop(seq), "changes")
+    bounds = span.get
     main = whole_table(spark, target.table)
-    merged = apply_changes(main, last.select(*main.columns), deletes, keys)
-    save_table(merged, target.table, WRITE_TRUNCATE)
+    change_table(spark, target.table, last.select(*main.columns), deletes, keys)
     _register(
         spark,
         target,

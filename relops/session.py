@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# The folders handed out inside the innermost :func:`scratch_owner`.
+_owned: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owned", default=None)
+
 
 def get_spark(app_name: str = "relops", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators rely on: UTC, ANSI, AQE with skew-join splitting."""
@@ -41,4 +47,27 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
             raise ValueError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="relops-")
         spark.conf.set(CHECKPOINT_CONF, root)
-    return f"{root.rstrip('/')}/relops/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/relops/{purpose}-{uuid.uuid4().hex}"
+    owned = _owned.get()
+    if owned is not None:
+        owned.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_owner(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end, also after a failure, every scratch folder that was handed out inside it.
+
+    What the operators return reads those folders, so use the result inside: write it, or collect it. Folders handed
+    out to other threads, and to an owner further in, are not this one's.
+    """
+
+    folders: list[str] = []
+    token = _owned.set(folders)
+    try:
+        yield folders
+    finally:
+        _owned.reset(token)
+        for path in folders:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

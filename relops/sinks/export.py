@@ -7,17 +7,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relops.columns import col
-from relops.staging import RUN, running_size, with_row_index, with_sum_before
+from relops.staging import RUN, running_size, stage, with_row_index, with_sum_before
 
 # Default part sizes and the manifest limit, in bytes.
 PART_BYTES = 30 * 1024**3
 PART_BYTES_GZ = int(3.9 * 1024**3)
 MANIFEST_BYTES = 1024**3
 _SYNC_BYTES = 64 * 1024
+SLOT = "__relops_slot"
 # The writers' own defaults stop at milliseconds.
 _TEXT_FORMATS = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -46,21 +49,22 @@ def compressed_run(lines: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     carried = 0
     for batch in lines:
         sizes = np.zeros(len(batch), dtype=np.int64)
-        waiting = pending = 0
-        for i, line in enumerate(batch):
-            raw = line.encode() + b"\n"
-            pending += len(stream.compress(raw))
-            waiting += len(raw)
-            if waiting >= _SYNC_BYTES or i == len(batch) - 1:
-                sizes[i] = pending + len(stream.flush(zlib.Z_SYNC_FLUSH))
-                waiting = pending = 0
+        text = pa.array(batch, pa.large_string())
+        data = ("\n".join(batch) + "\n").encode() if len(batch) else b""
+        ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        begin = first = 0
+        while first < len(batch):
+            # A buffer is closed by the line that fills it.
+            last = min(int(np.searchsorted(ends, begin + _SYNC_BYTES)), len(batch) - 1)
+            sizes[last] = len(stream.compress(data[begin : ends[last]])) + len(stream.flush(zlib.Z_SYNC_FLUSH))
+            begin, first = int(ends[last]), last + 1
         upto = sizes.cumsum() + carried
         yield pd.DataFrame({"size": sizes, "before": upto - sizes})
         carried += int(sizes.sum())
 
 
-def assign_parts(df: DataFrame, run: Column, order: Sequence[str], max_bytes: int) -> DataFrame:
-    """Rows with their part number: parts follow ``order``, hold less than ``max_bytes`` plus one row, none is empty.
+def assign_parts(df: DataFrame, run: Column, order: Sequence[str], max_bytes: int) -> tuple[DataFrame, int]:
+    """Rows with their part number, and how many parts there are: parts follow ``order``, hold less than ``max_bytes`` plus one row, none is empty.
 
     A row belongs to the part its first byte falls in; part numbers are then closed up, since a row longer than
     the limit can leap over one. Both steps are exact two-pass counts, no single-task window.
@@ -68,9 +72,9 @@ def assign_parts(df: DataFrame, run: Column, order: Sequence[str], max_bytes: in
 
     placed = with_sum_before(df, run, order)
     slot = F.expr(f"size_before div {int(max_bytes)}L")
-    placed = placed.withColumn("_slot", slot)
-    numbers = with_row_index(placed.select("_slot").distinct(), ["_slot"], "part")
-    return placed.join(numbers, "_slot").drop("_slot")
+    placed = placed.withColumn(SLOT, slot)
+    numbers = stage(with_row_index(placed.select(SLOT).distinct(), [SLOT], "part"), "parts")
+    return placed.join(numbers, SLOT).drop(SLOT), numbers.count()
 
 
 def export_parts(
@@ -87,20 +91,20 @@ def export_parts(
     """Ordered lines in files of bounded size: ``path/part_file=<stem><12 digits>.<extension>[.gz]/``.
 
     Lines are the column ``line``, or each row as JSON. Plain parts are bounded in bytes of text, gz parts in
-    compressed bytes. One part is one task, so ``max_bytes`` also bounds a task.
+    compressed bytes. A part is a task of its own, so ``max_bytes`` bounds a task and no two parts wait for one.
     """
 
     limit = max_bytes or (PART_BYTES_GZ if compress else PART_BYTES)
     text = col(line) if line else F.to_json(F.struct(*map(col, df.columns)), {"ignoreNullFields": "false"})
-    lines = df.select(*[col(o).alias(f"_o{i}") for i, o in enumerate(order)], text.alias("value"))
-    keys = [f"_o{i}" for i in range(len(order))]
+    keys = [f"__relops_o{i}" for i in range(len(order))]
+    lines = df.select(*[col(o).alias(k) for o, k in zip(order, keys)], text.alias("value"))
     run = compressed_run("value") if compress else running_size(F.octet_length("value").cast("long") + 1)
-    parts = assign_parts(lines, run, keys, limit)
+    parts, number = assign_parts(lines, run, keys, limit)
     suffix = f".{extension}" + (".gz" if compress else "")
     name = F.concat(F.lit(stem), F.lpad(F.col("part").cast("string"), 12, "0"), F.lit(suffix))
     (
         parts.withColumn("part_file", name)
-        .repartition("part_file")
+        .repartitionById(max(number, 1), F.col("part").cast("int"))
         .sortWithinPartitions("part_file", *keys)
         .select("value", "part_file")
         .write.option("compression", "gzip" if compress else "none")

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from relops.operators.rollups import expired
-from relops.sinks.tables import OLD_FOLDERS, set_properties
-from relops.sources.tables import table_properties
+from relops.sources.tables import table_exists
+from relops.versions import OLD_FOLDERS, SNAPSHOTS, delete_unused, folder_of, lines, live_places, set_properties, table_properties
 
 
 def drop_tables(spark: SparkSession, names: Sequence[str]) -> None:
@@ -34,31 +34,25 @@ def drop_expired(spark: SparkSession, inventory: DataFrame, age_hours: float, no
     return names
 
 
-def _folder(spark: SparkSession, path: str):
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
-
-
 def delete_prefix(spark: SparkSession, path: str) -> bool:
     """Delete a folder and everything below it; False when there was none."""
 
-    files, folder = _folder(spark, path)
+    files, folder = folder_of(spark, path)
     return files.delete(folder, True)
 
 
 def drop_old_files(spark: SparkSession, table: str) -> int:
-    """Delete the files of earlier versions of a replaced table; the number of versions deleted.
+    """Delete the files of earlier versions of a table; the number of version folders deleted.
 
-    Only the folders that replacing the table left behind and noted; a table of another writer is refused. Only for
-    when no query reads them any more.
+    Only folders that this package wrote and noted; a table of another writer is refused. What the table or one of
+    its snapshots still reads stays, an expired snapshot does not count. Only for when no query reads the rest.
     """
 
     properties = table_properties(spark, table)
     if OLD_FOLDERS not in properties:
         raise ValueError(f"{table} was not written by this package; its folders are not known")
-    gone = 0
-    for path in filter(None, properties[OLD_FOLDERS].split("\n")):
-        files, folder = _folder(spark, path)
-        gone += files.delete(folder, True)
-    set_properties(spark, table, {OLD_FOLDERS: ""})
+    snapshots = [n for n in lines(properties.get(SNAPSHOTS)) if table_exists(spark, n)]
+    live = set().union(*(live_places(spark, n) for n in [table, *snapshots]))
+    gone, left = delete_unused(spark, lines(properties[OLD_FOLDERS]), live)
+    set_properties(spark, table, {OLD_FOLDERS: "\n".join(left), SNAPSHOTS: "\n".join(snapshots)})
     return gone

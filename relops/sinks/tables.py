@@ -10,17 +10,19 @@ from collections.abc import Callable, Iterable, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relops.columns import as_list, col, quote, union_all
+from relops.columns import as_list, col, union_all
 from relops.sizing import range_partitions
 from relops.sources.files import scan_csv, scan_jsonl
 from relops.sources.records import records_to_df
 from relops.sources.schemas import conform
 from relops.sources.tables import (
     EXPIRES_AT,
+    GROUP,
+    GROUP_BY,
     PARTITION_FIELD,
     PARTITION_FORMATS,
     PARTITION_KIND,
@@ -29,17 +31,41 @@ from relops.sources.tables import (
     partition_column,
     partition_value,
     table_exists,
-    table_properties,
     without_partition_column,
 )
+from relops.staging import stage
+from relops.versions import (
+    NULL_PARTITION,
+    OLD_FOLDERS,
+    REPLACES,
+    SHARED,
+    SNAPSHOTS,
+    SNAPSHOT_OF,
+    file_folders,
+    finish_swap,
+    folder_of,
+    fresh_folder,
+    lines,
+    location,
+    note_folders,
+    partition_name,
+    point_partitions,
+    set_properties,
+    short,
+    sql_text,
+    swap_in,
+    table_facts,
+    table_properties,
+    unset_properties,
+)
 
 WRITE_EMPTY, WRITE_TRUNCATE, WRITE_APPEND = "WRITE_EMPTY", "WRITE_TRUNCATE", "WRITE_APPEND"
 LABEL = "relops.label."
 CLUSTER_BY, BUCKET_BY, BUCKETS = "relops.cluster_by", "relops.bucket_by", "relops.buckets"
-LAYOUT_PROPERTIES = (PARTITION_FIELD, PARTITION_KIND, REQUIRE_FILTER, CLUSTER_BY, BUCKET_BY, BUCKETS)
-# The folders of a table's earlier versions, one a line; tables of other writers do not have it.
-OLD_FOLDERS = "relops.old_folders"
-OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
+GROUPS = "relops.groups"
+LAYOUT_PROPERTIES = (PARTITION_FIELD, PARTITION_KIND, REQUIRE_FILTER, CLUSTER_BY, BUCKET_BY, BUCKETS, GROUP_BY, GROUPS)
+# Properties of one version or entry, not of the table as such.
+ENTRY_PROPERTIES = (*LAYOUT_PROPERTIES, EXPIRES_AT, OLD_FOLDERS, REPLACES, SHARED)
 
 log = logging.getLogger(__name__)
 
@@ -48,37 +74,17 @@ class TableNotEmpty(ValueError):
     """WRITE_EMPTY found rows in the target table."""
 
 
-def _sql_text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def set_properties(spark: SparkSession, name: str, properties: dict[str, str]) -> None:
-    if properties:
-        pairs = ", ".join(f"{_sql_text(k)} = {_sql_text(v)}" for k, v in properties.items())
-        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({pairs})")
-
-
 def set_description(spark: SparkSession, name: str, description: str) -> None:
-    spark.sql(f"COMMENT ON TABLE {name} IS {_sql_text(description)}")
-
-
-def table_location(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a table's files, below its schema's location.
-
-    Not below the table's default folder: dropping a table that plain Spark made there would take it along.
-    """
-
-    *schema, table = name.split(".")
-    home = spark.catalog.getDatabase(".".join(schema) or spark.catalog.currentDatabase()).locationUri
-    return f"{home.rstrip('/')}/{table}__versions/{uuid.uuid4().hex}"
+    spark.sql(f"COMMENT ON TABLE {name} IS {sql_text(description)}")
 
 
 @dataclasses.dataclass(frozen=True, kw_only=True)
 class Layout:
     """How a table's rows lie in files; kept with the table and applied again whenever it is rewritten.
 
-    Partitioned by the hour, day, month or year of a field, or bucketed by merge keys, or neither; clustered
-    (sorted, so that file statistics skip) by further fields.
+    Partitioned by the hour, day, month or year of a field, or grouped or bucketed by merge keys, or neither; clustered
+    (sorted, so that file statistics skip) by further fields. Partitions and groups are what a merge rewrites: those
+    without a changed row keep their files.
     """
 
     partition_field: str | None = None
@@ -87,6 +93,8 @@ class Layout:
     cluster_by: tuple[str, ...] = ()
     bucket_by: tuple[str, ...] = ()
     buckets: int = 0
+    group_by: tuple[str, ...] = ()
+    groups: int = 0
 
     @classmethod
     def of(cls, properties: dict[str, str]) -> Layout:
@@ -97,6 +105,8 @@ class Layout:
             cluster_by=tuple(filter(None, properties.get(CLUSTER_BY, "").split(","))),
             bucket_by=tuple(filter(None, properties.get(BUCKET_BY, "").split(","))),
             buckets=int(properties.get(BUCKETS, "0")),
+            group_by=tuple(filter(None, properties.get(GROUP_BY, "").split(","))),
+            groups=int(properties.get(GROUPS, "0")),
         )
 
     def properties(self) -> dict[str, str]:
@@ -109,31 +119,48 @@ class Layout:
             found[CLUSTER_BY] = ",".join(self.cluster_by)
         if self.bucket_by:
             found[BUCKET_BY], found[BUCKETS] = ",".join(self.bucket_by), str(self.buckets)
+        if self.group_by:
+            found[GROUP_BY], found[GROUPS] = ",".join(self.group_by), str(self.groups)
         return found
 
+    @property
+    def part(self) -> str | None:
+        """The column that names the partitions or groups."""
+
+        if self.partition_field:
+            return partition_column(self.partition_field, self.partition_kind)
+        return GROUP if self.group_by else None
+
+    def part_value(self, named: dict[str, str] | None = None) -> Column:
+        """The partition or group of a row; ``named`` says what its columns are called elsewhere."""
+
+        named = named or {}
+        if self.partition_field:
+            if self.partition_kind not in PARTITION_FORMATS:
+                raise ValueError(f"unknown partition kind {self.partition_kind}")
+            return partition_value(col(named.get(self.partition_field, self.partition_field)), self.partition_kind)
+        keys = [col(named.get(k, k)) for k in self.group_by]
+        return F.pmod(F.xxhash64(*keys), F.lit(self.groups)).cast("string")
+
     def fits(self, df: DataFrame) -> bool:
-        needed = {*self.cluster_by, *self.bucket_by, *([self.partition_field] if self.partition_field else [])}
+        needed = {*self.cluster_by, *self.bucket_by, *self.group_by, *([self.partition_field] if self.partition_field else [])}
         return needed <= set(df.columns)
 
     def place(self, df: DataFrame) -> DataFrame:
         """Rows where this layout wants them, the partition column added."""
 
-        if self.partition_field:
-            if self.partition_kind not in PARTITION_FORMATS:
-                raise ValueError(f"unknown partition kind {self.partition_kind}")
-            part = partition_column(self.partition_field, self.partition_kind)
+        if self.part:
             # REBALANCE lets AQE split a partition value that holds many rows and merge small ones.
-            df = df.withColumn(part, partition_value(col(self.partition_field), self.partition_kind))
-            df = df.hint("rebalance", part)
-            return df.sortWithinPartitions(*map(col, [part, *self.cluster_by])) if self.cluster_by else df
+            df = df.withColumn(self.part, self.part_value()).hint("rebalance", self.part)
+            return df.sortWithinPartitions(*map(col, [self.part, *self.cluster_by])) if self.cluster_by else df
         if self.bucket_by:
             return df.repartition(self.buckets, *map(col, self.bucket_by))
         return cluster(df, self.cluster_by) if self.cluster_by else df
 
     def writer(self, df: DataFrame) -> DataFrameWriter:
         writer = self.place(df).write.format("parquet")
-        if self.partition_field:
-            return writer.partitionBy(partition_column(self.partition_field, self.partition_kind))
+        if self.part:
+            return writer.partitionBy(self.part)
         if self.bucket_by:
             return writer.bucketBy(self.buckets, *self.bucket_by).sortBy(*self.bucket_by)
         return writer
@@ -152,30 +179,29 @@ def cluster(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def _replace(df: DataFrame, name: str, layout: Layout) -> None:
-    """Write the files first, then swap the catalog entry.
+    """Write the files first, then point the catalog at them.
 
     The old table stays readable until the new one is complete, the query may read the table it replaces, and a
     failed job loses nothing. The old files stay for readers that opened them, until
-    ``retention.drop_old_files``.
+    ``retention.drop_old_files``. Description and labels stay too.
     """
 
     spark = df.sparkSession
     fresh = f"{name}__{uuid.uuid4().hex[:8]}"
-    layout.writer(df).option("path", table_location(spark, name)).saveAsTable(fresh)
-    kept = table_properties(spark, name) if spark.catalog.tableExists(name) else {}
-    old = [f for f in kept.get(OLD_FOLDERS, "").split("\n") if f]
-    if OLD_FOLDERS in kept:
-        # Only a folder that this function wrote; one of another writer may hold more than this table.
-        old.append(_location(spark, name))
-    kept = {k: v for k, v in kept.items() if k.startswith("relops.") and k not in (*LAYOUT_PROPERTIES, EXPIRES_AT)}
-    set_properties(spark, fresh, {**kept, **layout.properties(), OLD_FOLDERS: "\n".join(old)})
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO {'.'.join(name.split('.')[-2:])}")
-
-
-def _location(spark: SparkSession, name: str) -> str:
-    facts = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
-    return facts["Location"].rstrip("/")
+    layout.writer(df).option("path", fresh_folder(spark, name)).saveAsTable(fresh)
+    kept, folders = {}, []
+    if spark.catalog.tableExists(name):
+        kept = table_properties(spark, name)
+        if OLD_FOLDERS in kept:
+            # Only folders that this package wrote; one of another writer may hold more than this table.
+            folders = [*lines(kept[OLD_FOLDERS]), location(spark, name)]
+        if comment := table_facts(spark, name).get("Comment"):
+            set_description(spark, fresh, comment)
+    kept = {k: v for k, v in kept.items() if k.startswith("relops.") and k not in ENTRY_PROPERTIES}
+    folders = "\n".join(dict.fromkeys([*folders, location(spark, fresh)]))
+    set_properties(spark, fresh, {**kept, **layout.properties(), OLD_FOLDERS: folders})
+    swap_in(spark, fresh, name)
+    unset_properties(spark, name, EXPIRES_AT)
 
 
 def create_empty_table(
@@ -203,7 +229,7 @@ def save_table(
     """
 
     spark = df.sparkSession
-    exists = spark.catalog.tableExists(name)
+    exists = spark.catalog.tableExists(name) or finish_swap(spark, name)
     if disposition not in (WRITE_EMPTY, WRITE_TRUNCATE, WRITE_APPEND):
         raise ValueError(f"unknown disposition {disposition}")
     if disposition == WRITE_EMPTY and exists and not spark.table(name).isEmpty():
@@ -213,7 +239,10 @@ def save_table(
         target = spark.table(name)
         logical = without_partition_column(target, table_properties(spark, name))
         rows = conform(df, _nullable(logical.schema))
-        present.place(rows).select(*map(col, target.columns)).write.insertInto(name)
+        if table_properties(spark, name).get(SHARED) == "true":
+            _append_aside(rows, name, present)
+        else:
+            present.place(rows).select(*map(col, target.columns)).write.insertInto(name)
     elif disposition == WRITE_APPEND and exists:
         raise ValueError(f"{name} has another layout")
     else:
@@ -226,6 +255,53 @@ def save_table(
     set_properties(spark, name, {f"{LABEL}{k}": v for k, v in (labels or {}).items()})
 
 
+def _append_aside(rows: DataFrame, name: str, layout: Layout) -> None:
+    """Append to a table whose folders a snapshot shares: what the rows fall in is written anew."""
+
+    spark = rows.sparkSession
+    if layout.part is None:
+        _replace(whole_table(spark, name).unionByName(rows), name, layout)
+        return
+    rows = stage(rows, "appended")
+    values = [r[0] for r in rows.select(layout.part_value()).distinct().collect()]
+    rewrite_partitions(partition_rows(spark, name, values).unionByName(rows), name, values)
+
+
+def partition_rows(spark: SparkSession, name: str, values: Sequence[str | None]) -> DataFrame:
+    """All rows of some partitions or groups of a table, without the column that names them."""
+
+    properties = table_properties(spark, name)
+    part = col(Layout.of(properties).part).cast("string")
+    wanted = part.isin([v for v in values if v is not None])
+    if None in values:
+        wanted = wanted | part.isNull()
+    return without_partition_column(spark.table(name).filter(wanted), properties)
+
+
+def rewrite_partitions(df: DataFrame, name: str, values: Sequence[str | None] = ()) -> None:
+    """Make ``df`` the rows of the partitions or groups ``values`` and of all others it has rows for.
+
+    New files are written to a fresh folder and the partitions pointed at it, so the query may read the table; all
+    other partitions keep their files. One without rows stays as an empty one, so later rows go to the new folder.
+    """
+
+    spark = df.sparkSession
+    layout = Layout.of(table_properties(spark, name))
+    part, folder = layout.part, fresh_folder(spark, name)
+    table = spark.table(name)
+    layout.place(df).select(*map(col, table.columns)).write.partitionBy(part).parquet(folder)
+    note_folders(spark, name, folder)
+    # Partition values only: no column of the files is read.
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == part else f.dataType) for f in table.schema.fields])
+    written = {r[0] for r in spark.read.schema(schema).parquet(folder).select(part).distinct().collect()}
+    for value in set(values) - written:
+        files, path = folder_of(spark, f"{folder}/{partition_name(part, value)}")
+        files.mkdirs(path)
+    point_partitions(spark, name, part, {v: f"{folder}/{partition_name(part, v)}" for v in {*written, *values}})
+    spark.catalog.refreshTable(name)
+    _note_size(spark, name)
+
+
 def _note_size(spark: SparkSession, name: str) -> None:
     """Record the table's bytes (from file listings, no scan) for broadcast decisions and scan estimates."""
 
@@ -255,30 +331,32 @@ def save_partitioned(
     save_table(df, name, disposition, layout=layout, description=description)
 
 
+def save_grouped(
+    df: DataFrame, name: str, keys: str | Sequence[str], groups: int, disposition: str = WRITE_TRUNCATE, *, cluster_by: Sequence[str] = ()
+) -> None:
+    """A table in ``groups`` groups by a hash of its merge keys: a merge reads and rewrites those its keys fall in only.
+
+    One key's rows share a group; a group that grows large is spread over several files.
+    """
+
+    save_table(df, name, disposition, layout=Layout(group_by=tuple(as_list(keys)), groups=groups, cluster_by=tuple(cluster_by)))
+
+
 def replace_partitions(df: DataFrame, name: str) -> None:
     """Replace exactly the partitions that ``df`` has rows for, in a partitioned table."""
 
-    spark = df.sparkSession
-    placed = Layout.of(table_properties(spark, name)).place(df)
-    ordered = placed.select(*map(col, spark.table(name).columns))
-    # insertInto takes the mode from the session alone; static mode would drop every other partition.
-    before = spark.conf.get(OVERWRITE_MODE)
-    spark.conf.set(OVERWRITE_MODE, "dynamic")
-    try:
-        ordered.write.insertInto(name, overwrite=True)
-    finally:
-        spark.conf.set(OVERWRITE_MODE, before)
-    _note_size(spark, name)
+    rewrite_partitions(df, name)
 
 
 def drop_partition(spark: SparkSession, name: str, value) -> None:
-    """Drop the partition that ``value`` of the partition field falls in; one that is not there is fine."""
+    """Empty the partition that ``value`` of the partition field falls in; one that is not there is fine."""
 
     layout = Layout.of(table_properties(spark, name))
-    part = partition_column(layout.partition_field, layout.partition_kind)
     kind = spark.table(name).schema[layout.partition_field].dataType
     shown = spark.range(1).select(partition_value(F.lit(value).cast(kind), layout.partition_kind).cast("string")).first()[0]
-    spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({quote(part)} = {_sql_text(shown)})")
+    known = {r["partition"] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()}
+    if partition_name(layout.part, shown) in known:
+        rewrite_partitions(whole_table(spark, name).limit(0), name, [shown])
 
 
 def save_clustered(df: DataFrame, name: str, fields: str | Sequence[str], disposition: str = WRITE_TRUNCATE) -> None:
@@ -315,13 +393,47 @@ def whole_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def snapshot_table(spark: SparkSession, source: str, target: str, expires_at: dt.datetime | None = None) -> None:
-    """Full copy that must not exist yet; once expired it reads as missing. Without an expiry it stays."""
+    """The rows of a table as they are, under a name that must not hold rows yet; once expired it reads as missing.
 
-    copy_tables(spark, source, target, WRITE_EMPTY)
+    Without an expiry it stays. No file is written: the snapshot is an entry for the same folders, which the source
+    leaves when it is rewritten and ``retention.drop_old_files`` keeps as long as the entry is there. A table of
+    another writer may be changed in place, so it is copied.
+    """
+
+    if not table_exists(spark, source):
+        raise TableMissing(source)
+    properties = table_properties(spark, source)
+    if OLD_FOLDERS in properties:
+        if table_exists(spark, target) and not spark.table(target).isEmpty():
+            raise TableNotEmpty(target)
+        _share(spark, source, target, properties)
+    else:
+        copy_tables(spark, source, target, WRITE_EMPTY)
     if expires_at is not None:
         if expires_at.tzinfo is None:
             expires_at = expires_at.replace(tzinfo=dt.timezone.utc)
         set_properties(spark, target, {EXPIRES_AT: expires_at.isoformat()})
+    _note_size(spark, target)
+
+
+def _share(spark: SparkSession, source: str, target: str, properties: dict[str, str]) -> None:
+    # Noted first: a folder is spared before anything else names it.
+    owners = [source, *(n for n in lines(properties.get(SNAPSHOT_OF)) if spark.catalog.tableExists(n))]
+    for owner in owners:
+        noted = dict.fromkeys([*lines(table_properties(spark, owner).get(SNAPSHOTS)), target])
+        set_properties(spark, owner, {SNAPSHOTS: "\n".join(noted)})
+    set_properties(spark, source, {SHARED: "true"})
+    part, folder = Layout.of(properties).part, location(spark, source)
+    spark.sql(f"DROP TABLE IF EXISTS {target}")
+    spark.sql(f"CREATE TABLE {short(target)} LIKE {short(source)} LOCATION {sql_text(folder)}")
+    kept = {k: v for k, v in properties.items() if k in LAYOUT_PROPERTIES or k.startswith(LABEL)}
+    set_properties(spark, target, {**kept, SHARED: "true", SNAPSHOT_OF: "\n".join(owners), OLD_FOLDERS: ""})
+    if part:
+        named = {}
+        for held in file_folders(spark.table(source)):
+            value = held.rsplit("/", 1)[1].split("=", 1)[1]
+            named[None if value == NULL_PARTITION else value] = held
+        point_partitions(spark, target, part, named)
 
 
 def create_view(spark: SparkSession, name: str, query: str, replace: bool = True) -> None:

@@ -6,15 +6,15 @@ import datetime as dt
 import re
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relops.columns import ColumnMismatch, col
-from relops.functions.nested import field_paths
+from relops.columns import col
 
 Paths = str | Sequence[str]
-BROADCAST_FILES = 50_000
 
 
 def _paths(paths: Paths) -> list[str]:
@@ -73,51 +73,90 @@ def scan_csv(
         raise ValueError("quoted newlines and more than one skipped row cannot be combined")
 
     lines = spark.read.text(_paths(paths)).select(
-        "value",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     )
-    # Leading rows sit in a file's first split, where line ids run on from the file's first one.
-    firsts = lines.filter(F.col("_block") == 0).groupBy("_file").agg(F.min("_line").alias("_first"))
-    # One row per file: broadcast unless there are very many files.
-    if len(lines.inputFiles()) <= BROADCAST_FILES:
-        firsts = F.broadcast(firsts)
-    body = lines.join(firsts, "_file", "left").filter(
-        (F.col("_block") > 0) | (F.col("_line") >= F.col("_first") + skip_rows)
-    )
-    rows = body.filter(F.length("value") > 0).select(F.from_csv("value", _ddl(schema), options).alias("row"))
-    return rows.select("row.*")
+    body = lines.mapInArrow(_without_first(skip_rows), "value string").filter(F.length("value") > 0)
+    return body.select(F.from_csv("value", _ddl(schema), options).alias("row")).select("row.*")
+
+
+def _without_first(count: int):
+    """Lines but the first ``count`` of each file. Those stand in its first block, whose lines one task reads in order."""
+
+    def work(batches):
+        file, seen = None, 0
+        for batch in batches:
+            begins = np.asarray(batch["block"]) == 0
+            files = batch["file"].dictionary_encode()
+            number = files.indices.to_numpy(zero_copy_only=False)
+            keep = np.ones(batch.num_rows, bool)
+            opens = np.flatnonzero(np.concatenate([np.ones(min(len(number), 1), bool), number[1:] != number[:-1]]))
+            for begin, end in zip(opens, [*opens[1:], len(number)]):
+                name = files.dictionary[number[begin]].as_py()
+                if name != file:
+                    file, seen = name, 0
+                if begins[begin]:
+                    keep[begin : min(end, begin + max(count - seen, 0))] = False
+                seen += end - begin
+            yield pa.RecordBatch.from_arrays([batch["value"].filter(pa.array(keep))], ["value"])
+
+    return work
 
 
 def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
+def unknown_json_fields(text: Column, schema: T.StructType, above: str = "") -> Column:
+    """Field paths of a JSON object that ``schema`` lacks, in a text column.
+
+    Text, map and variant fields hold objects of any shape. What is no object has no fields.
+    """
+
+    fields = F.from_json(text, "map<string,string>")
+    extra = F.array_except(F.map_keys(fields), F.array(*[F.lit(f.name) for f in schema.fields]).cast("array<string>"))
+    found = [F.transform(extra, lambda name: F.concat(F.lit(above), name))]
+    for f in schema.fields:
+        value, path, dtype = F.try_element_at(fields, F.lit(f.name)), f"{above}{f.name}.", f.dataType
+        if isinstance(dtype, T.StructType):
+            found.append(unknown_json_fields(value, dtype, path))
+        elif isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
+            found.append(F.flatten(F.transform(F.from_json(value, "array<string>"), _unknown_in(dtype.elementType, path))))
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.coalesce(one, none) for one in found])
+
+
+def _unknown_in(schema: T.StructType, above: str):
+    return lambda one: unknown_json_fields(one, schema, above)
+
+
 def unknown_fields(spark: SparkSession, paths: Paths, schema: T.StructType) -> list[str]:
-    """Field paths that occur in JSON-lines files but not in ``schema``: one inferring pass over the text."""
+    """Field paths that occur in JSON-lines files but not in ``schema``, one pass over the text."""
 
-    seen = spark.read.option("primitivesAsString", True).option("mode", "FAILFAST").json(_paths(paths)).schema
-    wanted = field_paths(schema)
-    known = {path for path, _ in wanted}
-    # Text, map and variant fields hold objects of any shape.
-    opaque = tuple(f"{path}." for path, dtype in wanted if dtype in ("variant", "string") or dtype.startswith("map<"))
-    return [path for path, _ in field_paths(seen) if path not in known and not path.startswith(opaque)]
+    lines = spark.read.text(_paths(paths)).filter(F.length(F.trim("value")) > 0)
+    found = lines.select(F.explode(unknown_json_fields(F.col("value"), schema)).alias("path")).distinct()
+    return [r["path"] for r in found.orderBy("path").collect()]
 
 
 def scan_jsonl(
     spark: SparkSession, paths: Paths, schema: T.StructType | None = None, *, ignore_unknown: bool = False
 ) -> DataFrame:
-    """JSON-lines files, plain or gz. Bad types fail the job; fields outside the schema are refused up front."""
+    """JSON-lines files, plain or gz. Bad types fail the job, and so do fields outside the schema unless ignored.
+
+    Fields are checked in the pass that reads the rows: nothing is inferred and the files are read once.
+    """
 
     reader = spark.read.option("mode", "FAILFAST")
     if schema is None:
         return reader.json(_paths(paths))
-    if not ignore_unknown:
-        extra = unknown_fields(spark, paths, schema)
-        if extra:
-            raise ColumnMismatch(f"fields not in the schema: {', '.join(extra)}")
-    return reader.schema(schema).json(_paths(paths))
+    if ignore_unknown:
+        return reader.schema(schema).json(_paths(paths))
+    lines = spark.read.text(_paths(paths))
+    rest = [c for c in lines.columns if c != "value"]
+    extra = unknown_json_fields(F.col("value"), schema)
+    refused = F.raise_error(F.concat(F.lit("fields not in the schema: "), F.array_join(F.col("extra"), ", ")))
+    row = F.when(F.size("extra") > 0, refused).otherwise(F.from_json("value", schema, {"mode": "FAILFAST"}))
+    rows = lines.filter(F.length(F.trim("value")) > 0).withColumn("extra", extra)
+    return rows.select(row.alias("row"), *map(col, rest)).select("row.*", *map(col, rest))
 
 
 def scan_xml(df: DataFrame, column: str, schema: T.StructType | str, name: str = "record") -> DataFrame:

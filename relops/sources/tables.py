@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,11 +11,14 @@ from pyspark.sql import functions as F
 
 from relops.columns import col
 from relops.operators.shards import shards_of
+from relops.versions import finish_swap, table_facts, table_properties
 
 EXPIRES_AT = "relops.expires_at"
 REQUIRE_FILTER = "relops.require_partition_filter"
 PARTITION_FIELD = "relops.partition_field"
 PARTITION_KIND = "relops.partition_kind"
+# The column that numbers the groups of a table grouped by its merge keys.
+GROUP, GROUP_BY = "relops_group", "relops.group_by"
 
 
 class TableMissing(LookupError):
@@ -25,10 +29,6 @@ class PartitionFilterRequired(ValueError):
     """A table that must be read by partition was read whole."""
 
 
-def table_properties(spark: SparkSession, name: str) -> dict[str, str]:
-    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
-
-
 def _expired(properties: dict[str, str], now: dt.datetime | None) -> bool:
     stamp = properties.get(EXPIRES_AT)
     now = now or dt.datetime.now(dt.timezone.utc)
@@ -36,9 +36,9 @@ def _expired(properties: dict[str, str], now: dt.datetime | None) -> bool:
 
 
 def table_exists(spark: SparkSession, name: str, now: dt.datetime | None = None) -> bool:
-    """Whether the table exists and has not expired."""
+    """Whether the table exists and has not expired; a replacement that was cut short is finished first."""
 
-    return spark.catalog.tableExists(name) and not _expired(table_properties(spark, name), now)
+    return (spark.catalog.tableExists(name) or finish_swap(spark, name)) and not _expired(table_properties(spark, name), now)
 
 
 def partition_column(field: str, kind: str) -> str:
@@ -56,6 +56,8 @@ def partition_value(ts: Column, kind: str) -> Column:
 def without_partition_column(table: DataFrame, properties: dict[str, str]) -> DataFrame:
     """The table without the column that only names its partitions."""
 
+    if GROUP_BY in properties:
+        return table.drop(GROUP)
     field = properties.get(PARTITION_FIELD)
     return table.drop(partition_column(field, properties[PARTITION_KIND])) if field else table
 
@@ -80,7 +82,7 @@ def read_table(
     if field is None:
         if start is not None or end is not None:
             raise ValueError(f"{name} is not partitioned by time")
-        return table
+        return without_partition_column(table, properties)
     if start is None and end is None:
         if properties.get(REQUIRE_FILTER) == "true":
             raise PartitionFilterRequired(f"{name} must be read with bounds on {field}")
@@ -97,11 +99,35 @@ def read_table(
     return without_partition_column(table, properties)
 
 
+def stored_facts(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """For each table whether it exists, its rows, and the bytes of the files that hold them, all in one job.
+
+    Columns ``table_id``, ``exists``, ``n_rows``, ``n_bytes``. No column is read: row counts come from file footers.
+    A missing or expired table has no numbers; of a view, and of a table that is not Parquet, the rows alone are known.
+    """
+
+    parts = [spark.createDataFrame([], FACTS)]
+    for name in dict.fromkeys(names):
+        if not table_exists(spark, name):
+            parts.append(spark.range(1).select(F.lit(name), F.lit(False), F.lit(None).cast("long"), F.lit(None).cast("long")))
+            continue
+        # The first row of each file stands for its bytes.
+        size = F.sum(F.when(F.col("_metadata.row_index") == 0, F.col("_metadata.file_size")).otherwise(0))
+        parquet = table_facts(spark, name).get("Provider", "").lower() == "parquet"
+        n_bytes = F.coalesce(size, F.lit(0)) if parquet else F.lit(None)
+        counted = spark.table(name).agg(F.count(F.lit(1)).alias("n_rows"), n_bytes.cast("long").alias("n_bytes"))
+        parts.append(counted.select(F.lit(name), F.lit(True), "n_rows", "n_bytes"))
+    return reduce(DataFrame.union, parts)
+
+
+FACTS = "table_id string, exists boolean, n_rows bigint, n_bytes bigint"
+
+
 def table_inventory(spark: SparkSession, schema: str, prefix: str = "", *, statistics: bool = False) -> DataFrame:
     """Tables of a schema whose name starts with ``prefix``: id, rows, bytes, created, expiry.
 
-    Metadata only. ``statistics`` first runs ANALYZE, one distributed count per table; else rows and bytes are
-    those of the last ANALYZE, or null.
+    Metadata only: rows and bytes are those the catalog has, or null. With ``statistics`` both are those of the files
+    now, for all tables in one job (:func:`stored_facts`); expired tables and views have none.
     """
 
     catalog, database = ([spark.catalog.currentCatalog()] + schema.split("."))[-2:]
@@ -110,9 +136,7 @@ def table_inventory(spark: SparkSession, schema: str, prefix: str = "", *, stati
         if table.isTemporary or not table.name.startswith(prefix):
             continue
         name = f"{catalog}.{database}.{table.name}"
-        if table.tableType != "VIEW" and statistics:
-            spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
-        facts = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+        facts = table_facts(spark, name)
         size = dict(
             (word.split()[1], int(word.split()[0])) for word in facts.get("Statistics", "").split(", ") if word.strip()
         )
@@ -121,6 +145,10 @@ def table_inventory(spark: SparkSession, schema: str, prefix: str = "", *, stati
     listing = spark.createDataFrame(
         rows, "table_id string, table_type string, n_rows bigint, n_bytes bigint, created string, expires_at string"
     )
+    if statistics:
+        facts = stored_facts(spark, [r[0] for r in rows if r[1] != "VIEW"]).drop("exists")
+        listing = listing.drop("n_rows", "n_bytes").join(facts, "table_id", "left")
+        listing = listing.select("table_id", "table_type", "n_rows", "n_bytes", "created", "expires_at")
     # Written like "Mon Jan 01 12:00:00 UTC 2024"; the reader takes no weekday.
     created = F.try_to_timestamp(F.regexp_replace("created", "^[A-Za-z]+ ", ""), F.lit("MMM d HH:mm:ss zzz yyyy"))
     return listing.withColumn("created", created).withColumn("expires_at", F.col("expires_at").cast("timestamp"))

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relops.columns import union_all
 from relops.functions.names import make_shard_id
 from relops.operators import registry as reg
 from relops.operators.rollups import expired as expired_entries
@@ -14,11 +15,14 @@ from relops.operators.rollups import section_counts as count_sections
 from relops.operators.rollups import transfer_rollup as roll_up
 from relops.operators.shards import latest_tables as newest_tables
 from relops.operators.shards import shard_dates as dates_of_shards
-from relops.plans.guard import budget_report, guarded_query, run_template as template
-from relops.sinks.tables import save_table
+from relops.plans.guard import DEFAULT_BUDGET, BudgetExceeded, estimate_bytes, guarded_query, run_template as template
+from relops.sinks.tables import save_partitioned, save_table
+from relops.sources.files import list_files as files_below
 from relops.sources.files import select_keys
 from relops.sources.schemas import required_violations, schema_as_of as versions_as_of
 from relops.sources.schemas import schema_from_fields
+from relops.sources.tables import PartitionFilterRequired
+from relops.session import scratch_path
 from relops.workload.base import query, scratch_schema, table
 
 REGISTRY = """
@@ -227,15 +231,18 @@ def latest_table(spark: SparkSession, sf: str) -> DataFrame:
     return newest_tables(shard_listing(spark, sf), dt.date(2000, 6, 15))
 
 
+KEYS = "(SELECT string_split(url, '://')[2] AS key FROM pages)"
+
+
 @query(
-    r"""
-    SELECT key, 'regex' AS rule FROM k WHERE regexp_matches(string_split(key, '/')[-1], '^(?:[0-9]+\.html)')
-    UNION ALL SELECT key, 'prefix' FROM k WHERE starts_with(key, 'blog.')
-    UNION ALL SELECT key, 'glob' FROM k WHERE regexp_matches(key, '^[^/]*\.com/en/[^/]*$')
-    UNION ALL SELECT key, 'deep' FROM k WHERE regexp_matches(key, '^.*/[^/]*\.html$')
-    """.replace("FROM k", "FROM (SELECT string_split(url, '://')[2] AS key FROM pages)")
+    rf"""
+    SELECT key, 'regex' AS rule FROM {KEYS} WHERE regexp_matches(string_split(key, '/')[-1], '^(?:[0-9]+\.html)')
+    UNION ALL SELECT key, 'prefix' FROM {KEYS} WHERE starts_with(key, 'blog.')
+    UNION ALL SELECT key, 'glob' FROM {KEYS} WHERE regexp_matches(key, '^[^/]*\.com/en/[^/]*$')
+    UNION ALL SELECT key, 'deep' FROM {KEYS} WHERE regexp_matches(key, '^.*/[^/]*\.html$')
+    """
 )
-def list_files(spark: SparkSession, sf: str) -> DataFrame:
+def select_listed(spark: SparkSession, sf: str) -> DataFrame:
     """The selection rules of a listing, over page addresses as keys."""
 
     keys = table(spark, sf, "pages").select(F.substring_index("url", "://", -1).alias("key"))
@@ -251,6 +258,37 @@ def list_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+DOCUMENT_BYTES = "coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS n_bytes"
+
+
+@query(
+    f"""
+    SELECT 'all' AS rule, {DOCUMENT_BYTES} FROM documents GROUP BY ALL
+    UNION ALL SELECT 'glob', {DOCUMENT_BYTES} FROM documents WHERE lang = 'en' GROUP BY ALL
+    UNION ALL SELECT 'prefix', {DOCUMENT_BYTES} FROM documents WHERE source = 'src1' GROUP BY ALL
+    """
+)
+def list_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Text files of all documents by source and language, listed whole, by glob and by prefix: bytes a folder."""
+
+    root = scratch_path(spark, "listed")
+    parts = [F.coalesce(c, F.lit("none")).alias(c) for c in ("source", "lang")]
+    table(spark, sf, "documents").select(*parts, F.coalesce("text", F.lit(""))).write.partitionBy("source", "lang").text(root)
+
+    def listed(rule: str, **how) -> DataFrame:
+        found = files_below(spark, root, **how)
+        source, lang = (F.regexp_extract("key", f"{name}=([^/]*)/", 1) for name in ("source", "lang"))
+        return found.groupBy(F.lit(rule).alias("rule"), source.alias("source"), lang.alias("lang")).agg(F.sum("length").alias("n_bytes"))
+
+    return union_all(
+        [
+            listed("all", regex="part-.*[.]txt"),
+            listed("glob", regex="part-", glob="**/lang=en/*"),
+            listed("prefix", regex="part-", prefix="source=src1/"),
+        ]
+    )
+
+
 @query(
     """
     SELECT job, count(*) AS n_operations, count(*) FILTER (status = 'SUCCESS') AS n_success,
@@ -328,12 +366,34 @@ def run_query(spark: SparkSession, sf: str) -> DataFrame:
     return guarded_query(spark, sql, {"until": dt.datetime(1998, 9, 2)})
 
 
-@query()
+@query(
+    """
+    SELECT 'narrow' AS query, 'run' AS verdict, count(DISTINCT l_suppkey) AS answer FROM lineitem
+    UNION ALL SELECT 'wide', 'refused', NULL UNION ALL SELECT 'unfiltered', 'refused', NULL
+    UNION ALL SELECT 'one year', 'run', count(*) FROM orders WHERE year(o_orderdate) = 1995
+    """
+)
 def budget_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Scan estimates of a narrow and a whole-table query."""
-
-    lines = table(spark, sf, "lineitem")
-    return budget_report({"narrow": lines.select("l_orderkey"), "wide": lines}, 2**30)
+    """Guarded queries: of a table's bytes a third may be read, and one partitioned table by partition only."""
+
+    dated = f"{scratch_schema(spark)}.dated"
+    save_partitioned(table(spark, sf, "orders"), dated, "o_orderdate", "YEAR", require_filter=True)
+    lines = f"parquet.`{sf}/lineitem.parquet`"
+    budget = estimate_bytes(spark, f"SELECT * FROM {lines}") // 3
+    asked = {
+        "narrow": (f"SELECT count(DISTINCT l_suppkey) AS answer FROM {lines}", budget),
+        "wide": (f"SELECT count(DISTINCT hash(*)) AS answer FROM {lines}", budget),
+        "unfiltered": (f"SELECT count(*) AS answer FROM {dated}", DEFAULT_BUDGET),
+        "one year": (f"SELECT count(*) AS answer FROM {dated} WHERE o_orderdate_year = '1995'", DEFAULT_BUDGET),
+    }
+    answers = []
+    for name, (sql, most) in asked.items():
+        try:
+            answer, verdict = guarded_query(spark, sql, bytes_budget=most), "run"
+        except (BudgetExceeded, PartitionFilterRequired):
+            answer, verdict = spark.range(1).select(F.lit(None).cast("long").alias("answer")), "refused"
+        answers.append(answer.select(F.lit(name).alias("query"), F.lit(verdict).alias("verdict"), "answer"))
+    return union_all(answers)
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from relops.columns import union_all
 from relops.functions.text import replace_in_files
+from relops.operators.compare import stored_integrity as check_integrity
 from relops.operators.registry import release_to_json, write_release_documents
 from relops.plans import changefiles, merge, releases
 from relops.session import scratch_path
@@ -18,10 +19,10 @@ from relops.sources import files
 from relops.sources.records import records_to_df as from_records
 from relops.sources.schemas import column_paths as paths_of_columns
 from relops.sources.schemas import schema_from_fields
-from relops.sources.tables import read_table
+from relops.sources.tables import read_table, stored_facts
 from relops.sources.tables import scan_shards as read_shards
 from relops.sources.tables import table_inventory as inventory_of
-from relops.staging import running_size
+from relops.staging import running_size, stage
 from relops.workload.base import query, scratch_schema, table
 from relops.workload.incremental import ORDER_UPDATES, order_updates
 
@@ -89,17 +90,15 @@ def scan_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     return files.scan_jsonl(spark, path, EVENT_FIELDS)
 
 
-@query("SELECT o_orderstatus AS source_part, count(*) AS n_rows, max(o_orderkey) AS last_key FROM orders GROUP BY 1")
+@query("SELECT *, o_orderstatus AS source_part FROM orders")
 def scan_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Several files in one load, each row knowing its file."""
+    """Several files in one load, each row whole and knowing its file."""
 
     orders, root = table(spark, sf, "orders"), scratch_path(spark, "files")
     orders.withColumn("part", F.col("o_orderstatus")).write.partitionBy("part").json(root)
-    loaded = files.with_source_file(files.scan_jsonl(spark, f"{root}/part=*", orders.select("o_orderkey").schema, ignore_unknown=True))
+    loaded = files.with_source_file(files.scan_jsonl(spark, f"{root}/part=*", orders.schema))
     source = F.regexp_extract("source_file", r"/part=([^/]+)/", 1)
-    return loaded.groupBy(source.alias("source_part")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max("o_orderkey").alias("last_key")
-    )
+    return loaded.select(*orders.columns, source.alias("source_part"))
 
 
 @query("SELECT n_name, n_regionkey, count(c_custkey) AS n_customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
@@ -390,6 +389,29 @@ def copy_tables(spark: SparkSession, sf: str) -> DataFrame:
     return spark.table(f"{schema}.parties")
 
 
+@query(
+    """
+    SELECT 'orders' AS name, TRUE AS exists, count(*) AS n_rows, TRUE AS has_bytes, TRUE AS as_expected FROM orders
+    UNION ALL SELECT 'customer', TRUE, count(*), TRUE, FALSE FROM customer
+    UNION ALL SELECT 'nothing', FALSE, NULL, FALSE, FALSE
+    UNION ALL SELECT 'gone', FALSE, NULL, FALSE, TRUE
+    """
+)
+def stored_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored tables against what is expected of them: rows, bytes, existence."""
+
+    home, orders = scratch_schema(spark), table(spark, sf, "orders")
+    tables.save_partitioned(orders, f"{home}.orders", "o_orderdate", "YEAR")
+    tables.save_table(table(spark, sf, "customer"), f"{home}.customer")
+    facts = stored_facts(spark, [f"{home}.{n}" for n in ("orders", "customer", "nothing", "gone")])
+    wanted = orders.agg(F.count(F.lit(1)).alias("expected_rows")).select(F.lit(f"{home}.orders").alias("table_id"), F.lit(True).alias("exists"), "expected_rows")
+    others = [(f"{home}.customer", True, None, 1), (f"{home}.nothing", True, None, None), (f"{home}.gone", False, None, None)]
+    stated = spark.createDataFrame(others, "table_id string, exists boolean, expected_rows long, expected_bytes long")
+    found = check_integrity(facts, wanted.unionByName(stated, allowMissingColumns=True))
+    name = F.substring_index("table_id", ".", -1).alias("name")
+    return found.select(name, "exists", "n_rows", F.coalesce(F.col("n_bytes") > 0, F.lit(False)).alias("has_bytes"), "as_expected")
+
+
 @query("SELECT * FROM customer")
 def snapshot_table(spark: SparkSession, sf: str) -> DataFrame:
     """A snapshot keeps its rows when the table it was taken of is replaced."""
@@ -554,6 +576,50 @@ def upsert_table(spark: SparkSession, sf: str) -> DataFrame:
     return tables.whole_table(spark, f"{home}.orders")
 
 
+@query(
+    """
+    SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n_orders, CAST(sum(CASE WHEN hit THEN 0 ELSE o_totalprice END) AS DOUBLE) AS price,
+      bool_or(hit) AS rewritten
+    FROM (SELECT *, coalesce(year(o_orderdate) = 1995 AND o_totalprice > 300000, FALSE) AS hit FROM orders) GROUP BY 1
+    """
+)
+def merge_touched_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    """An upsert of the dear orders of one year: which months got new files, all others kept theirs."""
+
+    name, orders = f"{scratch_schema(spark)}.orders", table(spark, sf, "orders")
+    tables.save_partitioned(orders, name, "o_orderdate", "MONTH")
+
+    def held(label: str) -> DataFrame:
+        file = F.col("_metadata.file_path").alias("file")
+        return spark.table(name).select(F.col("o_orderdate_month").alias(label), file).distinct()
+
+    before = stage(held("was"))
+    dear = orders.filter((F.year("o_orderdate") == 1995) & (F.col("o_totalprice") > 300000))
+    merge.change_table(spark, name, dear.withColumn("o_totalprice", F.lit(0).cast(orders.schema["o_totalprice"].dataType)), None, "o_orderkey")
+    fresh = held("month").join(before, "file", "left").groupBy("month").agg((F.count_if(F.col("was").isNull()) > 0).alias("rewritten"))
+    price = F.sum("o_totalprice").cast("double").alias("price")
+    totals = spark.table(name).groupBy(F.col("o_orderdate_month").alias("of")).agg(F.count(F.lit(1)).alias("n_orders"), price)
+    return totals.join(fresh, totals["of"].eqNullSafe(fresh["month"])).select("month", "n_orders", "price", "rewritten")
+
+
+@query(
+    f"""
+    WITH u AS ({ORDER_UPDATES}), m AS (
+    SELECT * FROM u
+    UNION ALL SELECT * FROM orders o WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.o_orderkey = o.o_orderkey))
+    SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_returnflag = 'R' AND l.l_orderkey = m.o_orderkey)
+    """
+)
+def upsert_grouped_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Upsert and delete of a table grouped by its key: the groups to rewrite follow from the changes alone."""
+
+    name, orders = f"{scratch_schema(spark)}.orders", table(spark, sf, "orders")
+    tables.save_grouped(orders, name, "o_orderkey", 16)
+    returned = table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "R").select("l_orderkey")
+    merge.change_table(spark, name, stage(order_updates(orders)), returned, "o_orderkey", "l_orderkey")
+    return tables.whole_table(spark, name)
+
+
 @query("SELECT * FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderstatus = 'P' AND o.o_custkey = c.c_custkey)")
 def delete_from_table(spark: SparkSession, sf: str) -> DataFrame:
     """A delete between stored tables, main bucketed by its key."""

@@ -177,7 +177,7 @@ def test_budget(spark, schema):
         with pytest.raises(TypeError):
             guard.check_budget(*bad)
     name = f"{schema}.wide"
-    tables.save_table(spark.range(1000).select("id", *[F.md5(F.lit(str(i))).alias(f"c{i}") for i in range(8)]), name)
+    tables.save_table(spark.range(1000).select("id", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(str(i)))).alias(f"c{i}") for i in range(8)]), name)
     whole = guard.estimate_bytes(spark, f"SELECT * FROM {name}")
     narrow = guard.estimate_bytes(spark, f"SELECT id FROM {name} WHERE id > :x", {"x": 3})
     assert 0 < narrow < whole / 5
