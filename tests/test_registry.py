@@ -1,4 +1,5 @@
 import datetime as dt
+import decimal
 import random
 
 import pytest
@@ -91,6 +92,34 @@ def test_asof_against_brute_force(spark, groups):
     assert [tuple(r) for r in got] == wanted
 
 
+@pytest.mark.parametrize("kind, make", [("string", lambda v: f"v{v:05d}é"), ("timestamp", lambda v: dt.datetime(1900 + v % 500, 1, 1)), ("decimal(20,3)", lambda v: decimal.Decimal(v)), ("double", float)])
+def test_asof_values_of_any_type(spark, kind, make):
+    """Two keys, columns named like helpers, small batches: the running maximum goes on from batch to batch."""
+
+    rnd = random.Random(3)
+    right = [(rnd.choice("ab"), rnd.randrange(3), rnd.randrange(60), make(rnd.randrange(9999))) for _ in range(300)]
+    left = [(i, rnd.choice([None, "a", "b", "c"]), rnd.randrange(3), rnd.choice([None, *range(-3, 64)]), i) for i in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        joined = asof_join(
+            spark.createDataFrame(left, "`__relops_g0` int, g string, h int, t int, latest int"),
+            spark.createDataFrame(right, f"g string, h int, t int, v {kind}"),
+            by=["g", "h"], left_time="t", right_time="t", value=F.col("v"),
+        )
+        got = {r[0]: r["latest"] for r in joined.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: max((v for g2, h2, t2, v in right if (g2, h2) == (g, h) and t is not None and t2 <= t), default=None) for i, g, h, t, _ in left}
+    assert joined.columns == ["__relops_g0", "g", "h", "t", "latest"] and joined.schema["latest"].dataType.simpleString() == kind
+
+
+def test_asof_shuffles_the_rows_once(spark):
+    left = spark.createDataFrame([(1, 1, "x")], "g int, t int, wide string")
+    plan = asof_join(left, left, by="g", left_time="t", right_time="t", value=F.col("t"))._jdf.queryExecution().executedPlan().toString()
+    # Besides the sorted write before: one row a file, twice. The rows themselves are not shuffled again.
+    assert plan.count(" Exchange hashpartitioning") <= 2 and "SortMergeJoin" not in plan
+
+
 PEOPLE = [("Gisella", "Derya", 1), ("Adelaida", "Melis", 2), ("Melanie", "Magomedkhan", 3)]
 
 
