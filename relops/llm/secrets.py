@@ -8,7 +8,7 @@ conditions over them. Training is Spark ML's random forest over a bounded sample
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,25 +104,20 @@ def find_candidates(docs: DataFrame, known: list[str], text_col: str = "text", p
 
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     path = F.coalesce(col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
-    found = F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), 1)
-    between = F.split(text, CANDIDATE, -1)
-
     spare = "_starts"
     while spare in docs.columns:
         spare += "_"
 
+    # Pieces: the text before candidate i at 2i, the candidate itself at 2i + 1.
+    pieces, places = F.col(name), F.sequence(F.lit(0), ((F.size(name) - 3) / 2).cast("int"))
+
     # Where candidate i starts: the texts before it and the candidates among them.
     def next_start(done: Column, i: Column) -> Column:
-        upto = F.when(F.size(done) > 0, F.element_at(done, -1) + F.length(F.get(found_once, i - 1))).otherwise(0)
-        return F.concat(done, F.array(upto + F.length(F.get(between_once, i))))
-
-    cut = docs.withColumn(name, F.when(text.rlike(CANDIDATE), F.struct(found.alias("found"), between.alias("between"))))
-    found_once, between_once = F.col(name)["found"], F.col(name)["between"]
-    places = F.sequence(F.lit(0), F.size(found_once) - 1)
-    starts = F.aggregate(places, F.array().cast("array<int>"), next_start)
+        upto = F.when(F.size(done) > 0, F.element_at(done, -1) + F.length(F.get(pieces, 2 * i - 1))).otherwise(0)
+        return F.concat(done, F.array(upto + F.length(F.get(pieces, 2 * i))))
 
     def finding(i: Column) -> Column:
-        candidate, left, right = F.get(found_once, i), F.get(between_once, i), F.get(between_once, i + 1)
+        candidate, left, right = F.get(pieces, 2 * i + 1), F.get(pieces, 2 * i), F.get(pieces, 2 * i + 2)
         before, after = F.right(left, F.lit(AROUND)), F.left(right, F.lit(AROUND))
         return F.struct(
             F.get(F.col(spare), i).alias("start"),
@@ -133,9 +128,26 @@ def find_candidates(docs: DataFrame, known: list[str], text_col: str = "text", p
             _features(candidate, before, after, path, known).alias("features"),
         )
 
+    some = F.size(name) > 1
     empty = F.array().cast(FINDINGS)
-    held = cut.withColumn(spare, F.when(F.col(name).isNotNull(), starts))
-    return held.withColumn(name, F.when(F.col(name).isNotNull(), F.transform(places, finding)).otherwise(empty)).drop(spare)
+    cut = docs.withColumn(name, _pieces(text))
+    held = cut.withColumn(spare, F.when(some, F.aggregate(places, F.array().cast("array<int>"), next_start)))
+    return held.withColumn(name, F.when(some, F.transform(places, finding)).otherwise(empty)).drop(spare)
+
+
+# Characters of which the first that a text lacks marks its candidates.
+MARKS = [chr(c) for c in range(1, 9)]
+
+
+def _pieces(text: Column) -> Column:
+    """A text cut at its candidates, which stand between the pieces: one pass of the pattern, two for a text with all marks."""
+
+    found, between = F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), 1), F.split(text, CANDIDATE, -1)
+    zipped = F.flatten(F.zip_with(between, found, lambda one, two: F.when(two.isNull(), F.array(one)).otherwise(F.array(one, two))))
+    for mark in reversed(MARKS):
+        marked = F.split(F.regexp_replace(text, f"({CANDIDATE})", f"{mark}$1{mark}"), mark, -1)
+        zipped = F.when(~F.contains(text, F.lit(mark)), marked).otherwise(zipped)
+    return zipped
 
 
 FINDINGS = (
@@ -228,9 +240,16 @@ def _condition(node, features: Column) -> Column:
 
 
 def scan_secrets(
-    docs: DataFrame, text_col: str = "text", path_col: str = "source", known: list[str] | None = None, score: Callable[[Column], Column] | None = None, threshold: float = 0.5, name: str = "findings"
+    docs: DataFrame,
+    text_col: str = "text",
+    path_col: str = "source",
+    known: list[str] | None = None,
+    score: Callable[[Column], Column] | None = None,
+    threshold: float = 0.5,
+    name: str = "findings",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All rows of ``docs`` with their findings, each with ``score`` and ``is_secret``.
+    """All rows of ``docs`` (columns ``keep``, all if not given) with their findings, each with ``score`` and ``is_secret``.
 
     ``known`` is the dictionary and ``score`` the trained forest; where they are not given, both are made from
     ``docs`` itself, the forest from the findings its rules can label.
@@ -240,8 +259,11 @@ def scan_secrets(
     """
 
     known = dictionary(docs, text_col) if known is None else known
-    found = find_candidates(docs, known, text_col, path_col, name)
+    kept = [c for c in (docs.columns if keep is None else keep) if c != name]
+    found = find_candidates(docs, known, text_col, path_col, name).select(*map(col, kept), name)
     if score is None:
+        # Written once for training and scoring: the pattern is by far the dearest part.
+        found = stage(found, "findings")
         score = train_forest(label_findings(one_by_one(found, name).select("one.*")))
     judged = F.transform(name, lambda one: one.withField("score", score(one["features"])))
     judged = F.transform(judged, lambda one: one.withField("is_secret", one["score"] >= threshold))
@@ -249,7 +271,10 @@ def scan_secrets(
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", path_col: str = "source", mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret in ``text_col`` replaced by ``mask``; all else, and rows without a secret, unchanged."""
+    """``docs`` with every secret in ``text_col`` replaced by ``mask``; all else, and rows without a secret, unchanged.
+
+    Texts with a secret alone are cut a second time.
+    """
 
     name = "_findings"
     while name in docs.columns:
