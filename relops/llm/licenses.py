@@ -1,10 +1,11 @@
 """License notices in texts, by a positional index of rare words.
 
 The words of all templates are the index's vocabulary; how many documents hold each is counted over the whole
-corpus. Of each template the words of the highest inverse document frequency that no copy can lack are looked up
+corpus. Of each template the words of the highest inverse document frequency that a copy cannot lack are looked up
 wherever they stand: their postings say in which template and where the word stands, and the difference of the two
-positions is where a copy would begin. It is verified there: the mandatory key phrases must stand in their places,
-and the share of equal words is the score.
+positions is where a copy would begin. Postings are intersected by that difference: only where all looked-up words of
+a template agree, a copy is verified: the mandatory key phrases must stand in their places, and the share of equal
+words is the score.
 """
 
 from __future__ import annotations
@@ -47,10 +48,75 @@ TEMPLATES = {
     "mit-text": "[permission is hereby granted free of charge] to any person obtaining a copy of this software [to deal in the software without restriction]",
     "mpl-2.0": "this source code form is subject to the terms of the [mozilla public license] v 2 0",
     "unlicense": "this is free and unencumbered software [released into the public domain]",
+    "agpl-notice": (
+        "this program is free software you can redistribute it and or modify it under the terms of the [gnu affero general public license] as published by the "
+        "free software foundation either version 3 of the license or at your option any later version"
+    ),
+    "apache-2.0-notice": (
+        "licensed under the [apache license version 2 0] the license [you may not use this file except in compliance with the license] you may obtain a copy of the license at"
+    ),
+    "apache-2.0-terms": (
+        "[unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis] without warranties or "
+        "conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"
+    ),
+    "boost-1.0": (
+        "permission is hereby granted free of charge to any person [or organization obtaining a copy of the software and accompanying documentation covered by this license] "
+        "the software to use reproduce display distribute execute and transmit the software"
+    ),
+    "bsd-binary": (
+        "[redistributions in binary form must reproduce the above copyright notice] this list of conditions and the following disclaimer in the documentation and or "
+        "other materials provided with the distribution"
+    ),
+    "bsd-endorsement": (
+        "neither the name of the copyright holder nor the names of its contributors may be used to [endorse or promote products derived from this software without "
+        "specific prior written permission]"
+    ),
+    "bsd-source": "[redistributions of source code must retain the above copyright notice] this list of conditions and the following disclaimer",
+    "cc0-1.0": (
+        "the person who associated a work with this deed has [dedicated the work to the public domain by waiving all of his or her rights to the work] worldwide under copyright law"
+    ),
+    "epl-2.0": "this program and the accompanying materials are made available under the terms of the [eclipse public license 2 0] which is available at",
+    "gpl-notice": (
+        "this program is free software you can redistribute it and or modify it under the terms of the [gnu general public license as published by the free software foundation] "
+        "either version 3 of the license or at your option any later version"
+    ),
+    "gpl-warranty": (
+        "this program is distributed in the hope that it will be useful but [without any warranty without even the implied warranty of merchantability or fitness for a particular purpose]"
+    ),
+    "isc-notice": (
+        "[permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted] provided that the above copyright notice and "
+        "this permission notice appear in all copies"
+    ),
+    "lgpl-notice": (
+        "you can redistribute it and or modify it under the terms of the [gnu lesser general public license] as published by the free software foundation either version "
+        "2 1 of the license or at your option any later version"
+    ),
+    "mit-conditions": "[the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software]",
+    "mit-grant": (
+        "[permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files] the software to deal in the software "
+        "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions"
+    ),
+    "mpl-2.0-notice": (
+        "this source code form is subject to the terms of the [mozilla public license v 2 0] if a copy of the mpl was not distributed with this file you can obtain one at"
+    ),
+    "unlicense-grant": (
+        "[anyone is free to copy modify publish use compile sell or distribute this software] either in source code form or as a compiled binary for any purpose commercial or "
+        "non commercial and by any means"
+    ),
+    "warranty": (
+        "[the software is provided as is without warranty of any kind express or implied] including but not limited to the warranties of merchantability fitness for a "
+        "particular purpose and noninfringement"
+    ),
+    "zlib": (
+        "[this software is provided as is without any express or implied warranty] in no event will the authors be held liable for any damages arising from the use of this software"
+    ),
 }
 
 # Share of a template's words that must stand in their places.
 LEAST_MATCH = 0.6
+# Words of a template looked up, as far as a copy must hold that many.
+LOOKED_UP = 3
 
 
 @dataclass
@@ -62,11 +128,15 @@ class Template:
 
 @dataclass
 class Postings:
-    """Templates and positions, those of word ``i`` of the vocabulary from ``first[i]`` to ``first[i + 1]``."""
+    """Templates and positions, those of word ``i`` of the vocabulary from ``first[i]`` to ``first[i + 1]``.
+
+    ``agree`` says of how many of its postings a copy of each template holds at least.
+    """
 
     owner: np.ndarray
     position: np.ndarray
     first: np.ndarray
+    agree: np.ndarray
 
 
 class Index:
@@ -93,22 +163,23 @@ class Index:
         self.word, self.owner, self.position = place[order], owner[order], position[order]
 
     def look_up(self, idf: np.ndarray) -> Postings:
-        """Postings of the words that are looked up, so few and rare that a verified copy still holds one of its template.
+        """Postings of the rarest words of each template, of which a verified copy holds a known number.
 
-        With key phrases it is the rarest word in them, without any so many of the rarest words that the rest is less
-        than ``LEAST_MATCH`` of the template.
+        With key phrases these are the ``LOOKED_UP`` rarest words in them, and a copy holds all. Without any they are so
+        many of the rarest that a copy, which may lack a share of the template, still holds ``LOOKED_UP`` of them.
         """
 
-        chosen = np.zeros(len(self.owner), bool)
+        chosen, agree = np.zeros(len(self.owner), bool), np.zeros(len(self.templates), np.int64)
         for kind, form in enumerate(self.templates):
             weight = idf[np.searchsorted(self.vocabulary, form.words)]
             keyed = [at for a, b in form.phrases for at in range(a, b)]
             among = np.array(keyed or range(len(form.words)), np.int64)
-            count = 1 if keyed else int((np.arange(len(among) + 1) >= LEAST_MATCH * len(among)).sum())
-            among = among[np.argsort(-weight[among], kind="stable")[:count]]
+            lacking = 0 if keyed else int((np.arange(len(among) + 1) >= LEAST_MATCH * len(among)).sum()) - 1
+            agree[kind] = max(1, min(LOOKED_UP, len(among) - lacking))
+            among = among[np.argsort(-weight[among], kind="stable")[: lacking + agree[kind]]]
             chosen |= (self.owner == kind) & np.isin(self.position, among)
         times = np.bincount(self.word[chosen], minlength=len(self.vocabulary))
-        return Postings(self.owner[chosen], self.position[chosen], np.concatenate([[0], np.cumsum(times)]))
+        return Postings(self.owner[chosen], self.position[chosen], np.concatenate([[0], np.cumsum(times)]), agree)
 
     def find(self, words: B.Words) -> tuple[np.ndarray, np.ndarray]:
         """Places of licence words, and the word's number in the vocabulary."""
@@ -231,6 +302,19 @@ def _stands(words: B.Words, phrase: np.ndarray, at: np.ndarray) -> np.ndarray:
     return at
 
 
+def _repeated(row: np.ndarray, start: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs that stand there ``least`` times or more, in order."""
+
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1])
+    begins = np.flatnonzero(fresh)
+    times = np.diff(np.append(begins, len(row)))
+    begins = begins[times >= least]
+    return row[begins], start[begins]
+
+
 def _copies(words: B.Words, index: Index, postings: Postings):
     """Verified copies of templates: document, template, where the copy begins, share of its words in place."""
 
@@ -243,7 +327,8 @@ def _copies(words: B.Words, index: Index, postings: Postings):
         start, row = begins[kinds == kind], rows[kinds == kind]
         if not len(start):
             continue
-        row, start = np.unique(np.stack([row, start], 1), axis=0).T
+        # A word and a posting meet once for each begin, so what repeats is agreed on by as many postings.
+        row, start = _repeated(row, start, postings.agree[kind])
         low, high = words.first[row], words.first[row + 1]
         equal = np.zeros((len(start), len(form.words)), bool)
         for step, word in enumerate(form.words):
