@@ -19,6 +19,7 @@ from relops.staging import stage
 REPEAT_WINDOW = 8
 # Labelled rows the classifier is fitted on at most, drawn by a hash of the id.
 SAMPLE_ROWS = 20_000
+SHARES = 1 << 20
 # Documents below this probability of good quality go.
 THRESHOLD = 0.3
 
@@ -142,8 +143,11 @@ def train_quality(
     """Trees from the counts of at most ``sample_rows`` labelled documents (null labels and ids are left out)."""
 
     known = labels.filter(col(label_col).isNotNull()).select(col(id_col).alias("labelled"), col(label_col).cast("int").alias("label"))
-    rows = counted.join(known, counted[id_col] == known["labelled"]).select(id_col, "label", *COUNTS)
-    drawn = rows.orderBy(F.xxhash64(col(id_col).cast("string")), col(id_col), *COUNTS).limit(sample_rows).toPandas()
+    rows = stage(counted.join(known, counted[id_col] == known["labelled"]).select(id_col, "label", *COUNTS), "labelled")
+    # A share of about twice the bound by a hash of the id is left to be sorted and cut to it.
+    draw = F.pmod(F.xxhash64(col(id_col).cast("string")), F.lit(SHARES))
+    share = -(-SHARES * 2 * sample_rows // max(rows.count(), 1))
+    drawn = rows.filter(draw < share).orderBy(draw, col(id_col), *COUNTS).limit(sample_rows).toPandas()
     table = features({name: drawn[name].to_numpy() for name in COUNTS})
     return fit(table, drawn["label"].to_numpy().astype(float), CONSTRAINTS)
 
