@@ -79,7 +79,7 @@ def mix_sources(
     that the expectation of both and the sum of words stay, until one is 0 or 1; the other goes on. Blocks of
     documents do this in parallel and hand one unsettled document each to the next level, where blocks of those do
     the same, up to one document per source. A source misses its target by less than that document's size. Random
-    choices follow from the ids alone, so reruns agree.
+    choices follow from ids and texts alone, so reruns agree, and rows without an id are spread by their texts.
 
     Returns one row per row of ``docs``: the id, ``source``, ``size`` (words), ``source_size``, ``target``,
     ``copies`` and ``taken`` (copies * size, at most ``most`` times the size). A null text has size 0, a null source
@@ -87,8 +87,9 @@ def mix_sources(
     anything. Rows with equal ids are rounded each on its own. Other columns are not looked at.
     """
 
-    named = docs.select(col(id_col).alias("id"), col(source_col).cast("string").alias("source"), col(text_col).alias("text"))
-    sized = stage(word_counts(named, "text", ["id", "source"]), "sizes")
+    text = col(text_col)
+    named = docs.select(col(id_col).alias("id"), col(source_col).cast("string").alias("source"), F.xxhash64(col(id_col), text).alias("content"), text.alias("text"))
+    sized = stage(word_counts(named, "text", ["id", "source", "content"]), "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")).limit(MOST_SOURCES + 1).collect()
     if len(per_source) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -98,7 +99,7 @@ def mix_sources(
     joined = sized.join(F.broadcast(facts), sized["source"].eqNullSafe(facts["of"])).drop("of")
     share_of = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     level = joined.withColumn("whole", F.floor(share_of)).withColumn("fraction", share_of - F.floor(share_of))
-    level = level.withColumn("order", F.xxhash64("id", F.lit("mix"))).withColumn("settled", F.lit(False))
+    level = level.withColumn("order", F.xxhash64("content", F.lit("mix"))).drop("content").withColumn("settled", F.lit(False))
 
     most_rows = max([r["rows"] for r in per_source], default=0)
     done = []
