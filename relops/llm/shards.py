@@ -17,12 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relops.columns import col
+from relops.staging import stage
 
 SHARD_BYTES = 4 << 20
-# Quantiles asked for at most; further shards divide the ranges between them evenly.
-MOST_QUANTILES = 1000
+# Quantiles of all ids, which the driver holds; each range between two is divided by quantiles of its own.
+QUANTILES = 1000
 # Stands for a null id: later than all others.
 NO_ID = 2**63 - 1
+# Shards of documents without an id count from here. No document is later than another of them.
+NO_ID_SHARD = 1 << 40
+# Keys of a bucket: more of them before there are more than so many buckets, up to what a task holds.
+BUCKET_KEYS, BUCKETS, MOST_BUCKET_KEYS = 400_000, 512, 4_000_000
 
 # The largest number of shards an answer counts up to.
 MANY = 127
@@ -69,30 +74,42 @@ class Round:
     key_bytes: int = 8
 
 
-def shard_column(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> tuple[Column, int]:
-    """Shard number by id, ascending in id, null ids last; and the bytes of all texts.
+def sharded(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> tuple[DataFrame, int]:
+    """Rows (shard, id, text), shards ascending in id, and the bytes of all texts.
 
-    One pass over ids and text lengths: at most ``MOST_QUANTILES`` quantiles reach the driver.
+    Shards of about ``shard_bytes`` hold equal numbers of documents: quantiles of all ids make ranges, quantiles inside
+    each range its shards, however the ids cluster and however many shards there are. Only the first are held by the
+    driver; the others are written, as a lost executor must not change them, and broadcast: eight bytes a shard.
+    Documents of one id share a shard. Those without any are dealt to shards of their own by their texts.
     """
 
-    ident = col(id_col).cast("long")
-    total, low, high = docs.agg(F.coalesce(F.sum(F.octet_length(col(text_col))), F.lit(0)), F.min(ident), F.max(ident)).first()
-    shards = max(1, -(-int(total) // shard_bytes))
-    if low is None or shards == 1:
-        return F.when(ident.isNull(), F.lit(1)).otherwise(F.lit(0)).cast("long"), int(total)
-    ranges = min(shards, MOST_QUANTILES)
-    cuts = docs.agg(F.percentile_approx(ident, [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges)).first()[0]
-    edges = sorted({int(low), *map(int, cuts)})
-    within = -(-shards // len(edges))
-    bounds = F.lit(edges + [int(high) + 1] if high < NO_ID else edges + [NO_ID])
-    at = F.size(F.filter(F.lit(edges), lambda e: e <= ident)) - 1
+    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
+    size = F.octet_length("text")
+    sums = [F.coalesce(F.sum(F.when(c, size)), F.lit(0)) for c in (F.col("id").isNotNull(), F.col("id").isNull())]
+    total, without = map(int, rows.agg(*sums).first())
+    shards = max(1, -(-total // shard_bytes))
+    number = F.lit(0).cast("long")
+    if shards > 1:
+        number, rows = _shard_number(rows, shards)
+    spare = NO_ID_SHARD + F.pmod(F.xxhash64("text"), F.lit(max(1, -(-without // shard_bytes))))
+    return rows.select(F.when(F.col("id").isNull(), spare).otherwise(number).alias("shard"), "id", "text"), total + without
+
+
+def _shard_number(rows: DataFrame, shards: int) -> tuple[Column, DataFrame]:
+    """The shard of a row's id, and the rows with what it takes to tell."""
+
+    ranges = min(shards, QUANTILES)
+    cuts = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges)).first()[0] or []
+    edges = F.lit(sorted(set(map(int, cuts)))).cast("array<bigint>")
+    upto = lambda some: F.size(F.filter(some, lambda e: e <= F.col("id"))).cast("long")
+    within = -(-shards // (len(set(cuts)) + 1))
     if within == 1:
-        number = at.cast("long")
-    else:
-        begin, end = F.get(bounds, at), F.get(bounds, at + 1)
-        share = (ident - begin).cast("double") / (end - begin).cast("double")
-        number = at.cast("long") * within + F.least(F.floor(share * within), F.lit(within - 1)).cast("long")
-    return F.when(ident.isNull(), F.lit(len(edges) * within)).otherwise(number).cast("long"), int(total)
+        return upto(edges), rows
+    rows = rows.withColumn("range", upto(edges))
+    inner = rows.filter("id is not null").groupBy(F.col("range").alias("of"))
+    inner = stage(inner.agg(F.percentile_approx("id", [i / within for i in range(1, within)], 10 * within).alias("cuts")), "cuts")
+    rows = rows.join(F.broadcast(inner), F.col("range") == F.col("of"), "left")
+    return F.col("range") * within + upto(F.array_distinct("cuts")), rows
 
 
 def converse(
@@ -110,22 +127,22 @@ def converse(
     The texts are shuffled once: every round reads the same exchange. ``keys_per_mb`` sizes the buckets.
     """
 
-    number, total = shard_column(docs, id_col, text_col, shard_bytes)
-    sharded = docs.select(number.alias("shard"), col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    buckets = max(8, total * keys_per_mb // (1 << 20) // 400_000)
+    texts, total = sharded(docs, id_col, text_col, shard_bytes)
+    keys = total * keys_per_mb // (1 << 20)
+    buckets = max(8, keys // min(max(BUCKET_KEYS, keys // BUCKETS), MOST_BUCKET_KEYS))
     replies = None
     for each in rounds:
         ask = _asker(each, buckets)
         if replies is None:
-            asked = sharded.groupBy("shard").applyInArrow(_first(ask), ASKED)
+            asked = texts.groupBy("shard").applyInArrow(_first(ask), ASKED)
         else:
-            asked = sharded.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(ask, ASKED)
+            asked = texts.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(ask, ASKED)
         replies = asked.groupBy("bucket").applyInArrow(_replier(each.key_bytes), REPLIED)
 
-    def last(key, texts, answers):
-        return conclude(_shard(texts), _answer(answers))
+    def last(key, rows, answers):
+        return conclude(_shard(rows), _answer(answers))
 
-    return sharded.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(last, schema)
+    return texts.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(last, schema)
 
 
 def _shard(texts: pa.Table) -> Shard:
@@ -200,9 +217,11 @@ def _replier(key_bytes: int) -> Callable:
             wide[:, :key_bytes] = raw
             runs.append(wide.reshape(-1).view("<u8"))
         merged, at, holders = np.unique(np.concatenate(runs), return_index=True, return_counts=True)
-        owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])[at]
+        owner = np.repeat([r["shard"] for r in rows], [len(r) for r in runs])[at]
+        # A shard without ids is earlier than none.
+        owner = np.where(owner >= NO_ID_SHARD, NO_ID, owner)
         out = []
-        for number, (row, run) in enumerate(zip(rows, runs)):
+        for row, run in zip(rows, runs):
             found = np.searchsorted(merged, run)
             shared = np.unpackbits(np.frombuffer(row["shared"], np.uint8), count=len(run)).astype(bool)
             out.append(
@@ -211,7 +230,7 @@ def _replier(key_bytes: int) -> Callable:
                     "bucket": row["bucket"],
                     "n": len(run),
                     "holders": (np.minimum(holders[found], MANY) + 128 * shared).astype(np.uint8).tobytes(),
-                    "earlier": np.packbits(owner[found] < number).tobytes(),
+                    "earlier": np.packbits(owner[found] < row["shard"]).tobytes(),
                 }
             )
         return pa.Table.from_pylist(out, _REPLIED)
