@@ -5,16 +5,17 @@ from __future__ import annotations
 import dataclasses
 import datetime as dt
 import logging
+import re
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relops.columns import as_list, col, union_all
+from relops.columns import ColumnMismatch, as_list, col, union_all
 from relops.sizing import range_partitions
 from relops.sources.files import scan_csv, scan_jsonl
 from relops.sources.records import records_to_df
@@ -436,6 +437,21 @@ def _share(spark: SparkSession, source: str, target: str, properties: dict[str,
         point_partitions(spark, target, part, named)
 
 
+def drop_snapshot(spark: SparkSession, name: str) -> None:
+    """Drop a snapshot's entry; one that is gone is fine. A table no snapshot is left of may be added to in place again."""
+
+    if not spark.catalog.tableExists(name):
+        return
+    owners = lines(table_properties(spark, name).get(SNAPSHOT_OF))
+    spark.sql(f"DROP TABLE {name}")
+    for owner in filter(spark.catalog.tableExists, owners):
+        properties = table_properties(spark, owner)
+        left = [n for n in lines(properties.get(SNAPSHOTS)) if n != name and spark.catalog.tableExists(n)]
+        set_properties(spark, owner, {SNAPSHOTS: "\n".join(left)})
+        if not left and not lines(properties.get(SNAPSHOT_OF)):
+            unset_properties(spark, owner, SHARED)
+
+
 def create_view(spark: SparkSession, name: str, query: str, replace: bool = True) -> None:
     """A view; with ``replace=False`` an existing one is an error."""
 
@@ -463,15 +479,29 @@ def table_from_query(
     save_table(result, name, WRITE_TRUNCATE, layout=Layout(cluster_by=tuple(cluster_by or ())), labels=labels)
 
 
+# Beginnings of Spark's names for errors that lie in the data; all others end the load with the error.
+DATA_ERRORS = re.compile(
+    r"\[(?:MALFORMED_|CAST_|INVALID_|CANNOT_PARSE_|NUMERIC_|ARITHMETIC_OVERFLOW|DATETIME_|FAILED_READ_FILE|NOT_NULL_|USER_RAISED_EXCEPTION|DIVIDE_BY_ZERO|VALUE_)"
+)
+
+
 def _accepted(name: str, save: Callable[[], None]) -> bool:
-    """Whether a load went through; one Spark rejects (bad values, mismatched columns) is logged instead."""
+    """Whether a load went through; one that its rows forbid is logged instead.
+
+    That is bad values, columns that do not fit the table, and a table that is not empty. A lost executor, a full disk
+    or a wrong call is no verdict on the rows and is raised.
+    """
 
     try:
         save()
         return True
-    except (PySparkException, Py4JJavaError, ValueError) as error:
+    except (TableNotEmpty, ColumnMismatch, AnalysisException) as error:
+        log.error("load of %s refused: %s", name, error)
+    except (PySparkException, Py4JJavaError) as error:
+        if not DATA_ERRORS.search(str(error)):
+            raise
         log.error("load of %s failed: %s", name, error)
-        return False
+    return False
 
 
 def load_files(

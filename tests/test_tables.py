@@ -381,3 +381,18 @@ def test_stored_tables_keep_their_layout(spark, schema, layout):
         upsert_table(spark, main, updates, "k", bytes_budget=0)
     tables.snapshot_table(spark, main, f"{schema}.kept")
     assert tables.Layout.of(table_properties(spark, f"{schema}.kept")) == layout
+
+
+def test_only_rows_reject_a_load(spark, schema, tmp_path, monkeypatch):
+    """What is no fault of the rows is raised: an unknown format, a job that failed for another reason."""
+
+    (tmp_path / "a.jsonl").write_text('{"herb": "x"}')
+    with pytest.raises(ValueError):
+        tables.load_files(spark, str(tmp_path / "a.jsonl"), f"{schema}.a", T.StructType.fromDDL("herb string"), "avro")
+
+    def aborted(*args, **kwargs):
+        raise PySparkException("Job aborted due to stage failure: ExecutorLostFailure (executor 3 exited)")
+
+    monkeypatch.setattr(tables, "save_table", aborted)
+    with pytest.raises(PySparkException, match="ExecutorLost"):
+        tables.load_files(spark, str(tmp_path / "a.jsonl"), f"{schema}.a", T.StructType.fromDDL("herb string"), "jsonl")
