@@ -60,10 +60,10 @@ def mark_benchmark(
             carried = [text_col] if blocks > 1 and text_col not in keep else []
             found = annotate(docs, text_col, compute, FIELDS, [*keep, *carried])
         else:
-            before = found.withColumnsRenamed({"items": "_items", "spans": "_spans"})
+            before = found.withColumnsRenamed({"items": "__relops_items", "spans": "__relops_spans"})
             found = annotate(before, text_col, compute, FIELDS, [c for c in before.columns if c not in ("n_words", "n_hit")])
-            found = found.withColumn("items", F.array_sort(F.array_union("_items", "items")))
-            found = found.withColumn("spans", _merged(F.array_sort(F.concat("_spans", "spans")))).drop("_items", "_spans")
+            found = found.withColumn("items", F.array_sort(F.array_union("__relops_items", "items")))
+            found = found.withColumn("spans", _merged(F.array_sort(F.concat("__relops_spans", "spans")))).drop("__relops_items", "__relops_spans")
             found = found.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
     return found.select(*[col(c) for c in keep if c not in dict(FIELDS)], *[name for name, _ in FIELDS])
 
