@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relops.columns import union_all
+from relops.functions.hashing import file_digests as digests_of_files
+from relops.functions.text import gunzip_files as gunzip
 from relops.functions.text import replace_in_files
 from relops.operators.compare import stored_integrity as check_integrity
 from relops.operators.registry import release_to_json, write_release_documents
@@ -738,3 +740,70 @@ def apply_partition_release(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, target.table).select("event_id", "event_type", "snapshot_date")
 
 
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def scan_csv_inferred(spark: SparkSession, sf: str) -> DataFrame:
+    """CSV read without a schema: names from the header, types from the values."""
+
+    path = scratch_path(spark, "csv")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    export.export_table(orders, path, "csv")
+    found = files.scan_csv(spark, path)
+    return found.select(*[F.col(c).cast(orders.schema[c].dataType) for c in orders.columns])
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer")
+def scan_xml_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as elements of XML files: key as attribute, an element left out where there is no value."""
+
+    def element(tag: str, value) -> F.Column:
+        return F.concat(F.lit(f"<{tag}>"), value, F.lit(f"</{tag}>"))
+
+    path, customers = scratch_path(spark, "xml"), table(spark, sf, "customer")
+    segment = F.when(F.col("c_custkey") % 3 != 0, element("segment", F.col("c_mktsegment")))
+    parts = [element("name", F.col("c_name")), element("balance", F.col("c_acctbal").cast("string")), F.coalesce(segment, F.lit(""))]
+    head = F.concat(F.lit('<customer key="'), F.col("c_custkey").cast("string"), F.lit('">'))
+    file = F.pmod("c_custkey", F.lit(8)).alias("file")
+    lines = customers.select(file, F.lit(1).alias("place"), F.concat(head, *parts, F.lit("</customer>")).alias("value"))
+    ends = spark.range(8).select("id", F.explode(F.expr("map(0, '<customers>', 2, '</customers>')")).alias("place", "value"))
+    placed = lines.union(ends.select("id", "place", "value")).repartition("file").sortWithinPartitions("file", "place")
+    placed.select("value", "file").write.partitionBy("file").text(path)
+    balance = customers.schema["c_acctbal"].dataType.simpleString()
+    found = files.scan_xml_files(spark, f"{path}/file=*", "customer", f"`@key` bigint, name string, balance {balance}, segment string")
+    return found.select(F.col("@key").alias("c_custkey"), F.col("name").alias("c_name"), F.col("balance").alias("c_acctbal"), "segment")
+
+
+@query("SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE NOT contains(text, chr(13))")
+def gunzip_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Compressed text files written out plain."""
+
+    packed, plain = scratch_path(spark, "packed"), scratch_path(spark, "plain")
+    docs = table(spark, sf, "documents").filter(~F.contains("text", F.lit("\r")))
+    docs.select("text").write.option("compression", "gzip").text(packed)
+    gunzip(spark, packed, plain)
+    names = spark.read.format("binaryFile").load(plain).select("path")
+    if not names.filter(~F.col("path").endswith(".txt")).isEmpty():
+        raise RuntimeError("a file is still compressed")
+    return spark.read.text(plain).select(F.col("value").alias("line"))
+
+
+WHOLE_FILE = "string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)"
+
+
+@query(
+    f"""
+    SELECT coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang, CAST(strlen({WHOLE_FILE}) AS BIGINT) AS length, md5({WHOLE_FILE}) AS digest
+    FROM documents GROUP BY ALL
+    """
+)
+def file_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of files: one for the documents of a source and language, in the order of their ids."""
+
+    root = scratch_path(spark, "files")
+    parts = [F.coalesce(c, F.lit("none")).alias(c) for c in ("source", "lang")]
+    docs = table(spark, sf, "documents").select(*parts, "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    placed = docs.repartition("source", "lang").sortWithinPartitions("source", "lang", "doc_id").drop("doc_id")
+    placed.write.partitionBy("source", "lang").text(root)
+    found = digests_of_files(spark, root)
+    return found.select(*[F.regexp_extract("path", f"/{n}=([^/]*)/", 1).alias(n) for n in ("source", "lang")], "length", "digest")
