@@ -135,6 +135,11 @@ def _links(listed: DataFrame, source: DataFrame, shingle: int, percent: int) ->
     asks = listed.join(matrix, listed["token"].eqNullSafe(matrix["key"]) & (F.struct("size", "group") < F.struct("their_size", "their")))
     mine = F.col("n")
     asks = asks.filter((F.col("most") * 100 >= mine * percent) & (F.col("least") * percent <= mine * 100))
+    # At the first of the tokens that a similar pair must share the rest leaves room for all the overlap needed, at the
+    # next for all but one, and so on: what leaves less room cannot be one of them. So a token that many unlike classes
+    # hold, late in their order, gives no row.
+    enough = overlap_needed(mine, F.greatest("least", F.ceil(mine * percent / 100)), percent)
+    asks = asks.filter(F.least(mine - F.col("place"), F.col("rest")) > enough - least_shared(mine, percent))
     asks = asks.groupBy("class", "id", "n", "their", "their_block").agg(
         F.max(F.least(mine - F.col("place"), F.col("rest"))).alias("left"), F.min("least").alias("least"), F.count(F.lit(1)).alias("seen")
     )
@@ -159,7 +164,8 @@ def _verified(pairs: DataFrame, source: DataFrame, shingle: int, percent: int) -
 
     wanted = pairs.select(F.col("id").alias("wanted_id")).union(pairs.select("other_id")).distinct()
     likely = source.mapInArrow(_likely(_bitmap(wanted)), "id long, text string").mapInArrow(_namer(shingle), "class long, text string")
-    texts = stage(likely.dropDuplicates(["class"]), "texts")
+    # One shuffle by class serves both sides.
+    texts = likely.dropDuplicates(["class"])
     one = texts.select(F.col("class").alias("a"), F.col("text").alias("one"))
     two = texts.select(F.col("class").alias("b"), F.col("text").alias("two"))
     full = pairs.join(one, pairs["class"] == one["a"]).select("a", "other", "one")
