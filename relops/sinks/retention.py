@@ -34,6 +34,19 @@ def drop_expired(spark: SparkSession, inventory: DataFrame, age_hours: float, no
     return names
 
 
+def drop_expired_schemas(spark: SparkSession, inventory: DataFrame, age_hours: float, now, prefix: str) -> list[str]:
+    """Drop the schemas of an inventory, with all their tables, whose age has reached ``age_hours``. Returns their names.
+
+    One without a known age stays, and so does the current one.
+    """
+
+    old = expired(inventory.filter("created is not null"), age_hours, now, prefix=prefix, name="name")
+    current = spark.catalog.currentDatabase()
+    names = [row["name"] for row in old.select("name").toLocalIterator() if row["name"] != current]
+    drop_schemas(spark, names)
+    return names
+
+
 def delete_prefix(spark: SparkSession, path: str) -> bool:
     """Delete a folder and everything below it; False when there was none."""
 

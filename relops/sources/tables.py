@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from relops.columns import col
 from relops.operators.shards import shards_of
-from relops.versions import finish_swap, table_facts, table_properties
+from relops.versions import finish_swap, folder_of, table_facts, table_properties
 
 EXPIRES_AT = "relops.expires_at"
 REQUIRE_FILTER = "relops.require_partition_filter"
@@ -154,6 +154,25 @@ def table_inventory(spark: SparkSession, schema: str, prefix: str = "", *, stati
     return listing.withColumn("created", created).withColumn("expires_at", F.col("expires_at").cast("timestamp"))
 
 
+def schema_inventory(spark: SparkSession, prefix: str = "") -> DataFrame:
+    """Schemas whose name starts with ``prefix``: name, number of tables, and when they were made.
+
+    The catalog knows no time for a schema: it is that of its oldest table, without any the last change of its folder,
+    and null where there is none. Metadata only.
+    """
+
+    rows = []
+    for name in list_schemas(spark, prefix):
+        tables = table_inventory(spark, name).agg(F.count(F.lit(1)).alias("n"), F.min("created").alias("first")).first()
+        made = tables["first"]
+        if made is None:
+            files, folder = folder_of(spark, spark.catalog.getDatabase(name).locationUri)
+            if files.exists(folder):
+                made = dt.datetime.fromtimestamp(files.getFileStatus(folder).getModificationTime() / 1000, dt.timezone.utc)
+        rows.append((name, tables["n"], made))
+    return spark.createDataFrame(rows, "name string, n_tables bigint, created timestamp")
+
+
 def list_schemas(spark: SparkSession, prefix: str = "") -> list[str]:
     return [d.name for d in spark.catalog.listDatabases() if d.name.startswith(prefix)]
 

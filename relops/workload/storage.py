@@ -16,7 +16,7 @@ from relops.operators.compare import stored_integrity as check_integrity
 from relops.operators.registry import release_to_json, write_release_documents
 from relops.plans import changefiles, merge, releases
 from relops.session import scratch_path
-from relops.sinks import export, tables
+from relops.sinks import export, retention, tables
 from relops.sources import files
 from relops.sources.records import records_to_df as from_records
 from relops.sources.schemas import column_paths as paths_of_columns
@@ -807,3 +807,19 @@ def file_digests(spark: SparkSession, sf: str) -> DataFrame:
     placed.write.partitionBy("source", "lang").text(root)
     found = digests_of_files(spark, root)
     return found.select(*[F.regexp_extract("path", f"/{n}=([^/]*)/", 1).alias(n) for n in ("source", "lang")], "length", "digest")
+
+
+@query("SELECT o_orderstatus AS name, count(*) AS n_rows FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1")
+def drop_expired(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders in a table per status, of which those with a prefix expire; what is left, by the inventory."""
+
+    home, orders = scratch_schema(spark), table(spark, sf, "orders")
+    for row in orders.select("o_orderstatus").distinct().collect():
+        status = row["o_orderstatus"]
+        name = f"{'finished' if status == 'F' else 'open'}_{status}".lower()
+        tables.save_table(orders.filter(F.col("o_orderstatus") == status), f"{home}.{name}")
+    later = dt.datetime.now(dt.timezone.utc) + dt.timedelta(hours=30)
+    retention.drop_expired(spark, inventory_of(spark, home), 48, later, f"{home}.")
+    retention.drop_expired(spark, inventory_of(spark, home), 24, later, f"{home}.finished_")
+    left = inventory_of(spark, home, statistics=True)
+    return left.select(F.upper(F.substring_index("table_id", "_", -1)).alias("name"), "n_rows")

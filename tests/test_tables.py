@@ -396,3 +396,28 @@ def test_only_rows_reject_a_load(spark, schema, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "save_table", aborted)
     with pytest.raises(PySparkException, match="ExecutorLost"):
         tables.load_files(spark, str(tmp_path / "a.jsonl"), f"{schema}.a", T.StructType.fromDDL("herb string"), "jsonl")
+
+
+def test_old_schemas(spark, schema, herbs):
+    """Whole schemas go by age and prefix; the current one and those of unknown age stay."""
+
+    from relops.sources.tables import schema_inventory
+    from relops.workload.base import scratch_schema
+
+    other, empty = scratch_schema(spark), scratch_schema(spark)
+    tables.save_table(herbs, f"{schema}.herbs")
+    tables.save_table(herbs, f"{other}.herbs")
+    short = [s.split(".")[-1] for s in (schema, other, empty)]
+    found = {r["name"]: r for r in schema_inventory(spark, "relops_").collect()}
+    assert [found[s]["n_tables"] for s in short] == [1, 1, 0] and found[short[0]]["created"] is not None
+    later = dt.datetime.now(dt.timezone.utc) + dt.timedelta(hours=30)
+    listed = schema_inventory(spark, short[1])
+    assert retention.drop_expired_schemas(spark, listed, 48, later, "relops_") == []
+    assert retention.drop_expired_schemas(spark, listed, 24, later, "other") == []
+    spark.catalog.setCurrentDatabase(short[0])
+    try:
+        assert retention.drop_expired_schemas(spark, schema_inventory(spark, short[0]), 24, later, "relops_") == []
+        assert retention.drop_expired_schemas(spark, listed, 24, later, "relops_") == [short[1]]
+    finally:
+        spark.catalog.setCurrentDatabase("default")
+    assert short[1] not in list_schemas(spark) and short[0] in list_schemas(spark)
