@@ -119,7 +119,28 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_similar(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(
+    """
+    WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    windows AS (
+        SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS w
+        FROM (SELECT *, unnest(range(1, len(h) // 2 - 48)) AS i FROM docs WHERE len(h) >= 100)),
+    firsts AS (SELECT w, min(doc_id) AS first_id FROM windows GROUP BY w HAVING count(*) > 1),
+    hit AS (SELECT doc_id, i FROM windows JOIN firsts USING (w) WHERE first_id < doc_id),
+    marked AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS fresh FROM hit),
+    spans AS (
+        SELECT doc_id, min(i) AS a, max(i) + 50 AS b
+        FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked) GROUP BY doc_id, span),
+    placed AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS since FROM spans),
+    cut AS (
+        SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS upto,
+               string_agg(substr(h, 2 * since - 1, 2 * (a - since)), '' ORDER BY a) AS kept
+        FROM placed JOIN docs USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(CASE WHEN upto IS NULL THEN h ELSE kept || substr(h, 2 * upto - 1) END)) AS kept_sha256
+    FROM docs LEFT JOIN cut USING (doc_id)
+    """
+)
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
