@@ -161,7 +161,7 @@ def latest_releases(registry: DataFrame, date_key: str = "created", tie_break: s
     # A release without the date comes last, as in a descending sort.
     rank = F.struct(F.col(date_key).isNotNull(), F.col(date_key), *([F.col(tie_break)] if tie_break else []))
     row = F.struct(*[F.col(quote(c)) for c in registry.columns])
-    return registry.groupBy("dag_id", "entity_id").agg(F.max_by(row, rank).alias("_row")).select("_row.*")
+    return registry.groupBy("dag_id", "entity_id").agg(F.max_by(row, rank).alias("__relops_row")).select("__relops_row.*")
 
 
 def is_first_release(registry: DataFrame, dag_id: str, entity_id: str) -> bool:
@@ -174,8 +174,8 @@ def first_releases(registry: DataFrame, datasets: DataFrame) -> DataFrame:
     """For many (dag_id, entity_id): number of releases, and whether the next would be the first."""
 
     pairs = ["dag_id", "entity_id"]
-    counts = registry.groupBy(*pairs).agg(F.count(F.lit(1)).alias("_n"))
-    n = F.coalesce(F.col("_n"), F.lit(0)).cast("bigint")
+    counts = registry.groupBy(*pairs).agg(F.count(F.lit(1)).alias("__relops_n"))
+    n = F.coalesce(F.col("__relops_n"), F.lit(0)).cast("bigint")
     return datasets.join(counts, pairs, "left").select(*pairs, n.alias("n_releases"), (n == 0).alias("is_first"))
 
 

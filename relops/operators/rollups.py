@@ -52,15 +52,15 @@ def section_counts(events: DataFrame, ts: str, start: dt.datetime, end: dt.datet
     time = col(ts).cast("timestamp_ntz")
     first, last = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
     sections = events.sparkSession.range(1).select(F.posexplode(monthly_sections(first, last)).alias("section", "s"))
-    inside = events.filter((time >= first) & (time < last)).withColumn("_section", section_index(time, first))
+    inside = events.filter((time >= first) & (time < last)).withColumn("__relops_section", section_index(time, first))
     # A section can end before the next begins; what falls in between belongs to none.
-    begins = first + F.make_ym_interval(F.lit(0), F.col("_section"))
+    begins = first + F.make_ym_interval(F.lit(0), F.col("__relops_section"))
     ends = (begins + F.expr("INTERVAL 1 MONTH")).cast("date").cast("timestamp_ntz")
-    counts = inside.filter(time < ends).groupBy("_section").agg(F.count(F.lit(1)).alias("_n"))
-    return sections.join(counts, F.col("section") == F.col("_section"), "left").select(
+    counts = inside.filter(time < ends).groupBy("__relops_section").agg(F.count(F.lit(1)).alias("__relops_n"))
+    return sections.join(counts, F.col("section") == F.col("__relops_section"), "left").select(
         F.col("s.section_start").alias("section_start"),
         F.col("s.section_end").alias("section_end"),
-        F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("n_rows"),
+        F.coalesce(F.col("__relops_n"), F.lit(0)).cast("bigint").alias("n_rows"),
     )
 
 

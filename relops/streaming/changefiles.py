@@ -15,7 +15,7 @@ from relops.sinks.tables import WRITE_TRUNCATE, drop_snapshot, save_table, snaps
 from relops.sources.tables import table_exists
 from relops.versions import set_properties, table_properties
 
-SEQ = "_sequence"
+SEQ = "__relops_sequence"
 # The batch that a snapshot was taken for.
 RUN_ID = "relops.run_id"
 
