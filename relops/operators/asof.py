@@ -34,7 +34,7 @@ def asof_join(
     spread over many files. Each task takes the running maximum of its own rows while it writes them, the left rows
     going along whole, so nothing is joined back. Only a file's first group can go on from an earlier file: what is
     carried over is one value per file at most and is broadcast. A left row without a group or time finds nothing.
-    ``value`` may be of any type that has an order and no fields.
+    ``value`` may be a struct, compared field by field.
     """
 
     groups = as_list(by)
@@ -112,7 +112,10 @@ def _running(kind: T.DataType):
 def _running_max(values: pa.Array, run_of: np.ndarray) -> pa.Array:
     """Greatest value so far in each run, by the ranks of the values; null before the first one."""
 
-    order = pc.sort_indices(values, null_placement="at_start").to_numpy()
+    # Nulls first, then by the value, or by the fields of a struct one after the other.
+    columns = [values.is_valid(), *_leaves(values)]
+    keys = [(f"c{i}", "ascending") for i in range(len(columns))]
+    order = pc.sort_indices(pa.table(columns, [name for name, _ in keys]), keys, null_placement="at_start").to_numpy()
     ranks = np.empty(len(values), np.int64)
     ranks[order] = np.arange(len(values))
     nulls = values.null_count
@@ -123,6 +126,12 @@ def _running_max(values: pa.Array, run_of: np.ndarray) -> pa.Array:
     return values.take(at)
 
 
+def _leaves(values: pa.Array) -> list[pa.Array]:
+    if not pa.types.is_struct(values.type):
+        return [values]
+    return [leaf for field in values.flatten() for leaf in _leaves(field)]
+
+
 def latest_run_as_of(
     requests: DataFrame,
     runs: DataFrame,

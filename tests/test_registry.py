@@ -92,7 +92,7 @@ def test_asof_against_brute_force(spark, groups):
     assert [tuple(r) for r in got] == wanted
 
 
-@pytest.mark.parametrize("kind, make", [("string", lambda v: f"v{v:05d}é"), ("timestamp", lambda v: dt.datetime(1900 + v % 500, 1, 1)), ("decimal(20,3)", lambda v: decimal.Decimal(v)), ("double", float)])
+@pytest.mark.parametrize("kind, make", [("string", lambda v: f"v{v:05d}é"), ("timestamp", lambda v: dt.datetime(1900 + v % 500, 1, 1)), ("decimal(20,3)", lambda v: decimal.Decimal(v)), ("double", float), ("struct<a:string,b:int>", lambda v: (None if v % 4 == 0 else f"s{v % 3}", v))])
 def test_asof_values_of_any_type(spark, kind, make):
     """Two keys, columns named like helpers, small batches: the running maximum goes on from batch to batch."""
 
@@ -109,7 +109,10 @@ def test_asof_values_of_any_type(spark, kind, make):
         got = {r[0]: r["latest"] for r in joined.collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert got == {i: max((v for g2, h2, t2, v in right if (g2, h2) == (g, h) and t is not None and t2 <= t), default=None) for i, g, h, t, _ in left}
+    rank = lambda v: (v[0] is not None, v[0] or "", v[1]) if isinstance(v, tuple) else v
+    assert {i: tuple(v) if isinstance(v, tuple) else v for i, v in got.items()} == {
+        i: max((v for g2, h2, t2, v in right if (g2, h2) == (g, h) and t is not None and t2 <= t), key=rank, default=None) for i, g, h, t, _ in left
+    }
     assert joined.columns == ["__relops_g0", "g", "h", "t", "latest"] and joined.schema["latest"].dataType.simpleString() == kind
 
 
