@@ -63,13 +63,19 @@ def compressed_run(lines: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         carried += int(sizes.sum())
 
 
-def assign_parts(df: DataFrame, run: Column, order: Sequence[str], max_bytes: int) -> tuple[DataFrame, int]:
-    """Rows with their part number, and how many parts there are: parts follow ``order``, hold less than ``max_bytes`` plus one row, none is empty.
+def assign_parts(df: DataFrame, run: Column, order: Sequence[str], max_bytes: int) -> DataFrame:
+    """Rows with their part number: parts follow ``order``, hold less than ``max_bytes`` plus one row, none is empty.
 
     A row belongs to the part its first byte falls in; part numbers are then closed up, since a row longer than
     the limit can leap over one. Both steps are exact two-pass counts, no single-task window.
     """
 
+    return _numbered(df, run, order, max_bytes)[0]
+
+
+def _numbered(df: DataFrame, run: Column, order: Sequence[str], max_bytes: int) -> tuple[DataFrame, int]:
+    """Rows with their part number, and how many parts there are."""
+
     placed = with_sum_before(df, run, order)
     slot = F.expr(f"size_before div {int(max_bytes)}L")
     placed = placed.withColumn(SLOT, slot)
@@ -99,7 +105,7 @@ def export_parts(
     keys = [f"__relops_o{i}" for i in range(len(order))]
     lines = df.select(*[col(o).alias(k) for o, k in zip(order, keys)], text.alias("value"))
     run = compressed_run("value") if compress else running_size(F.octet_length("value").cast("long") + 1)
-    parts, number = assign_parts(lines, run, keys, limit)
+    parts, number = _numbered(lines, run, keys, limit)
     suffix = f".{extension}" + (".gz" if compress else "")
     name = F.concat(F.lit(stem), F.lpad(F.col("part").cast("string"), 12, "0"), F.lit(suffix))
     (
