@@ -34,6 +34,8 @@ SLICE_BITS = 16
 SHARED = 4
 # Members whose token union is stored together.
 BLOCK = 64
+# Classes compared with a copy of a pivot's text.
+PIVOT_PAIRS = 256
 
 SIGNATURE = "id long, class long, n long, prefix array<long>"
 
@@ -164,12 +166,17 @@ def _verified(pairs: DataFrame, source: DataFrame, shingle: int, percent: int) -
 
     wanted = pairs.select(F.col("id").alias("wanted_id")).union(pairs.select("other_id")).distinct()
     likely = source.mapInArrow(_likely(_bitmap(wanted)), "id long, text string").mapInArrow(_namer(shingle), "class long, text string")
-    # One shuffle by class serves both sides.
+    # One shuffle by class serves both sides. A pivot that many classes are compared with is joined in so many parts.
     texts = likely.dropDuplicates(["class"])
+    parts = pairs.groupBy(F.col("other").alias("pivot")).agg(F.ceil(F.count(F.lit(1)) / PIVOT_PAIRS).alias("parts"))
+    part = F.pmod(F.xxhash64("class"), F.col("parts")).alias("part")
+    dealt = pairs.join(parts, pairs["other"].eqNullSafe(parts["pivot"])).select("class", "other", part)
     one = texts.select(F.col("class").alias("a"), F.col("text").alias("one"))
-    two = texts.select(F.col("class").alias("b"), F.col("text").alias("two"))
-    full = pairs.join(one, pairs["class"] == one["a"]).select("a", "other", "one")
-    full = full.join(two, full["other"] == two["b"]).select("a", "b", "one", "two")
+    two = texts.join(parts, texts["class"] == parts["pivot"]).select(
+        F.col("pivot").alias("b"), F.col("text").alias("two"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("its_part")
+    )
+    full = dealt.join(one, dealt["class"] == one["a"]).select("a", "other", "part", "one")
+    full = full.join(two, (full["other"] == two["b"]) & (full["part"] == two["its_part"])).select("a", "b", "one", "two")
     return stage(full.mapInArrow(_pair_checker(shingle, percent), "a long, b long"), "stars")
 
 
