@@ -1,4 +1,4 @@
-"""Many small parts share tasks."""
+"""Many small parts share tasks, lines go to Python in bounded batches."""
 
 import os
 
@@ -22,3 +22,20 @@ def test_many_small_parts_share_tasks(spark, tmp_path, monkeypatch):
     assert got == [r["text"] for r in lines.orderBy("id").collect()]
     # Consecutive parts, four a task.
     assert len(set(tasks)) == -(-len(parts) // 4) and tasks == sorted(tasks)
+
+
+def test_lines_are_compressed_in_bounded_batches(spark, tmp_path, monkeypatch):
+    seen, numbered = [], export._numbered
+
+    def noted(*args):
+        seen.append(int(spark.conf.get(export.BATCH_CONF)))
+        return numbered(*args)
+
+    monkeypatch.setattr(export, "_numbered", noted)
+    before = spark.conf.get(export.BATCH_CONF)
+    spark.conf.set(export.BATCH_CONF, 10_000)
+    try:
+        export.export_parts(spark.range(10), str(tmp_path / "parts"), ["id"], compress=True)
+        assert seen == [export.BATCH_ROWS] and spark.conf.get(export.BATCH_CONF) == "10000"
+    finally:
+        spark.conf.set(export.BATCH_CONF, before)
