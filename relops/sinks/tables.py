@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relops.columns import ColumnMismatch, as_list, col, union_all
-from relops.sizing import range_partitions
+from relops.sizing import UNKNOWN_BYTES, range_partitions, scan_bytes
 from relops.sources.files import scan_csv, scan_jsonl
 from relops.sources.records import records_to_df
 from relops.sources.schemas import conform
@@ -68,6 +68,10 @@ LAYOUT_PROPERTIES = (PARTITION_FIELD, PARTITION_KIND, REQUIRE_FILTER, CLUSTER_BY
 # Properties of one version or entry, not of the table as such.
 ENTRY_PROPERTIES = (*LAYOUT_PROPERTIES, EXPIRES_AT, OLD_FOLDERS, REPLACES, SHARED)
 
+# Scanned bytes that one bucket should stand for, ten times as many when its rows are sorted; Spark allows so many buckets.
+BUCKET_BYTES = 16 * 1024**2
+MOST_BUCKETS = 100_000
+
 log = logging.getLogger(__name__)
 
 
@@ -147,6 +151,17 @@ class Layout:
         needed = {*self.cluster_by, *self.bucket_by, *self.group_by, *([self.partition_field] if self.partition_field else [])}
         return needed <= set(df.columns)
 
+    def buckets_of(self, df: DataFrame) -> int:
+        """The layout's number of buckets, or for rows that scan much as many times that as keep a bucket bounded.
+
+        One task writes a bucket and one reads it, sorted by the keys each time.
+        """
+
+        scanned = scan_bytes(df)
+        if scanned >= UNKNOWN_BYTES:
+            return self.buckets
+        return self.buckets * max(1, min(MOST_BUCKETS // self.buckets, -(-scanned // (self.buckets * BUCKET_BYTES))))
+
     def place(self, df: DataFrame) -> DataFrame:
         """Rows where this layout wants them, the partition column added."""
 
@@ -155,7 +170,7 @@ class Layout:
             df = df.withColumn(self.part, self.part_value()).hint("rebalance", self.part)
             return df.sortWithinPartitions(*map(col, [self.part, *self.cluster_by])) if self.cluster_by else df
         if self.bucket_by:
-            return df.repartition(self.buckets, *map(col, self.bucket_by))
+            return df.repartition(self.buckets_of(df), *map(col, self.bucket_by))
         return cluster(df, self.cluster_by) if self.cluster_by else df
 
     def writer(self, df: DataFrame) -> DataFrameWriter:
@@ -163,7 +178,7 @@ class Layout:
         if self.part:
             return writer.partitionBy(self.part)
         if self.bucket_by:
-            return writer.bucketBy(self.buckets, *self.bucket_by).sortBy(*self.bucket_by)
+            return writer.bucketBy(self.buckets_of(df), *self.bucket_by).sortBy(*self.bucket_by)
         return writer
 
 
@@ -369,7 +384,8 @@ def save_bucketed(
 ) -> None:
     """A table hashed by its merge keys into ``buckets``: upserts and deletes by those keys skip its shuffle.
 
-    One key's rows share a bucket, so this is for keys that do not repeat much.
+    A large table has a multiple of ``buckets``, one for each ``BUCKET_BYTES`` that its rows scan. One key's rows
+    share a bucket, so this is for keys that do not repeat much.
     """
 
     save_table(df, name, disposition, layout=Layout(bucket_by=tuple(as_list(keys)), buckets=buckets))

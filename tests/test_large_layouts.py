@@ -1,10 +1,12 @@
-"""Many small parts share tasks, lines go to Python in bounded batches."""
+"""Many small parts share tasks, lines go to Python in bounded batches, large bucketed tables get more buckets."""
 
 import os
 
 from pyspark.sql import functions as F
 
-from relops.sinks import export
+from relops.operators.incremental import delete_by_keys
+from relops.sinks import export, tables
+from relops.versions import table_facts
 
 
 def test_many_small_parts_share_tasks(spark, tmp_path, monkeypatch):
@@ -39,3 +41,18 @@ def test_lines_are_compressed_in_bounded_batches(spark, tmp_path, monkeypatch):
         assert seen == [export.BATCH_ROWS] and spark.conf.get(export.BATCH_CONF) == "10000"
     finally:
         spark.conf.set(export.BATCH_CONF, before)
+
+
+def test_a_large_bucketed_table_has_more_buckets(spark, schema, tmp_path, monkeypatch):
+    rows = spark.range(4000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    stored, name = spark.read.parquet(str(tmp_path / "rows")), f"{schema}.main"
+    tables.save_bucketed(stored, name, "k", 4)
+    assert table_facts(spark, name)["Num Buckets"] == "4"
+    monkeypatch.setattr(tables, "BUCKET_BYTES", 8 * 1024)
+    tables.save_bucketed(stored, name, "k", 4)
+    number = int(table_facts(spark, name)["Num Buckets"])
+    assert number > 4 and number % 4 == 0
+    tables.save_bucketed(spark.range(4000, 4010).select(F.col("id").alias("k"), F.lit("x").alias("v")), name, "k", 4, tables.WRITE_APPEND)
+    kept = delete_by_keys(spark.table(name), spark.range(0, 4000, 2).select(F.col("id").alias("k")), "k", co_located=True)
+    assert sorted(r["k"] for r in kept.collect()) == [*range(1, 4000, 2), *range(4000, 4010)]
