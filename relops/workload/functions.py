@@ -315,10 +315,11 @@ def hex_to_base64(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, text FROM documents")
 def decode_base64url(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts as URL-safe base64 payloads, decoded back."""
+    """Texts as URL-safe base64 payloads, decoded back; an empty text has no payload and stays."""
 
-    payload = F.translate(F.base64(F.col("text").cast("binary")), "+/", "-_")
-    return table(spark, sf, "documents").select("doc_id", hashing.decode_base64url(payload).cast("string").alias("text"))
+    payload = F.replace(F.replace(F.base64(F.col("text").cast("binary")), F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_"))
+    text = F.when(F.length("text") == 0, F.col("text")).otherwise(hashing.decode_base64url(payload).cast("string"))
+    return table(spark, sf, "documents").select("doc_id", text.alias("text"))
 
 
 @query(

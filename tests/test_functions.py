@@ -2,6 +2,7 @@ import base64
 import datetime as dt
 import hashlib
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from relops.functions import dates, hashing, names, nested, text
 from relops.functions.hashing import _crc32c_rows
+from relops.workload import ORACLES, QUERIES
 
 
 def one(spark, column, **values):
@@ -166,6 +168,15 @@ def test_base64url(spark):
         one(spark, hashing.decode_base64url(F.lit("")))
 
 
+def test_decode_base64url_query_with_empty_texts(spark, tmp_path):
+    rows = [(1, ""), (2, None), (3, "a??>>~~"), (None, "é😀\n\u0000/+-_"), (5, ""), (6, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["decode_base64url"](spark, str(tmp_path))
+    sql = ORACLES["decode_base64url"]
+    want = duckdb.sql(sql.replace("documents", f"read_parquet('{tmp_path}/documents.parquet/*.parquet')")).fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) == sorted(rows, key=str)
+
+
 def test_file_digests(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.txt").write_bytes(b"hello world")
