@@ -2,13 +2,15 @@
 
 import random
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
-from relops.llm.language_id import ORDER, _grams, _medians, _points, identify, train
+from relops.llm import language_id
+from relops.llm.language_id import ORDER, PARTS, _entropies, _grams, _medians, _points, identify, train, train_on_all
 from relops.llm.secrets import FEATURES, train_forest
 
 
@@ -25,6 +27,50 @@ def test_languages_are_learned_from_every_document(spark):
         assert np.isin(grams[n], model.hashes[n]).all() and np.isin(contexts[n], model.contexts[n]).all() == (n > 0)
 
 
+def test_pipeline_counts_every_labelled_document(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=40)) for _ in range(300)]
+    rows = [(None if i % 10 == 0 else i // 2, text, ("en", "de")[i % 2]) for i, text in enumerate(texts)]
+    rows += [(7, None, "en"), (8, "no label", None), (None, "", "de"), (9, "abc", "de")]
+    models = []
+    monkeypatch.setattr(corpus_pipeline, "identify", lambda docs, model, **options: models.append(model) or identify(docs, model, **options))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    corpus_pipeline.keep_known_languages(spark, docs, "")
+    (model,) = models
+    grams, contexts, _ = _grams(*_points(pa.array(texts, pa.string()), 0, len(texts)), ORDER)
+    for n in range(ORDER):
+        assert np.isin(grams[n], model.hashes[n]).all() and np.isin(contexts[n], model.contexts[n]).all() == (n > 0)
+
+
+def test_every_document_calibrates_by_models_of_the_other_parts(spark, monkeypatch):
+    rng = random.Random(13)
+    words = {x: ["".join(rng.choices(letters, k=6)) for _ in range(60)] for x, letters in (("en", "abcdefghijklmnop"), ("de", "klmnopqrstuvwxyz"))}
+    rows = [(" ".join(rng.choices(words[x], k=rng.randint(1, 30))), x) for i in range(90) for x in [("en", "de")[i % 2]]]
+    # Of one text only, so no other part knows its language.
+    rows += [("κείμενο " * 4, "el")] * 7
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    place = docs.withColumn("part", F.pmod(F.xxhash64("text", F.lit("part")), F.lit(PARTS)))
+    model = train_on_all(docs, "text", "lang")
+    own = {x: [] for x in ("de", "en")}
+    with monkeypatch.context() as patch:
+        patch.setattr(language_id, "_calibrate", lambda *_: None)
+        for part in range(PARTS):
+            rest = train_on_all(place.filter(F.col("part") != part), "text", "lang")
+            apart = place.filter((F.col("part") == part) & (F.col("lang") != "el")).collect()
+            mean, count = _entropies(rest, pa.array([r["text"] for r in apart], pa.string()))
+            for r, values, places in zip(apart, mean, count):
+                own[r["lang"]].append((values[rest.languages.index(r["lang"])], places))
+    assert model.languages == ["de", "el", "en"] and sum(map(len, own.values())) == 90
+    for lang, found in own.items():
+        values, places = map(np.array, zip(*found))
+        centre = np.median(values)
+        spread = 1.4826 * np.median(np.abs(values - centre) * np.sqrt(np.minimum(places, 400)))
+        at = model.languages.index(lang)
+        assert (model.centre[at], model.spread[at]) == (pytest.approx(centre), pytest.approx(spread))
+    assert np.isinf(model.spread[1])
+    assert not train_on_all(docs.filter("lang is null"), "text", "lang").languages
+
+
 def test_folded_models_hold_every_text_in_bounded_memory(spark):
     rng = random.Random(5)
     words = {x: ["".join(rng.choices(letters, k=6)) for _ in range(300)] for x, letters in (("en", "abcdefghijklmnop"), ("de", "klmnopqrstuvwxyz"))}
